@@ -19,9 +19,9 @@ KB, MB, GB, TB = 1024, 1024 ** 2, 1024 ** 3, 1024 ** 4
 
 
 def human_size(size: Column) -> Column:
-    """Bytes with one decimal, B to TB."""
+    """Bytes with one decimal (exact halves to even), B to TB."""
     def shown(unit, name):
-        return F.format_string(f"%.1f {name}", size.cast("double") / F.lit(float(unit)))
+        return F.format_string(f"%.1f {name}", F.bround(size.cast("double") / F.lit(float(unit)), 1))
     return (F.when(size < KB, shown(1, "B")).when(size < MB, shown(KB, "KB")).when(size < GB, shown(MB, "MB"))
             .when(size < TB, shown(GB, "GB")).otherwise(shown(TB, "TB")))
 
@@ -29,7 +29,7 @@ def human_size(size: Column) -> Column:
 def human_size_whole(size: Column) -> Column:
     """As ``human_size`` but whole bytes below 1 KB and nothing above GB."""
     def shown(unit, name):
-        return F.format_string(f"%.1f {name}", size.cast("double") / F.lit(float(unit)))
+        return F.format_string(f"%.1f {name}", F.bround(size.cast("double") / F.lit(float(unit)), 1))
     return (F.when(size < KB, F.format_string("%d B", size.cast("long"))).when(size < MB, shown(KB, "KB"))
             .when(size < GB, shown(MB, "MB")).otherwise(shown(GB, "GB")))
 
@@ -93,10 +93,10 @@ def register_functions(spark: SparkSession) -> None:
     bodies = {
         "tw_human_size(size BIGINT)": ("STRING",
             "CASE WHEN size < 1024 THEN format_string('%.1f B', double(size))"
-            " WHEN size < 1048576 THEN format_string('%.1f KB', size / 1024.0D)"
-            " WHEN size < 1073741824 THEN format_string('%.1f MB', size / 1048576.0D)"
-            " WHEN size < 1099511627776 THEN format_string('%.1f GB', size / 1073741824.0D)"
-            " ELSE format_string('%.1f TB', size / 1099511627776.0D) END"),
+            " WHEN size < 1048576 THEN format_string('%.1f KB', bround(size / 1024.0D, 1))"
+            " WHEN size < 1073741824 THEN format_string('%.1f MB', bround(size / 1048576.0D, 1))"
+            " WHEN size < 1099511627776 THEN format_string('%.1f GB', bround(size / 1073741824.0D, 1))"
+            " ELSE format_string('%.1f TB', bround(size / 1099511627776.0D, 1)) END"),
         "tw_suffix(path STRING)": ("STRING", r"lower(regexp_extract(path, r'^(?:.*/)?[^/]+(\.[^./]+)$', 1))"),
         "tw_folder(path STRING)": ("STRING", r"regexp_extract(path, r'([^/]*)/[^/]*$', 1)"),
         "tw_category(path STRING)": ("STRING",
