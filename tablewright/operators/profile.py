@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import DATE_TYPES, at, is_float, missing, number, numeric_columns, text_columns, valid
+from ..functions.columns import (DATE_TYPES, at, double_sql, is_float, is_integral, missing, number, number_sql, numeric_columns,
+                                 text_columns, valid)
 from ..plans.quantiles import quantiles
-from ..session import row_dicts
 
 
 def long_form(df: DataFrame, columns: list[str], value) -> DataFrame:
     """(column, value) rows; ``value`` maps a column name to an expression of one type."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns])
-    return df.select(F.explode(cells).alias("cell")).select("cell.column", "cell.value")
+    names = {f"v{i}": c for i, c in enumerate(columns)}
+    flat = df.select(*[value(c).alias(n) for n, c in names.items()]).unpivot([], list(names), "column", "value")
+    back = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return flat.select(back[F.col("column")].alias("column"), "value")
 
 
 def spread_row(df: DataFrame, columns: list[str], fields: dict) -> DataFrame:
@@ -43,9 +45,19 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n) over all given columns."""
-    return (long_form(df, columns, lambda c: value_text(df, c)).where(F.col("value").isNotNull())
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    """(column, value as text, n). Whole numbers, other numbers and texts are counted in their own type first."""
+    numeric = set(numeric_columns(df))
+    whole = [c for c in columns if is_integral(df, c)]
+    real = [c for c in columns if c in numeric and c not in whole]
+    rest = [c for c in columns if c not in numeric]
+    kinds = [(whole, lambda c: at(c).cast("long")), (real, lambda c: number(df, c) + F.lit(0.0)), (rest, lambda c: at(c).cast("string"))]
+    out = None
+    for cols, value in kinds:
+        if cols:
+            counts = (long_form(df, cols, value).where(F.col("value").isNotNull()).groupBy("column", "value")
+                      .agg(F.count(F.lit(1)).alias("n")).select("column", F.col("value").cast("string").alias("value"), "n"))
+            out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 def top_frequencies(counts: DataFrame, k: int) -> DataFrame:
@@ -113,9 +125,10 @@ def distinct_count(df: DataFrame, columns: list[str] | None = None, approximate:
         wide = wide.select(*[F.col(f"u{i}").alias(f"unique_count__{i}") for i in range(len(cols))],
                            *[(F.col(f"u{i}") / F.col("n")).alias(f"unique_ratio__{i}") for i in range(len(cols))])
         return spread_row(wide, cols, {"unique_count": "long", "unique_ratio": "double"})
-    counts = (long_form(df, cols, lambda c: value_text(df, c)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-              .groupBy("column").agg(F.count("value").alias("unique_count"), F.sum("n").alias("rows")))
-    return counts.select("column", "unique_count", (F.col("unique_count") / F.col("rows")).alias("unique_ratio"))
+    counts = frequencies(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    base = spread_row(df.agg(*[F.count(F.lit(1)).alias(f"rows__{i}") for i in range(len(cols))]), cols, {"rows": "long"})
+    unique = F.coalesce("unique_count", F.lit(0))
+    return base.join(counts, "column", "left").select("column", unique.alias("unique_count"), F.try_divide(unique.cast("double"), F.col("rows")).alias("unique_ratio"))
 
 
 def column_info(df: DataFrame) -> DataFrame:
@@ -142,27 +155,56 @@ def sample_kurtosis(g2: Column, n: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
 
 
-def moment_exprs(v: Column, i: int) -> list[Column]:
-    return [F.count(v).alias(f"n__{i}"), F.avg(v).alias(f"mean__{i}"), F.stddev_samp(v).alias(f"std__{i}"),
-            F.skewness(v).alias(f"g1__{i}"), F.kurtosis(v).alias(f"g2__{i}"),
-            F.min(v).alias(f"min__{i}"), F.max(v).alias(f"max__{i}")]
+def basics(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, dict]]:
+    """Row count and per column n, mean, min, max: one pass of cheap sums."""
+    slim = df.selectExpr(*[f"{number_sql(df, c)} AS x{i}" for i, c in enumerate(columns)])
+    row = slim.selectExpr("count(*) AS rows", *[f"{f}(x{i}) AS {k}{i}" for i in range(len(columns)) for k, f in
+                                                (("n", "count"), ("mean", "avg"), ("min", "min"), ("max", "max"))]).first()
+    return row["rows"], {c: {k: row[f"{k}{i}"] for k in ("n", "mean", "min", "max")} for i, c in enumerate(columns)}
 
 
-def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: rows, n, mean, std, sample skew and kurtosis, min, max."""
-    aggs = [F.count(F.lit(1)).alias("all_rows")]
-    for i, c in enumerate(columns):
-        aggs += moment_exprs(number(df, c), i)
-    wide = df.agg(*aggs).select("*", *[F.col("all_rows").alias(f"rows__{i}") for i in range(len(columns))])
-    long = spread_row(wide, columns, {k: "double" for k in ("rows", "n", "mean", "std", "g1", "g2", "min", "max")})
-    n = F.col("n")
-    return long.select("column", "rows", "n", "mean", "std", sample_skew(F.col("g1"), n).alias("skew"),
-                       sample_kurtosis(F.col("g2"), n).alias("kurt"), "min", "max")
+def centred(df: DataFrame, columns: list[str], base: dict[str, dict], fence: dict[str, tuple] | None = None) -> dict[str, dict]:
+    """Second pass: central moments about the known mean, and values beyond the fences.
 
+    Central sums about the exact mean are stable and far lighter than one moment buffer per statistic."""
+    known = [c for c in columns if base[c]["n"]]
+    slim = df.selectExpr(*[x for i, c in enumerate(known) for x in (
+        f"{number_sql(df, c)} AS x{i}", f"{number_sql(df, c)} - {double_sql(base[c]['mean'])} AS d{i}")]) if known else df
+    aggs = []
+    for i, c in enumerate(known):
+        aggs += [f"sum(d{i} * d{i}) AS s{i}", f"sum(d{i} * d{i} * d{i}) AS t{i}", f"sum(d{i} * d{i} * d{i} * d{i}) AS u{i}"]
+        if fence:
+            aggs.append(f"count_if(x{i} < {double_sql(fence[c][2])} OR x{i} > {double_sql(fence[c][3])}) AS o{i}")
+    row = slim.selectExpr(*aggs).first() if known else {}
+    out = {}
+    for c in columns:
+        n = base[c]["n"]
+        stats = {"std": None, "skew": None, "kurt": None, "outlier_ratio": None}
+        if c in known:
+            i = known.index(c)
+            m2, m3, m4 = row[f"s{i}"] / n, row[f"t{i}"] / n, row[f"u{i}"] / n
+            stats["std"] = (row[f"s{i}"] / (n - 1)) ** 0.5 if n > 1 else None
+            g1, g2 = (m3 / m2 ** 1.5, m4 / m2 ** 2 - 3) if m2 > 0 else (0.0, 0.0)
+            if n > 2:
+                stats["skew"] = g1 * (n * (n - 1)) ** 0.5 / (n - 2)
+            if n > 3:
+                stats["kurt"] = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if m2 > 0 else 0.0
+            if fence:
+                stats["outlier_ratio"] = row[f"o{i}"] / n
+        out[c] = stats
+    return out
 
-def fences(df: DataFrame, columns: list[str], small: int | None = None) -> dict[str, tuple]:
+
+def moments(df: DataFrame, columns: list[str]) -> list[dict]:
+    """Per column: rows, n, mean, std, sample skew and kurtosis, min, max."""
+    rows, base = basics(df, columns)
+    shape = centred(df, columns, base)
+    return [{"column": c, "rows": rows, **base[c], **shape[c]} for c in columns]
+
+
+def fences(df: DataFrame, columns: list[str], sizes: dict[str, int] | None = None) -> dict[str, tuple]:
     """(q1, q3, low fence, high fence) per column."""
-    q = quantiles(df, columns, [0.25, 0.75], **({"small": small} if small else {}))
+    q = quantiles(df, columns, [0.25, 0.75], sizes=sizes)
     out = {}
     for c, (q1, q3) in q.items():
         reach = None if q1 is None else 1.5 * (q3 - q1)
@@ -181,7 +223,7 @@ def outlier_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Values outside the fences: count and percent of all rows, columns without any left out."""
     f = fences(df, columns)
     wide = df.agg(F.count(F.lit(1)).alias("rows"),
-                  *[F.count_if(F.coalesce(beyond(number(df, c), f[c]), F.lit(False))).alias(f"outliers__{i}") for i, c in enumerate(columns)])
+                  *[F.count_if(beyond(number(df, c), f[c])).alias(f"outliers__{i}") for i, c in enumerate(columns)])
     wide = wide.select("*", *[F.try_divide(F.col(f"outliers__{i}") * 100.0, F.col("rows")).alias(f"percent__{i}") for i in range(len(columns))])
     return spread_row(wide, columns, {"outliers": "long", "percent": "double"}).where("outliers > 0")
 
@@ -201,18 +243,17 @@ def number_profile(df: DataFrame, columns: list[str] | None = None, signed_cv: b
     cols = columns if columns is not None else numeric_columns(df)
     if not cols:
         return literal_rows(df.sparkSession, [], NUMBER_PROFILE)
-    basic = {r["column"]: r for r in row_dicts(moments(df, cols))}
-    f = fences(df, cols)
-    out = df.agg(*[F.avg(beyond(number(df, c), f[c]).cast("double")).alias(f"o{i}") for i, c in enumerate(cols)]).first()
+    total, base = basics(df, cols)
+    f = fences(df, cols, {c: base[c]["n"] for c in cols})
+    shape = centred(df, cols, base, f)
     rows = []
-    for i, c in enumerate(cols):
-        b = basic[c]
-        mean, std = b["mean"], b["std"]
+    for c in cols:
+        n, mean, std = base[c]["n"], base[c]["mean"], shape[c]["std"]
         cv = None if mean is None or std is None else (float("inf") if mean == 0 else std / mean)
         if cv is not None and not signed_cv:
             cv = abs(cv)
-        rows.append({**b, "missing_ratio": 1 - b["n"] / b["rows"] if b["rows"] else 0.0, "cv": cv,
-                     "q1": f[c][0], "q3": f[c][1], "outlier_ratio": out[f"o{i}"]})
+        rows.append({"column": c, **base[c], **shape[c], "n": float(n), "rows": float(total), "cv": cv, "q1": f[c][0], "q3": f[c][1],
+                     "missing_ratio": 1 - n / total if total else 0.0})
     return literal_rows(df.sparkSession, rows, NUMBER_PROFILE)
 
 
@@ -240,9 +281,9 @@ def range_iqr(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles, max per column."""
-    basic = row_dicts(moments(df, columns))
-    q = quantiles(df, columns, [0.25, 0.5, 0.75])
-    rows = [{**b, "count": int(b["n"]), "q25": q[b["column"]][0], "q50": q[b["column"]][1], "q75": q[b["column"]][2]} for b in basic]
+    basic = moments(df, columns)
+    q = quantiles(df, columns, [0.25, 0.5, 0.75], sizes={b["column"]: b["n"] for b in basic})
+    rows = [{**b, "count": b["n"], "q25": q[b["column"]][0], "q50": q[b["column"]][1], "q75": q[b["column"]][2]} for b in basic]
     return literal_rows(df.sparkSession, rows, "column string, count long, mean double, std double, min double,"
                                                " q25 double, q50 double, q75 double, max double")
 

@@ -3,8 +3,8 @@
 Small columns are answered by one ``percentile`` aggregate. Larger ones are narrowed
 by passes that each aggregate to one row: a bounded sketch brackets every wanted rank,
 exact counts confirm the bracket, and what is left inside shrinks by three orders of
-magnitude per pass, until it fits the small case. Repeated values end a search early,
-so a value that fills a third of the column costs nothing extra.
+magnitude per pass, until it is few enough values to look at. Repeated values end a
+search early, so a value that fills a third of the column costs nothing extra.
 """
 
 from __future__ import annotations
@@ -13,42 +13,45 @@ from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import at, number
+from ..functions.columns import at, double_sql, number
 
-SMALL = 2_000_000      # values a single aggregate buffer may hold
+SMALL = 50_000         # values a single aggregate buffer may hold
 ACCURACY = 10_000      # sketch accuracy of the narrowing passes
 COLUMNS_PER_PASS = 60  # expressions per job stay bounded for wide tables
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float],
-              small: int = SMALL) -> dict[str, list[float | None]]:
-    """``{column: [quantile per prob]}``; a column without values gives ``None`` entries."""
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], small: int = SMALL,
+              sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """``{column: [quantile per prob]}``; a column without values gives ``None`` entries.
+
+    ``sizes`` (non-missing values per column) saves a pass where the caller knows them."""
     exprs = {c: number(df, c) for c in columns}
-    return expression_quantiles(df, exprs, probs, small)
+    return expression_quantiles(df, exprs, probs, small, sizes)
 
 
-def expression_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
-                         small: int = SMALL) -> dict[str, list[float | None]]:
+def expression_quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float], small: int = SMALL,
+                         sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     names, out = list(exprs), {}
     for i in range(0, len(names), COLUMNS_PER_PASS):
         part = names[i:i + COLUMNS_PER_PASS]
         slim = df.select(*[exprs[n].alias(f"x{j}") for j, n in enumerate(part)])
-        for j, values in _solve(slim, len(part), probs, small).items():
+        for j, values in _solve(slim, len(part), probs, small, sizes and [sizes[n] for n in part]).items():
             out[part[j]] = values
     return out
 
 
-def _solve(df: DataFrame, width: int, probs: list[float], small: int):
-    sizes = df.agg(*[F.count(f"x{j}").alias(f"n{j}") for j in range(width)]).first()
-    wanted = {j: [(sizes[f"n{j}"] - 1) * p for p in probs] for j in range(width)}
-    light = [j for j in range(width) if 0 < sizes[f"n{j}"] <= small]
+def _solve(df: DataFrame, width: int, probs: list[float], small: int, sizes):
+    if sizes is None:
+        sizes = list(df.selectExpr(*[f"count(x{j})" for j in range(width)]).first())
+    wanted = {j: [(sizes[j] - 1) * p for p in probs] for j in range(width)}
+    light = [j for j in range(width) if 0 < sizes[j] <= small]
     out = {j: [None] * len(probs) for j in range(width)}
     if light:
-        row = df.agg(*[F.percentile(f"x{j}", F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{j}")
-                       for j in light]).first()
+        levels = ", ".join(double_sql(float(p)) for p in probs)
+        row = df.selectExpr(*[f"percentile(x{j}, array({levels})) AS q{j}" for j in light]).first()
         for j in light:
             out[j] = list(row[f"q{j}"])
-    heavy = {j: sizes[f"n{j}"] for j in range(width) if sizes[f"n{j}"] > small}
+    heavy = {j: sizes[j] for j in range(width) if sizes[j] > small}
     if heavy:
         ranks = {(j, r) for j in heavy for h in wanted[j] for r in (floor(h), ceil(h))}
         found = _order_statistics(df, ranks, heavy, small)
@@ -61,73 +64,88 @@ def _mix(low: float, high: float, weight: float) -> float:
     return low if weight == 0 else low + (high - low) * weight
 
 
-def _inside(j: int, low, high) -> Column:
-    x = F.col(f"x{j}")
-    test = x.isNotNull()
+def _inside(j: int, low, high) -> str:
+    test = f"x{j} IS NOT NULL"
     if low is not None:
-        test = test & (x > F.lit(low))
+        test += f" AND x{j} > {double_sql(low)}"
     if high is not None:
-        test = test & (x < F.lit(high))
+        test += f" AND x{j} < {double_sql(high)}"
     return test
 
 
 def _order_statistics(df, ranks, sizes, small):
     """Value at each (column, 0-based rank)."""
     found = {}
-    # per target: open interval, values at or below its lower end, values inside
-    todo = {t: (None, None, 0, sizes[t[0]]) for t in ranks}
+    # open interval of a column -> (values at or below its lower end, values inside, ranks wanted there)
+    todo = {(j, None, None): (0, n, sorted(r for c, r in ranks if c == j)) for j, n in sizes.items()}
     while todo:
-        ready = [t for t, s in todo.items() if s[3] <= small]
-        if ready:
-            spans = sorted({(t[0], todo[t][0], todo[t][1]) for t in ready}, key=str)
-            row = df.agg(*[
-                F.sort_array(F.collect_list(F.when(_inside(j, a, b), F.col(f"x{j}")))).alias(f"v{i}")
-                for i, (j, a, b) in enumerate(spans)]).first()
-            for t in ready:
-                low, high, below, _ = todo.pop(t)
-                found[t] = row[f"v{spans.index((t[0], low, high))}"][t[1] - below]
-        if not todo:
-            break
-        targets = list(todo)
-        sketches = []
-        for i, t in enumerate(targets):
-            low, high, below, inside = todo[t]
-            share, slack = (t[1] - below) / inside, 2.0 / ACCURACY
-            ends = [max(0.0, share - slack), min(1.0, share + slack)]
-            sketches.append(F.percentile_approx(
-                F.when(_inside(t[0], low, high), F.col(f"x{t[0]}")), ends, ACCURACY).alias(f"b{i}"))
-        brackets = df.agg(*sketches).first()
-        counts = []
-        for i, t in enumerate(targets):
-            low, high = todo[t][:2]
-            x, (b1, b2) = F.col(f"x{t[0]}"), brackets[f"b{i}"]
-            counts += [F.count_if(_inside(t[0], low, b1)).alias(f"l{i}"),
-                       F.count_if(x == F.lit(b1)).alias(f"e{i}"),
-                       F.count_if(_inside(t[0], b1, b2)).alias(f"m{i}"),
-                       F.count_if(x == F.lit(b2)).alias(f"f{i}")]
-        row = df.agg(*counts).first()
-        for i, t in enumerate(targets):
-            low, high, below, inside = todo[t]
-            b1, b2 = brackets[f"b{i}"]
-            less, equal, mid = row[f"l{i}"], row[f"e{i}"], row[f"m{i}"] if b2 > b1 else 0
-            equal_high = row[f"f{i}"] if b2 > b1 else 0
-            rank = t[1] - below
-            if rank < less:
-                todo[t] = (low, b1, below, less)
-            elif rank < less + equal:
-                found[t] = b1
-                del todo[t]
-            elif rank < less + equal + mid:
-                todo[t] = (b1, b2, below + less + equal, mid)
-            elif rank < less + equal + mid + equal_high:
-                found[t] = b2
-                del todo[t]
-            else:
-                passed = less + equal + mid + equal_high
-                todo[t] = (b2, high, below + passed, inside - passed)
+        spans = list(todo)
+        brackets = _brackets(df, spans, todo)
+        light = {s for s in spans if todo[s][1] * 6 / ACCURACY <= small}
+        tests, keys = [], []
+        for span, b1, b2, wanted in brackets:
+            j, low, _ = span
+            i, inner = len(keys), _inside(j, b1, b2)
+            keys.append((span, b1, b2, wanted))
+            tests += [f"count_if({_inside(j, low, b1)}) AS l{i}", f"count_if(x{j} = {double_sql(b1)}) AS e{i}", f"count_if(x{j} = {double_sql(b2)}) AS f{i}",
+                      f"sort_array(collect_list(CASE WHEN {inner} THEN x{j} END)) AS m{i}" if span in light else f"count_if({inner}) AS m{i}"]
+        row = df.selectExpr(*tests).first()
+        todo = {}
+        for i, (span, b1, b2, wanted) in enumerate(keys):
+            j, low, high = span
+            below, inside = wanted["below"], wanted["inside"]
+            less, equal, mid = row[f"l{i}"], row[f"e{i}"], row[f"m{i}"]
+            held = mid if isinstance(mid, list) else None
+            width = len(held) if held is not None else mid
+            if b1 == b2:
+                width, held = 0, []
+            top = row[f"f{i}"] if b2 > b1 else 0
+            for r in wanted["ranks"]:
+                place = r - below
+                if place < less:
+                    _want(todo, (j, low, b1), below, less, r)
+                elif place < less + equal:
+                    found[j, r] = b1
+                elif place < less + equal + width:
+                    if held is not None:
+                        found[j, r] = held[place - less - equal]
+                    else:
+                        _want(todo, (j, b1, b2), below + less + equal, width, r)
+                elif place < less + equal + width + top:
+                    found[j, r] = b2
+                else:
+                    passed = less + equal + width + top
+                    _want(todo, (j, b2, high), below + passed, inside - passed, r)
     return found
 
 
+def _want(todo, span, below, inside, rank):
+    todo.setdefault(span, (below, inside, []))[2].append(rank)
+
+
+def _brackets(df, spans, todo):
+    """One sketch per open interval gives two values around every run of neighbouring ranks."""
+    plans, sketches, slack = [], [], 2.0 / ACCURACY
+    for i, span in enumerate(spans):
+        below, inside, ranks = todo[span]
+        runs = []
+        for r in sorted(set(ranks)):
+            if runs and r - runs[-1][-1] <= 1:
+                runs[-1].append(r)
+            else:
+                runs.append([r])
+        ends = [e for run in runs for e in (max(0.0, (run[0] - below) / inside - slack), min(1.0, (run[-1] - below) / inside + slack))]
+        plans.append((span, runs))
+        sketches.append(f"percentile_approx(CASE WHEN {_inside(*span)} THEN x{span[0]} END, array({', '.join(map(double_sql, ends))}), {ACCURACY}) AS b{i}")
+    row = df.selectExpr(*sketches).first()
+    out = []
+    for i, (span, runs) in enumerate(plans):
+        values = row[f"b{i}"]
+        for k, run in enumerate(runs):
+            out.append((span, values[2 * k], values[2 * k + 1], {"ranks": run, "below": todo[span][0], "inside": todo[span][1]}))
+    return out
+
+
 def grouped_quantiles(df: DataFrame, group: str, column: str, probs: list[float],
                       small: int = SMALL) -> DataFrame:
     """``group, n, q`` (array of quantiles). Groups above ``small`` rows are narrowed one batch

@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from . import advising, profiling, typing
+from . import advising, augmenting, preparing, profiling, typing
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "advising", "profiling", "typing"]
+__all__ = ["QUERIES", "SQL", "advising", "augmenting", "preparing", "profiling", "typing"]

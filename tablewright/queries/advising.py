@@ -218,9 +218,12 @@ def _(spark, sf):
 FIRST, IMPROVED, SIMPLE, TYPED = rules_load("first"), rules_load("improved"), rules_load("simple"), rules_load("by_type")
 
 
-@query("advise_any_mode", advice_sql(SHAPE_FACTS, FIRST["numeric"]))
+LOPSIDED = ["spend", "spend_rate", "two_peaks", "m60", "m40", "m20", "m10", "m2"]   # clearly skewed: no test at exactly zero
+
+
+@query("advise_any_mode", advice_sql("(" + shape_sql(SHAPES_SQL, LOPSIDED) + ")", FIRST["numeric"]))
 def _(spark, sf):
-    return advice.advise_any_mode(shapes(spark, sf), FIRST)
+    return advice.advise_any_mode(shapes(spark, sf).select(*LOPSIDED), FIRST)
 
 
 @query("custom_rules", advice_sql(MIXED_SHAPES, IMPROVED["numeric"]) + " UNION ALL " + advice_sql(facts_sql(MIXED_SQL, MIXED_TEXTS, []), IMPROVED["categorical"]))

@@ -66,11 +66,11 @@ def _(spark, sf):
     return rounded(p.column_info(holed_events(spark, sf)))
 
 
-@query("describe", each("SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min,"
-                        " round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75,"
-                        " round(max({c}), 6) AS max FROM lineitem", PRICES))
+@query("describe", each("SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 7) AS std, round(min({c}), 7) AS min,"
+                        " round(quantile_cont({c}, 0.25), 7) AS q25, round(quantile_cont({c}, 0.5), 7) AS q50, round(quantile_cont({c}, 0.75), 7) AS q75,"
+                        " round(max({c}), 7) AS max FROM lineitem", PRICES))
 def _(spark, sf):
-    return rounded(p.describe(table(spark, sf, "lineitem"), PRICES))
+    return rounded(p.describe(table(spark, sf, "lineitem"), PRICES), 7)
 
 
 @query("categorical_summary", each(
