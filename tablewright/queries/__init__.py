@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from . import advising, augmenting, filing, preparing, profiling, typing
+from . import advising, augmenting, filing, modelling, preparing, profiling, typing
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "advising", "augmenting", "filing", "preparing", "profiling", "typing"]
+__all__ = ["QUERIES", "SQL", "advising", "augmenting", "filing", "modelling", "preparing", "profiling", "typing"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
 from pyspark.sql import functions as F
@@ -183,12 +184,12 @@ def _(spark, sf):
     return jobs.progress_log(spark, run, files.scan_files(spark, sf).count())
 
 
-@query("resample_stream", "SELECT date_trunc('day', ts)::TIMESTAMPTZ AS start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMPTZ AS \"end\", round(avg(value), 6) AS value, count(*) AS n FROM events GROUP BY 1, 2"
+@query("resample_stream", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS \"end\", round(avg(value), 6) AS value, count(*) AS n FROM events GROUP BY 1, 2"
        " HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def _(spark, sf):
     schema, out = table(spark, sf, "events").schema, scratch_dir(spark)
     jobs.resample_stream(spark, sf, "events.parquet", schema, "ts", "value", out, scratch_dir(spark))
-    return rounded(spark.read.parquet(out))
+    return rounded(spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}))
 
 
 # ---- images -------------------------------------------------------------------------
@@ -217,17 +218,18 @@ def write_bitmaps(spark, sf) -> str:
     """One uncompressed bitmap file per document, written by the tasks to the shared folder: the text's bytes as grey rows of 16 pixels."""
     import struct
     path = scratch_dir(spark)
-    store = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(store)
+    uri = re.sub("^file:/+", "file:///", path)
 
     def write(batches):
-        import os
+        from pyarrow.fs import FileSystem
+        store, base = FileSystem.from_uri(uri)      # local, HDFS or object store, as the shared folder is
+        store.create_dir(base, recursive=True)
         for b in batches:
             for r in b.itertuples(index=False):
                 rows = [r.data[i:i + 48] for i in range(0, len(r.data), 48)]
                 body = b"".join(reversed(rows))
                 head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(body), 0, 0, 54, 40, 16, len(rows), 1, 24, 0, len(body), 2835, 2835, 0, 0)
-                with open(os.path.join(path, os.path.basename(r.origin).replace(".txt", ".bmp")), "wb") as f:
+                with store.open_output_stream(f"{base}/{r.origin.split('/')[-1].replace('.txt', '.bmp')}") as f:
                     f.write(head + body)
             yield b[["origin"]]
     text_images(spark, sf).mapInPandas(write, "origin string").count()
