@@ -200,3 +200,23 @@ def eps_join(points: DataFrame, eps: float) -> DataFrame:
     named = members_of(points).select("vid", "id")
     return (pairs.join(named.withColumnRenamed("id", "left"), "vid").join(named.select(F.col("vid").alias("near"), F.col("id").alias("right")), "near")
             .where("left < right").select("left", "right", "distance"))
+
+
+def impute_knn(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFrame:
+    """Each missing number takes the mean of the ``k`` rows nearest in the other columns (scaled, means for their holes)."""
+    from ..functions.columns import missing, number
+    from .prep import impute_mean, scale_standard
+    scaled = scale_standard(impute_mean(df.select(at(key), *[number(df, c).alias(c) for c in columns]), columns), columns)
+    out = df
+    for c in columns:
+        others = [o for o in columns if o != c]
+        holes = df.where(missing(df, c)).select(at(key).alias("_k"))
+        if holes.isEmpty():
+            continue
+        points = vectors(scaled, key, others)
+        near = knn_join(points.join(holes, points["id"] == F.col("_k"), "left_semi"), points.join(holes, points["id"] == F.col("_k"), "left_anti"), k)
+        values = df.select(at(key).alias("neighbour"), number(df, c).alias("_v"))
+        means = near.join(values, "neighbour").groupBy("id").agg(F.avg("_v").alias("_m"))
+        out = out.join(means, at(key) == F.col("id"), "left").select(*[
+            F.coalesce(number(out, c), F.col("_m")).alias(c) if n == c else at(n) for n in out.columns])
+    return out

@@ -1,15 +1,17 @@
 """Exact quantiles (linear interpolation) whose memory does not grow with the table.
 
 Small columns are answered by one ``percentile`` aggregate. Larger ones are narrowed
-by passes that each aggregate to one row: a bounded sketch brackets every wanted rank,
-exact counts confirm the bracket, and what is left inside shrinks by three orders of
-magnitude per pass, until it is few enough values to look at. Repeated values end a
-search early, so a value that fills a third of the column costs nothing extra.
+by passes that each aggregate to one row: a sketch of a bounded random sample brackets every
+wanted rank, exact counts over all rows confirm the bracket (a missed one is searched on
+the side the counts name), and what is left inside shrinks by one to two orders of
+magnitude per pass, until it is few enough values to look at. The result is exact
+whatever the sample holds. Repeated values end a search early, so a value that fills a
+third of the column costs nothing extra.
 """
 
 from __future__ import annotations
 
-from math import ceil, floor
+from math import ceil, floor, sqrt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,6 +19,7 @@ from ..functions.columns import at, double_sql, number
 
 SMALL = 50_000         # values a single aggregate buffer may hold
 ACCURACY = 10_000      # sketch accuracy of the narrowing passes
+SAMPLES = (100_000, 1_000_000)   # sampled values per pass: a tenth of the rest between these bounds
 COLUMNS_PER_PASS = 60  # expressions per job stay bounded for wide tables
 
 
@@ -81,14 +84,13 @@ def _order_statistics(df, ranks, sizes, small):
     while todo:
         spans = list(todo)
         brackets = _brackets(df, spans, todo)
-        light = {s for s in spans if todo[s][1] * 6 / ACCURACY <= small}
         tests, keys = [], []
         for span, b1, b2, wanted in brackets:
             j, low, _ = span
             i, inner = len(keys), _inside(j, b1, b2)
             keys.append((span, b1, b2, wanted))
             tests += [f"count_if({_inside(j, low, b1)}) AS l{i}", f"count_if(x{j} = {double_sql(b1)}) AS e{i}", f"count_if(x{j} = {double_sql(b2)}) AS f{i}",
-                      f"sort_array(collect_list(CASE WHEN {inner} THEN x{j} END)) AS m{i}" if span in light else f"count_if({inner}) AS m{i}"]
+                      f"sort_array(collect_list(CASE WHEN {inner} THEN x{j} END)) AS m{i}" if wanted["expected"] <= small else f"count_if({inner}) AS m{i}"]
         row = df.selectExpr(*tests).first()
         todo = {}
         for i, (span, b1, b2, wanted) in enumerate(keys):
@@ -125,7 +127,7 @@ def _want(todo, span, below, inside, rank):
 
 def _brackets(df, spans, todo):
     """One sketch per open interval gives two values around every run of neighbouring ranks."""
-    plans, sketches, slack = [], [], 2.0 / ACCURACY
+    plans, sketches = [], []
     for i, span in enumerate(spans):
         below, inside, ranks = todo[span]
         runs = []
@@ -134,18 +136,33 @@ def _brackets(df, spans, todo):
                 runs[-1].append(r)
             else:
                 runs.append([r])
-        ends = [e for run in runs for e in (max(0.0, (run[0] - below) / inside - slack), min(1.0, (run[-1] - below) / inside + slack))]
-        plans.append((span, runs))
-        sketches.append(f"percentile_approx(CASE WHEN {_inside(*span)} THEN x{span[0]} END, array({', '.join(map(double_sql, ends))}), {ACCURACY}) AS b{i}")
-    row = df.selectExpr(*sketches).first()
+        size = min(inside, max(SAMPLES[0], min(SAMPLES[1], inside // 10)))
+        ends = []
+        for run in runs:
+            share = (run[0] - below) / inside
+            # five deviations of a sampled rank, and the sketch's own error
+            slack = 2.0 / ACCURACY + (5 * sqrt(share * (1 - share) / size) if size < inside else 0.0)
+            ends += [max(0.0, share - slack), min(1.0, (run[-1] - below) / inside + slack)]
+        plans.append((span, runs, ends))
+        drawn = _inside(*span) + (f" AND u < {double_sql(size / inside)}" if size < inside else "")
+        sketches.append(f"percentile_approx(CASE WHEN {drawn} THEN x{span[0]} END, array({', '.join(map(double_sql, ends))}), {ACCURACY}) AS b{i}")
+    row = df.selectExpr("*", "rand(7) AS u").selectExpr(*sketches).first()
     out = []
-    for i, (span, runs) in enumerate(plans):
+    for i, (span, runs, ends) in enumerate(plans):
         values = row[f"b{i}"]
+        if values is None:      # an empty sample of a tiny rest: bracket it by its own ends
+            values = [x for _ in runs for x in _ends(df, span)]
         for k, run in enumerate(runs):
-            out.append((span, values[2 * k], values[2 * k + 1], {"ranks": run, "below": todo[span][0], "inside": todo[span][1]}))
+            below, inside = todo[span][:2]
+            out.append((span, values[2 * k], values[2 * k + 1], {
+                "ranks": run, "below": below, "inside": inside, "expected": 2 * inside * (ends[2 * k + 1] - ends[2 * k])}))
     return out
 
 
+def _ends(df, span):
+    return list(df.selectExpr(f"min(CASE WHEN {_inside(*span)} THEN x{span[0]} END)", f"max(CASE WHEN {_inside(*span)} THEN x{span[0]} END)").first())
+
+
 def grouped_quantiles(df: DataFrame, group: str, column: str, probs: list[float],
                       small: int = SMALL) -> DataFrame:
     """``group, n, q`` (array of quantiles). Groups above ``small`` rows are narrowed one batch
