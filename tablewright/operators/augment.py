@@ -62,16 +62,16 @@ def repeat_rows(df: DataFrame, copies, most: int, copy: str | None = None) -> Da
 def aug_drop(df: DataFrame, keys: list[str], rate: float = 0.1, seed: int = 42) -> DataFrame:
     """Remove ``int(n · rate)`` rows."""
     gone = int(df.count() * rate)
-    return hash_cut(df, keys, seed, gone).where(~F.col("first")).drop("first")
+    return hash_cut(df, keys, seed, gone).where(~F.col("_first")).drop("_first")
 
 
 def drawn_rows(df: DataFrame, keys: list[str], n: int, draws: DataFrame, seed: int) -> DataFrame:
-    """Rows drawn with replacement: ``draws`` has a unique long ``draw``; each picks row ``int(u · n)`` of the digest order.
+    """Rows drawn with replacement: ``draws`` has a unique long ``_draw``; each picks row ``int(u · n)`` of the digest order.
 
     Both sides of the join are evenly spread: picks are uniform and positions unique."""
     at_position = shuffled_positions(df, keys, seed)
-    picks = draws.withColumn("pos", F.floor(uniform([F.col("draw")], seed, "pick") * n))
-    return picks.join(at_position, "pos").drop("pos")
+    picks = draws.withColumn("_pos", F.floor(uniform([F.col("_draw")], seed, "pick") * n))
+    return picks.join(at_position, "_pos").drop("_pos")
 
 
 def aug_general(df: DataFrame, keys: list[str], ratio: float = 0.5, level: float = 0.05, seed: int = 42) -> DataFrame:
@@ -79,8 +79,8 @@ def aug_general(df: DataFrame, keys: list[str], ratio: float = 0.5, level: float
     n = df.count()
     m = max(1, int(n * ratio))
     spread = deviations(df, features(df, keys))
-    drawn = drawn_rows(df, keys, n, df.sparkSession.range(m).withColumnRenamed("id", "draw"), seed)
-    extra = noisy(drawn, [F.col("draw")], level, seed, spread).select(*df.columns)
+    drawn = drawn_rows(df, keys, n, df.sparkSession.range(m).withColumnRenamed("id", "_draw"), seed)
+    extra = noisy(drawn, [F.col("_draw")], level, seed, spread).select(*df.columns)
     return df.select(*[number(df, c).alias(c) if c in spread else at(c) for c in df.columns]).unionByName(extra)
 
 
@@ -93,11 +93,11 @@ def aug_feature(df: DataFrame, keys: list[str], share: float = 0.3, seed: int =
     n, base = basics(df, cols)
     shape = centred(df, cols, base)
     m = int(n * share)
-    draws = (df.sparkSession.range(m * len(cols)).withColumnRenamed("id", "draw")
-             .withColumn("_col", F.expr(f"draw div {max(m, 1)}")).withColumn("_i", F.col("draw") % max(m, 1)))
+    draws = (df.sparkSession.range(m * len(cols)).withColumnRenamed("id", "_draw")
+             .withColumn("_col", F.expr(f"_draw div {max(m, 1)}")).withColumn("_i", F.col("_draw") % max(m, 1)))
     drawn = drawn_rows(df, keys, n, draws, seed)
-    u, z = uniform([F.col("draw")], seed, "value"), normal([F.col("draw")], seed, "value")
-    side = uniform([F.col("draw")], seed, "side")
+    u, z = uniform([F.col("_draw")], seed, "value"), normal([F.col("_draw")], seed, "value")
+    side = uniform([F.col("_draw")], seed, "side")
     out = {}
     for k, c in enumerate(cols):
         mean, std, low, high = base[c]["mean"], shape[c]["std"] or 0.0, base[c]["min"], base[c]["max"]
@@ -116,7 +116,7 @@ def aug_resize(df: DataFrame, keys: list[str], original_rows: int, ratio: float
     n, wanted = df.count(), int(original_rows * (1 + ratio))
     if n <= wanted:
         return df
-    draws = df.sparkSession.range(wanted).withColumnRenamed("id", "draw")
+    draws = df.sparkSession.range(wanted).withColumnRenamed("id", "_draw")
     return drawn_rows(df, keys, n, draws, seed).select(*df.columns)
 
 

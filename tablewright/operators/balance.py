@@ -26,7 +26,7 @@ def undersample_random(df: DataFrame, target: str, keys: list[str], seed: int =
     """Every class cut to the size of the least one."""
     counts = class_counts(df, target)
     least = min(counts.values(), default=0)
-    return hash_cut(df, keys, seed, {c: least for c in counts}, target).where("first").drop("first")
+    return hash_cut(df, keys, seed, {c: least for c in counts}, target).where("_first").drop("_first")
 
 
 def _copies(df: DataFrame, target: str, keys: list[str], wanted: dict, counts: dict, seed: int):
@@ -38,7 +38,7 @@ def _copies(df: DataFrame, target: str, keys: list[str], wanted: dict, counts: d
     base = F.lit(0)
     for c, g in grow.items():
         base = F.when(at(target) == F.lit(c), F.lit(g // counts[c])).otherwise(base)
-    rows = rows.withColumn("_copies", base + F.col("first").cast("int")).drop("first")
+    rows = rows.withColumn("_copies", base + F.col("_first").cast("int")).drop("_first")
     return rows.where("_copies > 0"), max(g // counts[c] + 1 for c, g in grow.items())
 
 

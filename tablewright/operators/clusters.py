@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import at, number, numeric_columns
 from ..plans.positions import ordered_positions
 from ..session import written
-from .neighbours import CHUNK, _candidates, _distances, _merged, _prepare, _query_groups, eps_counts, knn_join, members_of
+from .neighbours import CHUNK, _candidates, _distances, _merged, _prepare, _query_groups, eps_counts, knn_join, members_of, nothing
 from .prep import impute_median, scale_standard
 from .profile import basics, centred, literal_rows
 from .select import inf_to_null
@@ -87,7 +87,7 @@ def _core_links(core: DataFrame, eps: float) -> DataFrame:
 
     def forest(key, left, right):
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype=str)
+            return nothing(a=object, b=object)
         near = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float)) <= eps
         a, b, out = left["vid"].to_numpy(), right["vid"].to_numpy(), []
         fresh_left, fresh_right = np.ones(len(a), bool), np.ones(len(b), bool)
@@ -105,7 +105,7 @@ def _core_links(core: DataFrame, eps: float) -> DataFrame:
                         fresh_left[m] = False
                         out.append((a[m], b[j]))
                         queue.append(m)
-        return pd.DataFrame(out, columns=["a", "b"])
+        return pd.DataFrame({"a": np.array([e[0] for e in out], dtype=object), "b": np.array([e[1] for e in out], dtype=object)})
 
     return (grouped.groupBy("cell", "chunk", "part").cogroup(spread.select("cell", "chunk", "part", "vid", "x").groupBy("cell", "chunk", "part"))
             .applyInPandas(forest, "a string, b string").where("a <> b"))
@@ -146,7 +146,7 @@ def cluster_dbscan(pts: DataFrame, eps: float, min_points: int) -> DataFrame:
     ranked, _ = ordered_positions(labels.select("label").distinct(), ["label"])
     core_rows = members_of(core).join(by_vector, "vid").select("id", "label")
     border = _border(rest, core, by_vector, eps)
-    found = core_rows.unionByName(border).join(ranked, "label").select("id", F.col("pos").alias("cluster"))
+    found = core_rows.unionByName(border).join(ranked, "label").select("id", F.col("_pos").alias("cluster"))
     return pts.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 
@@ -159,7 +159,7 @@ def _border(rest: DataFrame, core: DataFrame, by_vector: DataFrame, eps: float)
 
     def least(key, left, right):
         if left.empty or right.empty:
-            return pd.DataFrame({"vid": [], "label": []})
+            return nothing(vid=object, label="int64")
         near = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float)) <= eps
         lab = right["label"].to_numpy()
         rows = np.nonzero(near.any(axis=1))[0]
@@ -181,7 +181,7 @@ def _silhouette(data: DataFrame) -> float:
 
     def sums(key, left, right):
         if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "cluster": [], "other": [], "d": []})
+            return nothing(id="int64", cluster="int64", other="int64", d=float)
         d = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float))
         groups = right["cluster"].to_numpy()
         return pd.concat([pd.DataFrame({"id": left["id"], "cluster": left["cluster"], "other": g, "d": d[:, groups == g].sum(axis=1)}) for g in np.unique(groups)])

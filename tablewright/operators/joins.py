@@ -34,5 +34,5 @@ def align_before_after(before: DataFrame, after: DataFrame, column: str, before_
     """One column of two tables side by side by row position (in key order)."""
     def numbered(df, keys, name):
         rows, _ = ordered_positions(df.select(*dict.fromkeys([*keys, column])), keys)
-        return rows.select("pos", at(column).alias(name))
+        return rows.select(F.col("_pos").alias("pos"), at(column).alias(name))
     return numbered(before, before_keys, "original").join(numbered(after, after_keys, "augmented"), "pos", "full_outer")

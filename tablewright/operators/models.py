@@ -48,7 +48,7 @@ def dataset(df: DataFrame, target: str, key: str, features: list[str] | None = N
 
 def folds(df: DataFrame, keys: list[str], k: int = 3, target: str | None = None, seed: int = SEED) -> DataFrame:
     """Add ``fold`` 0 to k-1: digest order dealt out in turn, per class if a target is given."""
-    return shuffled_positions(df, keys, seed, [target] if target else None).withColumn("fold", F.pmod(F.col("pos"), F.lit(k)).cast("int")).drop("pos")
+    return shuffled_positions(df, keys, seed, [target] if target else None).withColumn("fold", F.pmod(F.col("_pos"), F.lit(k)).cast("int")).drop("_pos")
 
 
 @dataclass

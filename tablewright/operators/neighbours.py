@@ -20,6 +20,11 @@ PIVOTS = 64
 CHUNK = 4_000   # vectors per side of one task's distance block
 
 
+def nothing(**kinds) -> pd.DataFrame:
+    """An empty block with column types."""
+    return pd.DataFrame({c: pd.Series([], dtype=k) for c, k in kinds.items()})
+
+
 def vectors(df: DataFrame, key: str, columns: list[str] | None = None, array: str | None = None) -> DataFrame:
     """(id, x): the key and the coordinates as ``array<double>``."""
     x = at(array).cast("array<double>") if array else F.array(*[at(c).cast("double") for c in columns])
@@ -27,8 +32,8 @@ def vectors(df: DataFrame, key: str, columns: list[str] | None = None, array: st
 
 
 def vector_id() -> Column:
-    """Digest that names a vector."""
-    return F.md5(F.concat_ws(",", F.transform("x", lambda v: v.cast("string"))))
+    """Digest that names a vector; -0.0 is 0.0, as in grouping."""
+    return F.md5(F.concat_ws(",", F.transform("x", lambda v: (v + F.lit(0.0)).cast("string"))))
 
 
 def members_of(points: DataFrame) -> DataFrame:
@@ -140,7 +145,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = F
 
     def nearest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"vid": [], "near": [], "distance": []}).astype({"distance": float})
+            return nothing(vid=object, near=object, distance=float)
         d = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float))
         # ties at the cut are kept, ids decide later
         m = min(need, d.shape[1])
@@ -171,7 +176,7 @@ def eps_counts(points: DataFrame, eps: float) -> DataFrame:
 
     def count(key, left, right):
         if left.empty or right.empty:
-            return pd.DataFrame({"vid": [], "n": []}).astype({"n": "int64"})
+            return nothing(vid=object, n="int64")
         d = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float))
         return pd.DataFrame({"vid": left["vid"].to_numpy(), "n": ((d <= eps) * right["n"].to_numpy()[None, :]).sum(axis=1).astype("int64")})
 
@@ -190,7 +195,7 @@ def eps_join(points: DataFrame, eps: float) -> DataFrame:
 
     def close(key, left, right):
         if left.empty or right.empty:
-            return pd.DataFrame({"vid": [], "near": [], "distance": []}).astype({"distance": float})
+            return nothing(vid=object, near=object, distance=float)
         d = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float))
         rows, cols = np.nonzero(d <= eps)
         return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "near": right["vid"].to_numpy()[cols], "distance": d[rows, cols]})

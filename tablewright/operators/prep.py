@@ -220,7 +220,7 @@ def encode_ordinal(df: DataFrame, column: str) -> DataFrame:
     from ..plans.positions import ordered_positions
     distinct = df.where(~missing(df, column)).select(at(column).alias("v")).distinct()
     ranked, _ = ordered_positions(distinct, ["v"])
-    return lookup_encode(df, column, ranked.select("v", F.col("pos").cast("double").alias("pos")), "v", "pos")
+    return lookup_encode(df, column, ranked.select("v", F.col("_pos").cast("double").alias("pos")), "v", "pos")
 
 
 encode_label = encode_ordinal

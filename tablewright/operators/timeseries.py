@@ -25,15 +25,15 @@ def _framed(df: DataFrame, date: str, keys: list[str], series: list[str], before
     """Numbered rows in blocks, and the window per block and series."""
     numbered, total = ordered_positions(df, [*series, date, *keys])
     blocks = in_blocks(numbered, block_size(total), before, after)
-    return blocks, Window.partitionBy("block", *[at(s) for s in series]).orderBy("pos")
+    return blocks, Window.partitionBy("_block", *[at(s) for s in series]).orderBy("_pos")
 
 
 def ts_shift(df: DataFrame, date: str, keys: list[str], rows: int = 1, series: list[str] = (), columns: list[str] | None = None) -> DataFrame:
     """Numbers moved down by ``rows`` rows (up if negative); rows left incomplete are dropped."""
     cols = columns or measures(df, date, keys, series)
     blocks, w = _framed(df, date, keys, list(series), max(rows, 0), max(-rows, 0))
-    moved = blocks.select("own", *[F.lag(at(c), rows).over(w).alias(c) if c in cols else at(c) for c in df.columns])
-    return moved.where("own").drop("own").na.drop("any")
+    moved = blocks.select("_own", *[F.lag(at(c), rows).over(w).alias(c) if c in cols else at(c) for c in df.columns])
+    return moved.where("_own").drop("_own").na.drop("any")
 
 
 def ts_window_average(df: DataFrame, date: str, keys: list[str], size: int = 3, series: list[str] = (), columns: list[str] | None = None) -> DataFrame:
@@ -43,14 +43,14 @@ def ts_window_average(df: DataFrame, date: str, keys: list[str], size: int = 3,
     blocks, w = _framed(df, date, keys, list(series), before, after)
     frame = w.rowsBetween(-before, after)
     mean = lambda c: F.when(F.count(number(df, c)).over(frame) == size, F.avg(number(df, c)).over(frame))
-    return blocks.select("own", *[mean(c).alias(c) if c in cols else at(c) for c in df.columns]).where("own").drop("own").na.drop("any")
+    return blocks.select("_own", *[mean(c).alias(c) if c in cols else at(c) for c in df.columns]).where("_own").drop("_own").na.drop("any")
 
 
 def lag_features(df: DataFrame, date: str, keys: list[str], column: str, lags: int, series: list[str] = ()) -> DataFrame:
     """Columns ``<column>_lag_1`` to ``_lag_<lags>``."""
     blocks, w = _framed(df, date, keys, list(series), lags, 0)
-    return (blocks.select("own", *[at(c) for c in df.columns], *[F.lag(at(column), i).over(w).alias(f"{column}_lag_{i}") for i in range(1, lags + 1)])
-            .where("own").drop("own"))
+    return (blocks.select("_own", *[at(c) for c in df.columns], *[F.lag(at(column), i).over(w).alias(f"{column}_lag_{i}") for i in range(1, lags + 1)])
+            .where("_own").drop("_own"))
 
 
 def rolling_statistics(df: DataFrame, date: str, keys: list[str], column: str, size: int, series: list[str] = ()) -> DataFrame:
@@ -59,27 +59,27 @@ def rolling_statistics(df: DataFrame, date: str, keys: list[str], column: str, s
     frame, v = w.rowsBetween(-(size - 1), 0), number(df, column)
     full = F.count(v).over(frame) == size
     stats = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    return (blocks.select("own", *[at(c) for c in df.columns], *[F.when(full, f(v).over(frame)).alias(f"{column}_rolling_{n}") for n, f in stats.items()])
-            .where("own").drop("own"))
+    return (blocks.select("_own", *[at(c) for c in df.columns], *[F.when(full, f(v).over(frame)).alias(f"{column}_rolling_{n}") for n, f in stats.items()])
+            .where("_own").drop("_own"))
 
 
 def _fill(df: DataFrame, date: str, keys: list[str], columns: list[str], series: list[str], forward: bool) -> DataFrame:
     numbered, total = ordered_positions(df, [*series, date, *keys])
-    blocks = numbered.withColumn("block", F.expr(f"pos div {block_size(total)}"))
+    blocks = numbered.withColumn("_block", F.expr(f"_pos div {block_size(total)}"))
     parts = [at(s) for s in series]
     pick = F.max_by if forward else F.min_by
     clean = lambda c: F.when(~missing(df, c), at(c))
     # what each block hands on: its last (first) known value per column; one row per block
-    edges = blocks.groupBy("block", *parts).agg(*[pick(clean(c), F.when(~missing(df, c), F.col("pos"))).alias(f"_e_{c}") for c in columns])
-    order = Window.partitionBy(*parts).orderBy("block")
+    edges = blocks.groupBy("_block", *parts).agg(*[pick(clean(c), F.when(~missing(df, c), F.col("_pos"))).alias(f"_e_{c}") for c in columns])
+    order = Window.partitionBy(*parts).orderBy("_block")
     span = order.rowsBetween(Window.unboundedPreceding, -1) if forward else order.rowsBetween(1, Window.unboundedFollowing)
     take = F.last if forward else F.first
-    carry = edges.select("block", *parts, *[take(f"_e_{c}", ignorenulls=True).over(span).alias(f"_c_{c}") for c in columns])
-    same = F.col("l.block") == F.col("r.block")
+    carry = edges.select("_block", *parts, *[take(f"_e_{c}", ignorenulls=True).over(span).alias(f"_c_{c}") for c in columns])
+    same = F.col("l._block") == F.col("r._block")
     for s in series:
         same = same & F.col(f"l.{s}").eqNullSafe(F.col(f"r.{s}"))
     joined = blocks.alias("l").join(carry.alias("r"), same, "left").select("l.*", *[f"r._c_{c}" for c in columns])
-    w = Window.partitionBy("block", *parts).orderBy("pos")
+    w = Window.partitionBy("_block", *parts).orderBy("_pos")
     inside = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
     return joined.select(*[
         F.coalesce(take(clean(c), ignorenulls=True).over(inside), F.col(f"_c_{c}")).alias(c) if c in columns else at(c) for c in df.columns])

@@ -24,41 +24,41 @@ BLOCKS = 20_000              # number of blocks stays near this for large tables
 
 
 def _with_offsets(df: DataFrame, bucket: str, within: Column, groups: list[str]) -> DataFrame:
-    """Add ``pos``: rows in earlier buckets plus the place within the bucket."""
-    sizes = df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("size"))
+    """Add ``_pos``: rows in earlier buckets plus the place within the bucket."""
+    sizes = df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # at most 65,536 buckets (or the partition count) per group
-    offsets = sizes.select(*groups, bucket, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    offsets = sizes.select(*groups, bucket, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     if not groups:
         offsets = F.broadcast(offsets)
-    return (df.withColumn("place", within).join(offsets, [*groups, bucket])
-            .withColumn("pos", F.col("offset") + F.col("place")).drop("place", "offset", bucket))
+    return (df.withColumn("_place", within).join(offsets, [*groups, bucket])
+            .withColumn("_pos", F.col("_offset") + F.col("_place")).drop("_place", "_offset", bucket))
 
 
 def shuffled_positions(df: DataFrame, keys: list[str], seed: int, groups: list[str] | None = None) -> DataFrame:
-    """Add ``pos`` (0-based) in digest order, per group if groups are given. ``keys`` must be unique."""
+    """Add ``_pos`` (0-based) in digest order, per group if groups are given. ``keys`` must be unique."""
     groups = groups or []
-    tagged = df.withColumn("h", digest(keys, seed, "order")).withColumn("b", F.substring("h", 1, PREFIX))
-    order = Window.partitionBy(*groups, "b").orderBy("h", *[at(k) for k in keys])
-    return _with_offsets(tagged, "b", F.row_number().over(order) - 1, groups).drop("h")
+    tagged = df.withColumn("_h", digest(keys, seed, "order")).withColumn("_b", F.substring("_h", 1, PREFIX))
+    order = Window.partitionBy(*groups, "_b").orderBy("_h", *[at(k) for k in keys])
+    return _with_offsets(tagged, "_b", F.row_number().over(order) - 1, groups).drop("_h")
 
 
 def hash_cut(df: DataFrame, keys: list[str], seed: int, m: int | dict, group: str | None = None) -> DataFrame:
-    """Add boolean ``first``: the row is among the first ``m`` in digest order.
+    """Add boolean ``_first``: the row is among the first ``m`` in digest order.
 
     With ``group``, ``m`` is a dict from group value to count (absent groups: none).
     """
     wanted = m if group else {None: m}
-    tagged = df.withColumn("h", digest(keys, seed, "order")).withColumn("b", F.substring("h", 1, PREFIX))
+    tagged = df.withColumn("_h", digest(keys, seed, "order")).withColumn("_b", F.substring("_h", 1, PREFIX))
     by = [group] if group else []
-    sizes = tagged.groupBy(*by, "b").count().orderBy(*by, "b")   # ≤ 65,536 rows per group
+    sizes = tagged.groupBy(*by, "_b").count().orderBy(*by, "_b")   # ≤ 65,536 rows per group
     edge, left = {}, dict(wanted)
     for row in sizes.toLocalIterator():
         g = row[group] if group else None
         if g not in left or g in edge:
             continue
         if row["count"] >= left[g]:
-            edge[g] = (row["b"], left[g])
+            edge[g] = (row["_b"], left[g])
         left[g] -= row["count"]
     bucket, rest = F.lit("g"), F.lit(0)   # "g" sorts after every hex digit
     none = F.lit("")
@@ -71,33 +71,33 @@ def hash_cut(df: DataFrame, keys: list[str], seed: int, m: int | dict, group: st
             rest = F.when(same, F.lit(r)).otherwise(rest)
     elif None in edge:
         bucket, rest = F.lit(edge[None][0]), F.lit(edge[None][1])
-    tagged = tagged.withColumn("edge", bucket).withColumn("rest", rest)
-    clear = tagged.where(F.col("b") != F.col("edge")).withColumn("first", F.col("b") < F.col("edge"))
-    order = Window.partitionBy(*by, "b").orderBy("h", *[at(k) for k in keys])
-    tied = tagged.where(F.col("b") == F.col("edge")).withColumn("first", F.row_number().over(order) <= F.col("rest"))
-    return clear.unionByName(tied).drop("h", "b", "edge", "rest")
+    tagged = tagged.withColumn("_edge", bucket).withColumn("_rest", rest)
+    clear = tagged.where(F.col("_b") != F.col("_edge")).withColumn("_first", F.col("_b") < F.col("_edge"))
+    order = Window.partitionBy(*by, "_b").orderBy("_h", *[at(k) for k in keys])
+    tied = tagged.where(F.col("_b") == F.col("_edge")).withColumn("_first", F.row_number().over(order) <= F.col("_rest"))
+    return clear.unionByName(tied).drop("_h", "_b", "_edge", "_rest")
 
 
 def ordered_positions(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """``df`` with ``pos`` (0-based, by the order columns) and the row count.
+    """``df`` with ``_pos`` (0-based, by the order columns) and the row count.
 
     ``order`` should end in a unique key so that the order is total. Rows are range
     partitioned, so a repeated leading value is split by the columns after it.
     """
     cols = [at(c) for c in order]
     spread = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-    fixed = written(spread.withColumn("m", F.monotonically_increasing_id()))
-    fixed = fixed.withColumn("part", F.shiftright("m", 33)).withColumn("in_part", F.col("m").bitwiseAND((1 << 33) - 1))
-    sizes = fixed.groupBy("part").count().orderBy("part").collect()   # one row per partition
+    fixed = written(spread.withColumn("_m", F.monotonically_increasing_id()))
+    fixed = fixed.withColumn("_part", F.shiftright("_m", 33)).withColumn("_in_part", F.col("_m").bitwiseAND((1 << 33) - 1))
+    sizes = fixed.groupBy("_part").count().orderBy("_part").collect()   # one row per partition
     offsets, total = [], 0
     for row in sizes:
-        offsets.append((row["part"], total))
+        offsets.append((row["_part"], total))
         total += row["count"]
     if not offsets:
-        return fixed.withColumn("pos", F.lit(0).cast("long")).drop("m", "part", "in_part"), 0
-    table = df.sparkSession.createDataFrame(offsets, "part long, offset long")
-    numbered = (fixed.join(F.broadcast(table), "part")
-                .withColumn("pos", F.col("offset") + F.col("in_part")).drop("m", "part", "in_part", "offset"))
+        return fixed.withColumn("_pos", F.lit(0).cast("long")).drop("_m", "_part", "_in_part"), 0
+    table = df.sparkSession.createDataFrame(offsets, "_part long, _offset long")
+    numbered = (fixed.join(F.broadcast(table), "_part")
+                .withColumn("_pos", F.col("_offset") + F.col("_in_part")).drop("_m", "_part", "_in_part", "_offset"))
     return numbered, total
 
 
@@ -106,10 +106,10 @@ def block_size(total: int) -> int:
 
 
 def in_blocks(df: DataFrame, size: int, before: int, after: int) -> DataFrame:
-    """Add ``block``; rows needed by a frame of ``before``/``after`` rows in another block are copied there.
-    ``own`` marks the row in its own block."""
-    pos = F.col("pos")
-    first = F.greatest(F.lit(0), F.expr(f"(pos - {after}) div {size}"))
-    last = F.expr(f"(pos + {before}) div {size}")
-    return (df.withColumn("block", F.explode(F.sequence(first, last)))
-            .withColumn("own", F.expr(f"pos div {size}") == F.col("block")))
+    """Add ``_block``; rows needed by a frame of ``before``/``after`` rows in another block are copied there.
+    ``_own`` marks the row in its own block."""
+    pos = F.col("_pos")
+    first = F.greatest(F.lit(0), F.expr(f"(_pos - {after}) div {size}"))
+    last = F.expr(f"(_pos + {before}) div {size}")
+    return (df.withColumn("_block", F.explode(F.sequence(first, last)))
+            .withColumn("_own", F.expr(f"_pos div {size}") == F.col("_block")))

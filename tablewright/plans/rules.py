@@ -73,18 +73,18 @@ def condition_sql(section: str, condition: dict, join: str = "and") -> str:
 
 
 def _actions(value) -> tuple[str, ...]:
-    return tuple(value) if isinstance(value, list) else (value,)
+    return tuple(str(v) for v in value) if isinstance(value, list) else (str(value),)
 
 
 def _section(name: str, body, join: str) -> Section:
     if isinstance(body, dict):
-        rules = tuple(Rule(str(w).lower() if isinstance(w, bool) else w, _actions(a), why) for w, a, why in body["rules"])
+        rules = tuple(Rule(str(w).lower() if isinstance(w, bool) else w, _actions(a), str(why)) for w, a, why in body["rules"])
         return Section(name, body.get("take", "first"), rules)
     rules = []
     for item in body:
         outcome = [item[k] for k in ("action", "chart", "primary_chart", "secondary_chart") if k in item]
         test = {k: v for k, v in item.items() if k not in ("action", "chart", "primary_chart", "secondary_chart", "why")}
-        rules.append(Rule(condition_sql(name, test, join), tuple(outcome), item["why"]))
+        rules.append(Rule(condition_sql(name, test, join), _actions(outcome), str(item["why"])))
     take = "every" if name in EVERY else "first"
     if "scaling" in name and rules:      # the last scaling rule is the fallback
         rules.append(Rule("true", rules[-1].actions, rules[-1].why))

@@ -146,7 +146,7 @@ def sink_csv(df: DataFrame, path: str, index_by: list[str] | None = None) -> str
     if index_by:
         from ..plans.positions import ordered_positions
         rows, _ = ordered_positions(df, index_by)
-        df = rows.select(F.col("pos").alias("index"), *[at(c) for c in df.columns])
+        df = rows.select(F.col("_pos").alias("index"), *[at(c) for c in df.columns])
     df.write.mode("overwrite").option("header", True).csv(path)
     return path
 

@@ -17,7 +17,7 @@ def ten(spark):
     rng = np.random.default_rng(42)
     n = 1000
     rows = [(float(a), float(b), None if i % 100 < 55 else float(a), 100.0 + (i % 2) * 0.01, ["low", "medium", "high"][i % 3], f"c{i % 25}", f"u{i}", f"2024-{1 + i % 12:02d}-01")
-            for i, (a, b) in enumerate(zip(rng.normal(50, 5, n), rng.pareto(2.2, n) + 0.1))]
+            for i, (a, b) in enumerate(zip(rng.normal(50, 10, n), rng.pareto(2.2, n) + 0.1))]
     return spark.createDataFrame(rows, "normal_col double, very_skewed double, high_missing double, low_variance double, low_card string, medium_card string, very_high_card string, made_on string").cache()
 
 
@@ -74,7 +74,7 @@ def test_neighbours_match_brute_force(spark, monkeypatch, chunk, pivots):
     monkeypatch.setattr(neighbours, "CHUNK", chunk)
     monkeypatch.setattr(neighbours, "PIVOTS", pivots)
     rng = np.random.default_rng(1)
-    x = np.round(rng.normal(0, 1, (60, 3)), 2)
+    x = np.round(rng.normal(0, 1, (60, 3)) * 4) / 4            # quarters: squares are exact, so ties are ties
     x[::3] = [0.5, 0.5, 0.5]                                  # a third of the rows are one vector
     pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))

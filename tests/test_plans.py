@@ -47,17 +47,17 @@ def test_hash_cut_takes_the_first_rows_of_the_digest_order(skewed, parts, m):
     from tablewright.functions.draws import digest
     want = {r.id for r in skewed.orderBy(digest(["id"], 1, "order"), "id").limit(m).collect()}
     got = positions.hash_cut(skewed.repartition(parts), ["id"], 1, m)
-    assert got.count() == 3000 and {r.id for r in got.where("first").collect()} == want
+    assert got.count() == 3000 and {r.id for r in got.where("_first").collect()} == want
 
 
 def test_hash_cut_per_group(skewed):
-    got = positions.hash_cut(skewed, ["id"], 1, {"hot": 10, "g1": 99999}, "g").where("first").groupBy("g").count()
+    got = positions.hash_cut(skewed, ["id"], 1, {"hot": 10, "g1": 99999}, "g").where("_first").groupBy("g").count()
     sizes = {r["g"]: r["count"] for r in got.collect()}
     assert sizes == {"hot": 10, "g1": skewed.where("g = 'g1'").count()}
 
 
 def test_shuffled_positions_number_all_rows(skewed):
-    pos = sorted(r.pos for r in positions.shuffled_positions(skewed, ["id"], 5).collect())
+    pos = sorted(r._pos for r in positions.shuffled_positions(skewed, ["id"], 5).collect())
     assert pos == list(range(3000))
 
 
@@ -65,7 +65,7 @@ def test_ordered_positions_split_a_hot_value(skewed):
     rows, n = positions.ordered_positions(skewed, ["g", "id"])
     assert n == 3000
     want = {r.id: i for i, r in enumerate(skewed.orderBy("g", "id").collect())}
-    assert {r.id: r.pos for r in rows.collect()} == want
+    assert {r.id: r._pos for r in rows.collect()} == want
 
 
 @pytest.fixture(scope="module")
