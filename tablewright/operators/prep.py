@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import at, double_sql, missing, number, number_sql, numeric_columns, valid
 from ..plans.quantiles import SMALL, expression_quantiles, quantiles, _order_statistics
+from ..session import written
 from .profile import basics, centred, corr_pairs, fences, frequencies
 
-FEW = 10_000   # distinct values that may become literals; more are joined
+FEW = 10_000   # distinct values looked at on the driver; more stay in tables
+INLINE = 64    # values tested one by one inside an expression; more are looked up in a broadcast table
 
 
 def put(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -214,6 +216,9 @@ def lookup_encode(df: DataFrame, column: str, table: DataFrame, key: str, value:
 def encode_ordinal(df: DataFrame, column: str) -> DataFrame:
     """Rank of the value among the sorted distinct values, from 0."""
     values = sorted_values(df, column, FEW)
+    if values is not None and len(values) > INLINE:
+        ranks = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(values)], df.select(at(column).alias("v")).schema.add("pos", "double"))
+        return lookup_encode(df, column, ranks, "v", "pos")
     if values is not None:
         ranks = F.array_position(F.array(*[F.lit(v) for v in values]), valid(df, column)) - 1
         return put(df, column, F.when(~missing(df, column), ranks).cast("double"))
@@ -297,8 +302,8 @@ def impute_iterative(df: DataFrame, columns: list[str], rounds: int = 3) -> Data
 
     A regression is the solution of the normal equations, so a fit is one aggregate of products."""
     import numpy as np
-    _, base = basics(df, columns)
-    holes = [c for c in columns if 0 < base[c]["n"] < df.count()]
+    total, base = basics(df, columns)
+    holes = [c for c in columns if 0 < base[c]["n"] < total]
     work = df
     for c in columns:
         work = work.withColumn(f"_h_{c}", missing(df, c))
@@ -315,8 +320,8 @@ def impute_iterative(df: DataFrame, columns: list[str], rounds: int = 3) -> Data
             a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
             beta = np.linalg.lstsq(a, np.array([row[f"b{i}"] for i in range(k)]), rcond=None)[0]
             predicted = sum((F.lit(float(b)) * t for b, t in zip(beta[1:], terms[1:])), F.lit(float(beta[0])))
-            # the prediction is a number per row from current values; keep it as a column so expressions stay small
-            work = work.withColumn(f"_v_{c}", F.coalesce(observed[c], predicted))
+            # written after each fit: later fits read the filled column instead of recomputing all earlier ones
+            work = written(work.withColumn(f"_v_{c}", F.coalesce(observed[c], predicted)))
             current[c] = F.col(f"_v_{c}")
     return work.select(*[current[c].alias(c) if c in holes else at(c) for c in df.columns])
 

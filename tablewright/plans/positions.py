@@ -49,9 +49,11 @@ def hash_cut(df: DataFrame, keys: list[str], seed: int, m: int | dict, group: st
     With ``group``, ``m`` is a dict from group value to count (absent groups: none).
     """
     wanted = m if group else {None: m}
-    tagged = df.withColumn("_h", digest(keys, seed, "order")).withColumn("_b", F.substring("_h", 1, PREFIX))
+    # with many groups the buckets are coarser, so about a million bucket sizes reach the driver at most
+    prefix = PREFIX if len(wanted) <= 16 else PREFIX - 1 if len(wanted) <= 256 else PREFIX - 2
+    tagged = df.withColumn("_h", digest(keys, seed, "order")).withColumn("_b", F.substring("_h", 1, prefix))
     by = [group] if group else []
-    sizes = tagged.groupBy(*by, "_b").count().orderBy(*by, "_b")   # ≤ 65,536 rows per group
+    sizes = (tagged.where(at(group).isin(list(wanted))) if group else tagged).groupBy(*by, "_b").count().orderBy(*by, "_b")
     edge, left = {}, dict(wanted)
     for row in sizes.toLocalIterator():
         g = row[group] if group else None
