@@ -326,13 +326,13 @@ def _(spark, sf):
     return rounded(isolation_forest(table(spark, sf, "events").select("event_id", "user_id", "value"), ["event_id"]))
 
 
-PART_SQL = "(SELECT p_partkey, p_size::DOUBLE AS p_size, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice, (p_partkey * 7919 % 10007)::DOUBLE AS lot FROM part)"
+PART_SQL = "(SELECT p_partkey, p_size::DOUBLE AS p_size, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice, sqrt((p_partkey * 7919 % 10007)::DOUBLE) AS lot FROM part)"
 UNIT_SQL = f"(SELECT p_partkey, p_retailprice, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS x, (lot - avg(lot) OVER ()) / stddev_pop(lot) OVER () AS y FROM {PART_SQL})"
 
 
-@query("impute_knn", f"SELECT p.p_partkey, p.p_size, round(coalesce(p.p_retailprice, n.m), 4) AS p_retailprice, p.lot FROM {PART_SQL} p LEFT JOIN (SELECT id, avg(v) AS m FROM (SELECT a.p_partkey AS id, b.p_retailprice AS v,"
+@query("impute_knn", f"SELECT p.p_partkey, p.p_size, round(coalesce(p.p_retailprice, n.m), 4) AS p_retailprice, round(p.lot, 4) AS lot FROM {PART_SQL} p LEFT JOIN (SELECT id, avg(v) AS m FROM (SELECT a.p_partkey AS id, b.p_retailprice AS v,"
        f" row_number() OVER (PARTITION BY a.p_partkey ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.p_partkey) AS r FROM {UNIT_SQL} a, {UNIT_SQL} b WHERE a.p_retailprice IS NULL AND b.p_retailprice IS NOT NULL) WHERE r <= 5 GROUP BY id) n ON n.id = p.p_partkey")
 def _(spark, sf):
     from ..operators.neighbours import impute_knn
-    df = table(spark, sf, "part").selectExpr("p_partkey", "cast(p_size as double) AS p_size", "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice", "cast(p_partkey * 7919 % 10007 as double) AS lot")
+    df = table(spark, sf, "part").selectExpr("p_partkey", "cast(p_size as double) AS p_size", "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice", "sqrt(cast(p_partkey * 7919 % 10007 as double)) AS lot")
     return rounded(impute_knn(df, "p_partkey", ["p_size", "p_retailprice", "lot"]), 4)
