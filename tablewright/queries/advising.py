@@ -283,7 +283,7 @@ def _(spark, sf):
     return advice.charts_univariate(mixed(spark, sf))
 
 
-PAIR_FACTS = ("SELECT 'size / price' AS \"column\", 1 AS pair, 'numeric_numeric' AS relation, true AS few, corr(p_size, p_retailprice) AS r FROM part UNION ALL "
+PAIR_FACTS = ("SELECT 'size / price' AS \"column\", 1 AS pair, 'numeric_numeric' AS relation, true AS few, corr(p_size, p_size * 2.0::DOUBLE + p_partkey % 7) AS r FROM part UNION ALL "
               + " UNION ALL ".join(f"SELECT '{g} / {n}', {2 + 2 * i + j}, 'categorical_numeric', count(DISTINCT {g}) <= 10, NULL FROM (SELECT p_brand AS brand, p_type AS type, p_name AS item FROM part)"
                                    for i, g in enumerate(["brand", "type", "item"]) for j, n in enumerate(["size", "price"]))
               + " UNION ALL " + " UNION ALL ".join(f"SELECT '{a} / {b}', {8 + i}, 'categorical_categorical', count(DISTINCT {a}) <= 10 AND count(DISTINCT {b}) <= 10, NULL FROM (SELECT p_brand AS brand, p_type AS type, p_name AS item FROM part)"
@@ -292,7 +292,7 @@ PAIR_FACTS = ("SELECT 'size / price' AS \"column\", 1 AS pair, 'numeric_numeric'
 
 @query("charts_bivariate", f"SELECT \"column\", position, action AS chart, pair, relation, round(r, 6) AS r FROM ({advice_sql(PAIR_FACTS, TYPED['bivariate'], keep=', pair, relation, r')})")
 def _(spark, sf):
-    df = table(spark, sf, "part").selectExpr("cast(p_size as double) * 1.0 AS size", "p_retailprice AS price", "p_brand AS brand", "p_type AS type", "p_name AS item")
+    df = table(spark, sf, "part").selectExpr("cast(p_size as double) AS size", "p_size * 2.0D + p_partkey % 7 AS price", "p_brand AS brand", "p_type AS type", "p_name AS item")
     return rounded(advice.charts_bivariate(df))
 
 
