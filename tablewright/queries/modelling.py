@@ -26,7 +26,7 @@ def quality(spark, sf):
     return d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
-# Query-size settings: the library defaults (100 trees, 100 rounds) are the reference values.
+# Query-size settings: the library defaults are 100 trees and 100 rounds.
 SMALL = {"trees": 20, "rounds": 5}
 TEST = "id % 4 = 0"
 
