@@ -1,0 +1,270 @@
+"""Secret scans with a recursive decoding worklist.
+
+A text is scanned as it stands and then layer by layer: URL escapes, Unicode escapes, base64 runs and compressed data
+inside base64 are unwrapped until nothing new appears. Every layer knows, for each of its characters, the stretch of the
+original text it came from, so a find in any layer is reported as a span of the original. A layer whose content and
+place were seen before is not opened again, so nested or self-reproducing encodings come to an end.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import bz2
+import hashlib
+import lzma
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame, functions as F
+
+KINDS = ("assign", "access", "hex")
+#: Most bytes that one compressed layer may unfold to (a guard against decompression bombs). A layer beyond it is
+#: scanned up to there and the row says so in ``cut_layers``.
+MOST_BYTES = 64 << 20
+
+_ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")          # the longest run is taken, so this is "20 or more"
+_HEX = re.compile(r"[0-9a-f]{24,}")
+
+_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
+#: The shortest secret has 12 characters, so 16 in base64. Lines of 60 or more may go on in the next line.
+_BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+
+
+class Layer:
+    """A decoded text; character ``i`` came from ``[begin[i], end[i])`` of the original (None: the text itself)."""
+
+    __slots__ = ("text", "begin", "end")
+
+    def __init__(self, text: str, begin=None, end=None):
+        self.text, self.begin, self.end = text, begin, end
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return (a, b) if self.begin is None else (self.begin[a], self.end[b - 1])
+
+
+def base_spans(text: str) -> list[tuple[int, str, int]]:
+    """``(start, kind, end)`` of the three base kinds, leftmost and not overlapping within a kind."""
+    found = []
+    if ("=" in text or ":" in text):
+        found += [(m.start(), "assign", m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
+    if "AKIA" in text:
+        found += [(m.start(), "access", m.end()) for m in _ACCESS.finditer(text)]
+    found += [(m.start(), "hex", m.end()) for m in _HEX.finditer(text)]
+    return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
+
+
+def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
+    """The layer with every escape run decoded in place; None if no run can be decoded."""
+    text, parts, begin, end, at, changed = layer.text, [], [], [], 0, False
+
+    def keep(a: int, b: int) -> None:
+        parts.append(text[a:b])
+        if layer.begin is None:
+            begin.extend(range(a, b))
+            end.extend(range(a + 1, b + 1))
+        else:
+            begin.extend(layer.begin[a:b])
+            end.extend(layer.end[a:b])
+
+    for m in pattern.finditer(text):
+        got = decode(m.group())
+        if got is None:
+            continue
+        keep(at, m.start())
+        for piece, a, b in got:                       # decoded characters and where in the run they came from
+            first, last = layer.span(m.start() + a, m.start() + b)
+            parts.append(piece)
+            begin.extend([first] * len(piece))
+            end.extend([last] * len(piece))
+        at, changed = m.end(), True
+    if not changed:
+        return None
+    keep(at, len(text))
+    return Layer("".join(parts), begin, end)
+
+
+def _url(run: str) -> list[tuple[str, int, int]] | None:
+    data = bytes.fromhex(run.replace("%", ""))
+    text = data.decode("utf-8", errors="replace")
+    if "\ufffd" in text:
+        text = data.decode("latin-1")                 # escapes of an older encoding: one character each
+        return [(c, 3 * i, 3 * i + 3) for i, c in enumerate(text)]
+    pieces, at = [], 0
+    for c in text:
+        size = 3 * len(c.encode())
+        pieces.append((c, at, at + size))
+        at += size
+    return pieces
+
+
+def _unicode(run: str) -> list[tuple[str, int, int]] | None:
+    pieces, high = [], None
+    for m in _ESCAPE.finditer(run):
+        code = int(m.group(1) or m.group(2), 16)
+        if high is not None and 0xDC00 <= code < 0xE000:
+            pieces[-1] = (chr(0x10000 + ((high[0] - 0xD800) << 10) + code - 0xDC00), high[1], m.end())
+            high = None
+            continue
+        high = (code, m.start()) if 0xD800 <= code < 0xDC00 else None
+        pieces.append((chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "\ufffd", m.start(), m.end()))
+    return pieces
+
+
+def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
+    """What a known compressed format holds, and whether it was cut at ``most`` bytes; None for other data."""
+    try:
+        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
+            unfold = zlib.decompressobj(wbits=47)
+            return unfold.decompress(data, most), bool(unfold.unconsumed_tail)
+        if data[:3] == b"BZh":
+            unfold = bz2.BZ2Decompressor()
+            return unfold.decompress(data, most), not unfold.eof and not unfold.needs_input
+        if data[:6] == b"\xfd7zXZ\x00":
+            unfold = lzma.LZMADecompressor()
+            return unfold.decompress(data, most), not unfold.eof and not unfold.needs_input
+        if data[:4] == b"\x28\xb5\x2f\xfd":
+            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
+                got = reader.read(most)
+                return got, bool(reader.read(1))
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+        return None
+    return None
+
+
+def _text(data: bytes) -> str | None:
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text[:4096])
+    return text if text and odd * 10 <= min(len(text), 4096) else None
+
+
+def _blobs(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
+    """Texts inside base64 runs, compressed or not; every character maps to the whole run."""
+    for m in _BASE64.finditer(layer.text):
+        run = "".join(m.group().split()).rstrip("=").replace("-", "+").replace("_", "/")
+        if len(run) % 4 == 1:
+            run = run[:-1]
+        try:
+            data = base64.b64decode(run + "=" * (-len(run) % 4))
+        except binascii.Error:
+            continue
+        cut = False
+        for _ in range(8):                            # compressed data inside compressed data
+            inner = _inflate(data, most)
+            if inner is None:
+                break
+            data, cut = inner[0], cut or inner[1]
+        text = _text(data)
+        if text is not None:
+            a, b = layer.span(m.start(), m.end())
+            yield Layer(text, _Same(a, len(text)), _Same(b, len(text))), cut
+
+
+class _Same:
+    """A list of one repeated value that slices like a list."""
+
+    __slots__ = ("value", "size")
+
+    def __init__(self, value: int, size: int):
+        self.value, self.size = value, size
+
+    def __getitem__(self, at):
+        return [self.value] * len(range(*at.indices(self.size))) if isinstance(at, slice) else self.value
+
+
+def scan(text: str, most: int = MOST_BYTES) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], int, int]:
+    """Base spans, all spans, number of decoded layers, number of layers cut at ``most`` bytes."""
+    base = base_spans(text)
+    every, work, seen, layers, cuts = set(base), [Layer(text)], set(), 0, 0
+    while work:
+        layer = work.pop()
+        opened = []
+        if "%" in layer.text and (got := _rewritten(layer, _URL, _url)):
+            opened.append(got)
+        if "\\" in layer.text and (got := _rewritten(layer, _UNICODE, _unicode)):
+            opened.append(got)
+        for got, cut in _blobs(layer, most):
+            opened.append(got)
+            cuts += cut
+        for got in opened:
+            ends = (got.span(0, 1)[0], got.span(len(got.text) - 1, len(got.text))[1]) if got.text else (0, 0)
+            mark = (hashlib.blake2b(got.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), ends)
+            if mark in seen:
+                continue
+            seen.add(mark)
+            layers += 1
+            every.update((*got.span(a, b)[:1], kind, got.span(a, b)[1]) for a, kind, b in base_spans(got.text))
+            work.append(got)
+    return base, sorted(every, key=lambda s: (s[0], KINDS.index(s[1]), s[2])), layers, cuts
+
+
+def written_spans(spans: list[tuple[int, str, int]]) -> str:
+    return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
+
+
+FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, cut_layers long"
+
+
+def find(docs: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """One row per document: base counts, digest of the base spans, all spans as ``kind:start:end``, layers opened.
+
+    Positions count code points, ends are exclusive. A span found in several layers is listed once. Null text is an empty
+    text (no spans); repeated rows, null ids and ties are rows like any other; no rows give no rows; further columns are
+    ignored.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[] for _ in range(7)]
+            for text in batch.column(1):
+                base, every, layers, cuts = scan(text.as_py() or "", most)
+                kinds = [s[1] for s in base]
+                row = [*(kinds.count(k) for k in KINDS), hashlib.sha256(written_spans(base).encode()).hexdigest(), written_spans(every), layers, cuts]
+                for column, value in zip(out, row):
+                    column.append(value)
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, t in zip(out, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "cut_layers"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {FOUND}")
+
+
+def masked(text: str, most: int = MOST_BYTES) -> str:
+    """The text with every span, overlapping ones joined, replaced by ``[kind]`` of its first kind."""
+    every = scan(text, most)[1]
+    out, at, i = [], 0, 0
+    while i < len(every):
+        a, kind, b = every[i]
+        i += 1
+        while i < len(every) and every[i][0] < b:
+            b = max(b, every[i][2])
+            i += 1
+        out += [text[at:a], f"[{kind}]"]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """``docs`` with secrets masked in ``text`` and ``n_chars`` (if there is one) counted anew; all rows and columns stay.
+
+    Null texts stay null and keep their ``n_chars``.
+    """
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t.as_py() is None else masked(t.as_py(), most) for t in batch.column(place)]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, type=batch.column(place).type))
+
+    clean = docs.mapInArrow(run, docs.schema)
+    if "n_chars" not in docs.columns:
+        return clean
+    kind = docs.schema["n_chars"].dataType
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
