@@ -168,17 +168,23 @@ def _save(archives: DataFrame, folder: str, line_end: str) -> None:
     archives.write.option("compression", "gzip").option("lineSep", line_end).option("maxRecordsPerFile", 1).text(folder)
 
 
-def _filled(pieces: Iterator[bytes], head, most: int) -> Iterator[str]:
-    """Pieces joined to archives of about ``most`` bytes, each opened by ``head(number)``."""
-    held, size, number = [], 0, 0
-    for piece in pieces:
-        if held and size + len(piece) > most:
+def _filled(items: Iterator, size_of, head, make, most: int) -> Iterator[str]:
+    """Items joined to archives of about ``most`` bytes: ``head(number)`` opens one, ``make(item, number, offset)`` follows.
+
+    Where an archive ends is decided by ``size_of(item)`` alone, before the item's record is made.
+    """
+    held, size, planned, number = [], 0, 0, 0
+    for item in items:
+        if held and planned + size_of(item) > most:
             yield b"".join(held).decode("utf-8")
-            held, size, number = [], 0, number + 1
+            held, size, planned, number = [], 0, 0, number + 1
         if not held:
             held = [head(number)]
-        held.append(piece)
-        size += len(piece)
+            size = len(held[0])
+        record = make(item, number, size)
+        held.append(record)
+        size += len(record)
+        planned += size_of(item)
     if held:
         yield b"".join(held).decode("utf-8")
 
@@ -191,27 +197,15 @@ def _batches(texts: Iterator[str]) -> Iterator[pa.RecordBatch]:
 def write_arc(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """One ARC record per row, version 1 and 2 files in turn. The HTTP head keeps the page's id and length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {"version": 1}
-
-        def head(number: int) -> bytes:
-            state["version"] = 1 + number % 2
-            return arc_head(f"pages-{number}.arc", state["version"])
-
-        def blocks() -> Iterator[bytes]:
-            size = 0
+        def blocks() -> Iterator[tuple[str | None, bytes]]:
             for batch in batches:
                 for page, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                     payload = (html.as_py() or "").encode()
                     own = b"" if page is None else b"X-Page-Id: %d\r\n" % page
-                    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
-                    version = state["version"] if size else 1
-                    record = arc_record(url, block, version, size)
-                    if size and size + len(record) > archive_bytes:   # this record opens the next file
-                        record, size = arc_record(url, block, 3 - version), 0
-                    size += len(record)
-                    yield record
+                    yield url, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
 
-        yield from _batches(_filled(blocks(), head, archive_bytes))
+        yield from _batches(_filled(blocks(), lambda item: len(item[1]), lambda number: arc_head(f"pages-{number}.arc", 1 + number % 2),
+                                    lambda item, number, at: arc_record(*item, 1 + number % 2, at), archive_bytes))
 
     # the writer's line end closes the last record's own one with a blank line, which readers skip
     _save(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "value string"), folder, "\n")
@@ -264,9 +258,6 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, smallest: in
                                                       pa.array([r[2].decode("utf-8") for r in part])], names=["archive", "offset", "fields", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def head(number: int) -> bytes:
-            return b""
-
         def records() -> Iterator[bytes]:
             for batch in batches:
                 archive, offset, fields, to_archive, to_offset = (batch.column(c).to_pylist() for c in ("archive", "offset", "fields", "to_archive", "to_offset"))
@@ -275,7 +266,7 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, smallest: in
                     target = None if to_archive[i] is None else record_id(to_archive[i], to_offset[i])
                     yield warc_record(named, archive[i], offset[i], block.as_py().encode(), target) + b"\r\n\r\n"
 
-        yield from _batches(_filled(records(), head, archive_bytes))
+        yield from _batches(_filled(records(), len, lambda number: b"", lambda record, number, at: record, archive_bytes))
 
     parsed = _files(spark, arc_folder).mapInArrow(parse, "archive string, offset long, fields string, block string")
     _save(parsed.join(again, ["archive", "offset"], "left").mapInArrow(run, "value string"), warc_folder, "\r\n")

@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.queries.base import table
+from tablewright.session import scratch_dir
+
+from . import archives, bpe, html_crf, kd_shards, ngram_join, packing, pq_dedup, quality, rollup, secret_scan
+
+def vocabulary() -> str:
+    """The public byte-level vocabulary of 50,257 tokens; operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
-from . import archives, kd_shards, ngram_join, packing, pq_dedup, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,7 +43,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_secret_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find(table(spark, sf_dir, "documents"))
+    return secret_scan.find(table(spark, sf_dir, "documents"))
 
 
 @query("op9_best_fit_packing")
@@ -84,3 +92,18 @@ FROM n
 @query("op3_warc_from_arc", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op2_bpe_round_trip")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op5_token_rollup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.corpus_totals(table(spark, sf_dir, "documents"), scratch_dir(spark), vocabulary())
+
+
+@query("op7_html_main_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
