@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import ngram_join, packing, quality, secrets
+from tablewright.llm import ngram_join, packing, quality, secret_scan
 from tablewright.session import written
 
 
@@ -22,9 +22,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.keep_one(docs)
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret's span is replaced by a mark of its kind; ``n_chars`` follows the new text."""
-    return secrets.redact(docs)
+    return secret_scan.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scan", secrets), ("best_fit_packing", best_fit_packing)]
 
 #: The stages count n-grams, compare sets and pack bins; no SQL text states them.
 ORACLE_SQL = None
