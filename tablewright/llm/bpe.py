@@ -215,7 +215,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def count(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` without its text but with ``tokens``, the number of tokens of each; counted where the row lies."""
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "tokens")]
     place = len(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,6 +114,8 @@ def kd_leaves(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
         open_ = [cell for cell, (_, n) in parts.items() if n > 1]
         spread = cells.where(F.col("cell").isin(open_)).groupBy("cell").agg(*[(F.shiftright(F.max(f"k{i}"), TIE_BITS) - F.shiftright(F.min(f"k{i}"), TIE_BITS)).alias(f"w{i}") for i in range(len(dims))]).collect()
         widest = {r.cell: max(range(len(dims)), key=lambda i: (r[f"w{i}"], -i)) for r in spread}
+        if not widest:                              # no rows at all
+            break
         goals = {cell: (parts[cell][1] // 2) / parts[cell][1] for cell in widest}
         cut = _medians(cells, widest, goals)
         new_parts, left, right = {}, {}, {}

@@ -274,5 +274,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
 
     Rows that share an id count as one document and stay or go together.
     """
-    gone = near_duplicates(docs, threshold, tolerance).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, threshold, tolerance).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
