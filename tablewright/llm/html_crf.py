@@ -31,7 +31,16 @@ CLOSES = {                         # an opening tag ends an open element of thes
     "thead": ("tr",), "tbody": ("thead", "tr"), "tfoot": ("tbody", "tr"),
 }
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-SCOPES = frozenset("table td th html ul ol dl".split())
+TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
+
+
+def scopes(tag: str) -> frozenset:
+    """Elements that an end of ``tag`` does not reach out of."""
+    if tag in ("head", "body", "html"):
+        return frozenset()
+    if tag in TABLE_PARTS:
+        return frozenset(("table", "html")) - {tag}
+    return frozenset(("table", "td", "th", "html", "ul", "ol", "dl") if tag in ("li", "dt", "dd") else ("table", "td", "th", "html"))
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A comment, a tag with its attributes (quotes may hold ">"), a tag with an open quote, or a declaration.
@@ -46,6 +55,7 @@ def slot(feature: str) -> int:
 
 
 _OWN: dict[tuple[str, str], frozenset] = {}
+_SCOPES: dict[str, frozenset] = {}
 
 
 def own_slots(tag: str, attributes: str) -> frozenset:
@@ -82,12 +92,15 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, str, int]]:
             parts = []
         extra, linked = frozenset(), 0
 
-    def end(tag: str, scopes: frozenset) -> None:
+    def end(tag: str) -> None:
+        within = _SCOPES.get(tag)
+        if within is None:
+            within = _SCOPES[tag] = scopes(tag)
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == tag:
                 del stack[i:]
                 return
-            if stack[i][0] in scopes:
+            if stack[i][0] in within:
                 return
 
     def say(text: str) -> None:
@@ -121,7 +134,7 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, str, int]]:
                 flush()
                 in_link = False
                 if tag not in VOID:
-                    end(tag, frozenset() if tag in ("head", "body", "html") else SCOPES - {tag})
+                    end(tag)
             continue
         if tag == "br":
             parts.append(" ")
@@ -137,11 +150,11 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, str, int]]:
         flush()
         in_link = False
         if tag in ENDS_PARAGRAPH:
-            end("p", SCOPES)
+            end("p")
         for closed in CLOSES.get(tag, ()):
-            end(closed, SCOPES - {"td", "th"} if tag in ("tr", "td", "th") else SCOPES)
+            end(closed)
         if tag == "body":
-            end("head", frozenset())
+            end("head")
         if tag in VOID:
             continue
         if tag in RAW:
