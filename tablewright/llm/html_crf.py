@@ -95,7 +95,9 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, str, int]]:
     def end(tag: str) -> None:
         within = _SCOPES.get(tag)
         if within is None:
-            within = _SCOPES[tag] = scopes(tag)
+            within = scopes(tag)
+            if len(_SCOPES) < 1000:
+                _SCOPES[tag] = within
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == tag:
                 del stack[i:]
@@ -187,7 +189,9 @@ def features(blocks: list[tuple[str, frozenset, str, int]]) -> list[list[int]]:
         n = len(text)
         parent = _PARENT.get(tag)
         if parent is None:
-            parent = _PARENT[tag] = slot(f"parent:{tag}")
+            parent = slot(f"parent:{tag}")
+            if len(_PARENT) < 1000:
+                _PARENT[tag] = parent
         row = [*above, parent, _FLAGS["every"], _BINS[f"long{sum(n > s for s in _STEPS)}"], _BINS[f"links{min(4, 4 * linked // n)}"],
                _BINS[f"at{0 if i == 0 else 2 if i == len(blocks) - 1 else 1}"], _BINS[f"stops{min(3, text.count('. ') + text.count(', '))}"]]
         if text[-1] in ".!?…。\"”":
