@@ -28,7 +28,7 @@ def split_texts(df: DataFrame, keys: list[str]) -> tuple[list[str], list[str]]:
     texts = text_columns(df)
     if not texts:
         return [], []
-    dated = {r["column"] for r in infer.is_datetime_by_sample100(df, texts, keys).where("is_datetime").collect()}
+    dated = {r["column"] for r in infer.is_datetime_text(df, texts).where("is_datetime").collect()}     # one row per column
     return [c for c in texts if c not in dated], [c for c in texts if c in dated]
 
 
@@ -60,8 +60,8 @@ def advise_quality(df: DataFrame, rules: RuleSet) -> DataFrame:
     ratio = duplicate_count(df).first()["duplicate_ratio"]
     texts = text_columns(df)
     uneven = length_consistency(df, texts).where("inconsistent").count() if texts else 0
-    facts = literal_rows(df.sparkSession, [{"column": "_data_quality", "duplicate_ratio": ratio, "inconsistent_columns": uneven}],
-                         "column string, duplicate_ratio double, inconsistent_columns int")
+    facts = literal_rows(df.sparkSession, [{"column": "_data_quality", "duplicate_ratio": ratio, "inconsistent_columns": uneven, "inconsistent_ratio": uneven / len(texts) if texts else 0.0}],
+                         "column string, duplicate_ratio double, inconsistent_columns int, inconsistent_ratio double")
     found = F.concat(*[outcomes(s) for s in rules["data_quality"]],
                      F.array_repeat(F.struct(F.lit("data_cleaning").alias("action"), F.lit("inconsistent_data_patterns").alias("why")),
                                     F.col("inconsistent_columns")))
@@ -212,13 +212,13 @@ def advise_global(df: DataFrame) -> DataFrame:
 
 
 def advice_summary(df: DataFrame) -> DataFrame:
-    """Column count, columns per priority, first five high-priority columns with their first two actions."""
+    """Column count, columns per priority, and all high-priority columns with their first two actions."""
     advice = advise_by_type(df)
     per = advice.groupBy("column", "priority").agg(
         F.slice(F.transform(F.sort_array(F.collect_list(F.struct("position", "action"))), lambda x: x["action"]), 1, 2).alias("a"))
     ids = F.array(*[F.lit(c) for c in df.columns])
     text = F.struct(F.array_position(ids, F.col("column")).alias("i"), F.concat(F.col("column"), F.lit(": "), F.array_join("a", ", ")).alias("t"))
-    high = F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("priority") == "high", text))), 1, 5), lambda x: x["t"])
+    high = F.transform(F.sort_array(F.collect_list(F.when(F.col("priority") == "high", text))), lambda x: x["t"])
     return per.agg(F.lit(len(df.columns)).alias("total_columns"), *[F.count_if(F.col("priority") == p).alias(p) for p in ("high", "medium", "low")],
                    high.alias("high_priority"))
 
@@ -236,8 +236,8 @@ def charts_univariate(df: DataFrame) -> DataFrame:
     return advise(facts, rules_load("by_type")["univariate"])
 
 
-def charts_bivariate(df: DataFrame, limit: int = 10) -> DataFrame:
-    """Charts per pair of columns: number pairs, category-number pairs, category pairs; the first ``limit`` pairs."""
+def charts_bivariate(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Charts per pair of columns, numbered: number pairs, category-number pairs, category pairs; all, or the first ``limit``."""
     facts, _ = typed_facts(df)
     rows = {r["column"]: r for r in facts.select("column", "numeric", "categorical", "unique_count").collect()}
     numbers = [c for c in df.columns if rows[c]["numeric"]]

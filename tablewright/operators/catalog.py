@@ -57,8 +57,8 @@ def directory_summary(files: DataFrame, root: str) -> DataFrame:
     return folders.withColumn("files", F.lit(files.count()))
 
 
-def directory_rollup(files: DataFrame, root: str, depth: int = 5, names: int = 10) -> DataFrame:
-    """Per folder down to ``depth``: files and bytes directly in it, child folders, first file names.
+def directory_rollup(files: DataFrame, root: str, depth: int | None = None, names: int = 10) -> DataFrame:
+    """Per folder (down to ``depth`` if given): files and bytes directly in it, child folders, the first ``names`` file names.
 
     Names are ranked and cut before the shuffle, so a folder of a billion files costs its first ten."""
     base = root.rstrip("/")
@@ -66,12 +66,12 @@ def directory_rollup(files: DataFrame, root: str, depth: int = 5, names: int = 1
     steps = F.split(rest, "/")
     rows = files.select("file_size", steps.alias("s")).select("file_size", "s", (F.size("s") - 1).alias("level"), F.element_at("s", -1).alias("name"),
                                                               F.array_join(F.slice("s", 1, F.size("s") - 1), "/").alias("folder"))
-    direct = rows.where(F.col("level") <= depth)
+    direct = rows if depth is None else rows.where(F.col("level") <= depth)
     sums = direct.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes"))
     order = Window.partitionBy("folder").orderBy("name")
     first = (direct.select("folder", "name").withColumn("r", F.row_number().over(order)).where(F.col("r") <= names)
              .groupBy("folder").agg(F.sort_array(F.collect_list("name")).alias("first_names")))
-    levels = F.sequence(F.lit(1), F.least(F.col("level"), F.lit(depth + 1)))
+    levels = F.sequence(F.lit(1), F.col("level") if depth is None else F.least(F.col("level"), F.lit(depth + 1)))
     links = rows.where(F.col("level") > 0).select(F.explode(F.transform(levels, lambda i: F.struct(
         F.array_join(F.slice("s", 1, i - 1), "/").alias("folder"), F.get("s", i - 1).alias("child")))).alias("e")).select("e.*").distinct()
     children = links.groupBy("folder").agg(F.count(F.lit(1)).alias("child_folders"))

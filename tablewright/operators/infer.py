@@ -36,6 +36,16 @@ def first_values(df: DataFrame, columns: list[str], keys: list[str], n: int) ->
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("column", "place", "value")
 
 
+def all_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value as text) of every non-missing cell; aggregated by column before any shuffle."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), value_text(df, c).alias("value")) for c in columns])
+    return df.select(F.explode(cells).alias("cell")).select("cell.column", "cell.value").where(F.col("value").isNotNull())
+
+
+def _values(df: DataFrame, columns: list[str], keys: list[str], sample: int | None) -> DataFrame:
+    return all_values(df, columns) if sample is None else first_values(df, columns, keys, sample)
+
+
 def _all_columns(df: DataFrame, result: DataFrame, columns: list[str], flag: str) -> DataFrame:
     """A column without any value is answered ``false``."""
     base = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
@@ -49,8 +59,8 @@ def is_datetime_by_sample10(df: DataFrame, columns: list[str], keys: list[str])
     return _all_columns(df, found, columns, "is_datetime")
 
 
-def is_datetime_by_sample100(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """The name says so, or over 70 % of the first hundred texts start like a date, or all of them parse."""
+def is_datetime_text(df: DataFrame, columns: list[str], keys: list[str] = (), sample: int | None = None) -> DataFrame:
+    """The name says so, or over 70 % of the texts start like a date, or all of them parse; all rows unless ``sample`` is given."""
     named = F.lit(False)
     for c in columns:
         if name_has(c, DATE_WORDS):
@@ -60,46 +70,52 @@ def is_datetime_by_sample100(df: DataFrame, columns: list[str], keys: list[str])
         value = F.trim("value")
         tested = value != ""
         share = F.try_divide(F.count_if(tested & matches_datetime_prefix(value)).cast("double"), F.count_if(tested))
-        sample = first_values(df, texts, keys, 100).groupBy("column").agg(
+        found = _values(df, texts, keys, sample).groupBy("column").agg(
             (F.coalesce(share > 0.7, F.lit(False)) | F.bool_and(parse_datetime(value).isNotNull())).alias("is_datetime"))
     else:
-        sample = df.sparkSession.createDataFrame([], "column string, is_datetime boolean")
-    return _all_columns(df, sample, columns, "is_datetime").select("column", (named | F.col("is_datetime")).alias("is_datetime"))
+        found = df.sparkSession.createDataFrame([], "column string, is_datetime boolean")
+    return _all_columns(df, found, columns, "is_datetime").select("column", (named | F.col("is_datetime")).alias("is_datetime"))
+
+
+def is_datetime_by_sample100(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """:func:`is_datetime_text` on the first hundred texts."""
+    return is_datetime_text(df, columns, keys, 100)
 
 
-def detect_date_columns(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns named like a date, or whose first value is or parses as one (text and date columns only)."""
+def detect_date_columns(df: DataFrame, keys: list[str] = (), sample: int | None = None) -> DataFrame:
+    """Columns named like a date, or of whose values at least half are or parse as one (text and date columns only)."""
     dates, named = date_columns(df), [c for c in df.columns if name_has(c, SERIES_WORDS)]
     texts = [c for c in text_columns(df) if c not in named]
     sure = df.sparkSession.createDataFrame([(c,) for c in df.columns if c in dates or c in named], "column string")
     if not texts:
         return sure
-    tested = first_values(df, texts, keys, 1).where(parse_datetime(F.col("value")).isNotNull()).select("column")
+    share = F.avg(parse_datetime(F.col("value")).isNotNull().cast("double"))
+    tested = _values(df, texts, keys, sample).groupBy("column").agg(share.alias("share")).where("share >= 0.5").select("column")
     return sure.unionByName(tested)
 
 
-def is_timeseries_text(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Date or time marks anywhere in the first twenty values, or mostly digits with over ten distinct values."""
+def is_timeseries_text(df: DataFrame, columns: list[str], keys: list[str] = (), sample: int | None = None) -> DataFrame:
+    """Date or time marks in any value, or mostly digits with over ten distinct values."""
     value = F.lower("value")
     marked = F.lit(False)
     for m in TIME_MARKS:
         marked = marked | F.contains(value, F.lit(m))
     digits = F.regexp_replace(F.trim("value"), "[.-]", "").rlike("^[0-9]+$")
-    found = first_values(df, columns, keys, 20).groupBy("column").agg(
+    found = _values(df, columns, keys, sample).groupBy("column").agg(
         (F.bool_or(marked) | ((F.avg(digits.cast("double")) > 0.8) & (F.count_distinct(F.trim("value")) > 10))).alias("is_timeseries"))
     return _all_columns(df, found, columns, "is_timeseries")
 
 
-def is_categorical_number(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Label-like numbers among the first fifty values."""
+def is_categorical_number(df: DataFrame, columns: list[str], keys: list[str] = (), sample: int | None = None) -> DataFrame:
+    """Label-like numbers: few distinct values in a short range."""
     v = F.col("value").cast("double")
-    stats = first_values(df, columns, keys, 50).groupBy("column").agg(
+    stats = _values(df, columns, keys, sample).groupBy("column").agg(
         F.count_distinct("value").alias("u"), F.min(v).alias("low"), F.max(v).alias("high"))
     few = (F.col("u") <= 20) & (((F.col("low") == 0) & (F.col("high") == 1)) | ((F.col("u") <= 10) & (F.col("high") - F.col("low") <= 20)))
     return _all_columns(df, stats.select("column", few.alias("is_categorical")), columns, "is_categorical")
 
 
-def categorical_columns(df: DataFrame, keys: list[str]) -> DataFrame:
+def categorical_columns(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Texts that are not time-like, plus label-like numbers."""
     texts, numbers = text_columns(df), numeric_columns(df)
     out = df.sparkSession.createDataFrame([], "column string")

@@ -41,8 +41,8 @@ def members_of(points: DataFrame) -> DataFrame:
 
 
 def _merged(points: DataFrame) -> DataFrame:
-    """One row per distinct vector: its digest and how many rows share it."""
-    return points.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("vid", vector_id())
+    """One row per distinct vector: its digest, how many rows share it and their least id."""
+    return points.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).withColumn("vid", vector_id())
 
 
 def _pivots(points: DataFrame, n: int) -> np.ndarray:
@@ -147,13 +147,16 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = F
         if left.empty or right.empty:
             return nothing(vid=object, near=object, distance=float)
         d = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float))
-        # ties at the cut are kept, ids decide later
+        # `need` rows of a block are enough; among equal distances those with the least row id
         m = min(need, d.shape[1])
+        by_id = right["least"].argsort(kind="stable").to_numpy()
+        right, d = right.iloc[by_id], d[:, by_id]
         cut = np.partition(d, m - 1, axis=1)[:, m - 1]
-        rows, cols = np.nonzero(d <= cut[:, None])
+        near, tied = d < cut[:, None], d == cut[:, None]
+        rows, cols = np.nonzero(near | (tied & (tied.cumsum(axis=1) <= m - near.sum(axis=1, keepdims=True))))
         return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "near": right["vid"].to_numpy()[cols], "distance": d[rows, cols]})
 
-    found = (grouped.groupBy("cell", "chunk", "part").cogroup(spread.select("cell", "chunk", "part", "vid", "x").groupBy("cell", "chunk", "part"))
+    found = (grouped.groupBy("cell", "chunk", "part").cogroup(spread.select("cell", "chunk", "part", "vid", "x", "least").groupBy("cell", "chunk", "part"))
              .applyInPandas(nearest, "vid string, near string, distance double"))
     # rows behind a vector: its first `need` ids are enough
     first = Window.partitionBy("vid").orderBy("id")
@@ -168,8 +171,11 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = F
 
 
 def eps_counts(points: DataFrame, eps: float) -> DataFrame:
-    """(id, neighbours): rows within ``eps`` of each row, itself included; only counts leave a task."""
-    pivots, cells, chunks, placed = _prepare(points)
+    """(id, neighbours): rows within ``eps`` of each row, itself included; only counts leave a task. No rows give no rows."""
+    prepared = _prepare(points)
+    if prepared is None:
+        return points.select("id", F.lit(0).cast("long").alias("neighbours"))
+    pivots, cells, chunks, placed = prepared
     asked = _merged(points)
     grouped, sizes = _query_groups(_candidates(asked.select("vid", "x"), pivots, cells, chunks, None, eps))
     spread = placed.join(sizes, ["cell", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -187,8 +193,11 @@ def eps_counts(points: DataFrame, eps: float) -> DataFrame:
 
 def eps_join(points: DataFrame, eps: float) -> DataFrame:
     """(left, right, distance) with left < right: every pair of rows within ``eps``. The result itself holds all such
-    pairs; use ``eps_counts`` where only their number is wanted."""
-    pivots, cells, chunks, placed = _prepare(points)
+    pairs; use ``eps_counts`` where only their number is wanted. No rows give no rows."""
+    prepared = _prepare(points)
+    if prepared is None:
+        return points.select(F.col("id").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("distance"))
+    pivots, cells, chunks, placed = prepared
     asked = _merged(points)
     grouped, sizes = _query_groups(_candidates(asked.select("vid", "x"), pivots, cells, chunks, None, eps))
     spread = placed.join(sizes, ["cell", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))

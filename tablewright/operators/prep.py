@@ -99,10 +99,12 @@ def yeo_johnson(df: DataFrame, column: str) -> tuple[DataFrame, float]:
     return put(moved, column, F.expr(f"CASE WHEN _x IS NOT NULL THEN {_yeo_johnson('_x', lam)} END")).drop("_x"), lam
 
 
-def order_cuts(df: DataFrame, column: str, low: float, high: float) -> tuple[float, float]:
-    """Values at rank ``int(low·n)`` from below and ``int(high·n)`` from above."""
+def order_cuts(df: DataFrame, column: str, low: float, high: float) -> tuple[float, float] | None:
+    """Values at rank ``int(low·n)`` from below and ``int(high·n)`` from above; ``None`` without values."""
     slim = df.select(number(df, column).alias("x0"))
     n = slim.selectExpr("count(x0)").first()[0]
+    if not n:
+        return None
     ranks = [int(low * n), n - 1 - int(high * n)]
     found = _order_statistics(slim, {(0, r) for r in ranks}, {0: n}, SMALL)
     return found[0, ranks[0]], found[0, ranks[1]]
@@ -114,8 +116,9 @@ def clip(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
 
 
 def winsorize(df: DataFrame, column: str, low: float = 0.05, high: float = 0.05) -> DataFrame:
-    """Values beyond the cut ranks take the value at the cut."""
-    return clip(df, column, *order_cuts(df, column, low, high))
+    """Values beyond the cut ranks take the value at the cut; a column without values stays as it is."""
+    cuts = order_cuts(df, column, low, high)
+    return clip(df, column, *cuts) if cuts else df
 
 
 def clip_quantiles(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:

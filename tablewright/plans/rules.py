@@ -42,7 +42,7 @@ CONDITIONS = {
     "cv_gt": "cv > {v}", "cv_lt": "cv < {v}", "outlier_ratio_gt": "outlier_ratio > {v}", "outlier_ratio_lt": "outlier_ratio < {v}",
     "unique_ratio_gt": "unique_ratio > {v}", "unique_lt": "unique_count < {v}", "dimensions_gt": "dimensions > {v}",
     "is_bimodal": "is_bimodal", "is_multimodal": "is_multimodal", "is_normal": "is_normal", "is_uniform": "is_uniform",
-    "balance_ratio_lt": "balance_ratio < {v}", "duplicate_ratio_gt": "duplicate_ratio > {v}", "inconsistent_ratio_gt": "inconsistent_columns > 0",
+    "balance_ratio_lt": "balance_ratio < {v}", "duplicate_ratio_gt": "duplicate_ratio > {v}", "inconsistent_ratio_gt": "inconsistent_ratio > {v}",
     "correlation_gt": "strongest > {v}", "data_size_gt": "rows > {v}", "feature_count_gt": "dimensions > {v}",
     "days_gt": "date_range_days > {v}", "hours_gt": "unique_hours > {v}",
 }
@@ -67,8 +67,12 @@ def condition_sql(section: str, condition: dict, join: str = "and") -> str:
         elif key in CONDITIONS:
             signed = "skew" if isinstance(value, (int, float)) and value < 0 else "abs(skew)"
             parts.append(CONDITIONS[key].format(m=fact, v=value, s=signed))
+        else:
+            raise ValueError(f"section {section!r}: condition {key!r} is not known")
     if join == "or" and ("skew" in condition or "kurt" in condition):
-        return f"abs(skew) > {condition.get('skew', 0)} or kurt > {condition.get('kurt', 1e9)}"
+        rest = {k: v for k, v in condition.items() if k not in ("skew", "kurt")}
+        either = f"(abs(skew) > {condition.get('skew', 0)} or kurt > {condition.get('kurt', 1e9)})"
+        return " and ".join([either, *([condition_sql(section, rest)] if rest else [])])
     return " and ".join(parts) or "true"
 
 
@@ -100,8 +104,11 @@ def rules_load(path: str | Path | None = None, join: str = "and") -> RuleSet:
     out: RuleSet = {}
     for group, body in raw.items():
         sections = body.items() if isinstance(body, dict) else [(group, body)]
-        out[group] = tuple(_section(name, s, join) for name, s in sections
-                           if isinstance(s, dict) or (isinstance(s, list) and s and isinstance(s[0], dict)))
+        try:
+            out[group] = tuple(_section(name, s, join) for name, s in sections
+                               if isinstance(s, dict) or (isinstance(s, list) and s and isinstance(s[0], dict)))
+        except ValueError as error:
+            raise ValueError(f"{path}, group {group!r}, {error}") from error
     return out
 
 

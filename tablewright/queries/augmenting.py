@@ -326,9 +326,9 @@ def _(spark, sf):
     return rounded(compare.box_stats(table(spark, sf, "events"), "value", "event_type"))
 
 
-@query("scatter_points", f"SELECT event_id, user_id, value FROM (" + HOLED_EVENTS_SQL + f") WHERE value IS NOT NULL ORDER BY {order_sql('event_id', 42)}, event_id LIMIT 500")
+@query("scatter_points", f"SELECT event_id, user_id, value FROM (" + HOLED_EVENTS_SQL + f") WHERE value IS NOT NULL")
 def _(spark, sf):
-    return compare.scatter_points(holed_events(spark, sf), "user_id", "value", ["event_id"], 500)
+    return compare.scatter_points(holed_events(spark, sf), "user_id", "value", ["event_id"])
 
 
 @query("category_shares", "SELECT event_type AS category, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM (" + HOLED_EVENTS_SQL + ") WHERE event_type IS NOT NULL GROUP BY 1")

@@ -152,8 +152,8 @@ def _(spark, sf):
 
 
 @query("directory_rollup", f"WITH r AS (SELECT array_to_string(s[1:len(s) - 1], '/') AS folder, len(s) - 1 AS level, s[len(s)] AS name, file_size, s FROM {STEPS_SQL}),"
-       " d AS (SELECT folder, count(*) AS files, sum(file_size)::BIGINT AS bytes, list(name ORDER BY name)[1:10] AS first_names FROM r WHERE level <= 5 GROUP BY 1),"
-       " c AS (SELECT folder, count(*) AS child_folders FROM (SELECT DISTINCT array_to_string(s[1:i - 1], '/') AS folder, s[i] AS child FROM (SELECT s, unnest(generate_series(1, least(level, 6))) AS i FROM r)) GROUP BY 1)"
+       " d AS (SELECT folder, count(*) AS files, sum(file_size)::BIGINT AS bytes, list(name ORDER BY name)[1:10] AS first_names FROM r GROUP BY 1),"
+       " c AS (SELECT folder, count(*) AS child_folders FROM (SELECT DISTINCT array_to_string(s[1:i - 1], '/') AS folder, s[i] AS child FROM (SELECT s, unnest(generate_series(1, level)) AS i FROM r)) GROUP BY 1)"
        " SELECT folder, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, coalesce(child_folders, 0) AS child_folders, coalesce(first_names, []) AS first_names FROM d FULL JOIN c USING (folder)")
 def _(spark, sf):
     return catalog.directory_rollup(listing(spark, sf), ROOT)
@@ -180,16 +180,16 @@ def _(spark, sf):
 
 @query("progress_log")
 def _(spark, sf):
-    run = jobs.catalog_stream(spark, sf, scratch_dir(spark), scratch_dir(spark), 2)
-    return jobs.progress_log(spark, run, files.scan_files(spark, sf).count())
+    out = scratch_dir(spark)
+    jobs.catalog_stream(spark, sf, out, scratch_dir(spark), 2)
+    return jobs.progress_log(spark, out, files.scan_files(spark, sf).count())
 
 
-@query("resample_stream", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS \"end\", round(avg(value), 6) AS value, count(*) AS n FROM events GROUP BY 1, 2"
-       " HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+@query("resample_stream", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, (date_trunc('day', ts) + INTERVAL 1 DAY)::TIMESTAMP AS \"end\", round(avg(value), 6) AS value, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, sf):
     schema, out = table(spark, sf, "events").schema, scratch_dir(spark)
     jobs.resample_stream(spark, sf, "events.parquet", schema, "ts", "value", out, scratch_dir(spark))
-    return rounded(spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}))
+    return rounded(jobs.resampled(spark, out, "value").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}))
 
 
 # ---- images -------------------------------------------------------------------------

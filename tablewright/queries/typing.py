@@ -201,6 +201,10 @@ def first_sql(source: str, columns: list[str], n: int) -> str:
     return each(f"(SELECT '{{c}}' AS \"column\", {{c}}::VARCHAR AS v FROM {source} WHERE {{c}} IS NOT NULL ORDER BY o_orderkey LIMIT {n})", columns)
 
 
+def values_sql(source: str, columns: list[str]) -> str:
+    return each(f"(SELECT '{{c}}' AS \"column\", {{c}}::VARCHAR AS v FROM {source} WHERE {{c}} IS NOT NULL)", columns)
+
+
 WHOLE_SQL = "regexp_matches(trim(v), '" + "|".join(f"({p})" for p in dates.WHOLE_PATTERNS) + "')"
 LEADING_SQL = "regexp_matches(trim(v), '^(" + "|".join(dates.LEADING_PATTERNS) + ")')"
 
@@ -215,34 +219,34 @@ def _(spark, sf):
     return infer.is_datetime_by_sample100(mixed(spark, sf, True), ["order_date", "status", "serial"], ["o_orderkey"])
 
 
-@query("detect_date_columns", f"SELECT 'order_date' AS \"column\" UNION ALL SELECT 'o_orderdate' UNION ALL SELECT \"column\" FROM ({first_sql('(SELECT o_orderkey, o_orderstatus AS s, strftime(o_orderdate, ' + chr(39) + '%Y/%m/%d' + chr(39) + ') AS shipped FROM orders)', ['s', 'shipped'], 1)}) WHERE {LEADING_SQL}")
+@query("detect_date_columns", f"SELECT 'order_date' AS \"column\" UNION ALL SELECT 'o_orderdate' UNION ALL SELECT \"column\" FROM ({values_sql('(SELECT o_orderkey, o_orderstatus AS s, strftime(o_orderdate, ' + chr(39) + '%Y/%m/%d' + chr(39) + ') AS shipped FROM orders)', ['s', 'shipped'])}) GROUP BY 1 HAVING avg(CASE WHEN {LEADING_SQL} THEN 1.0 ELSE 0.0 END) >= 0.5")
 def _(spark, sf):
     df = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderdate", "o_orderstatus AS s", "date_format(o_orderdate, 'yyyy/MM/dd') AS shipped", "o_custkey AS order_date")
-    return infer.detect_date_columns(df, ["o_orderkey"])
+    return infer.detect_date_columns(df)
 
 
 MARKS_SQL = " OR ".join(f"contains(lower(v), '{m}')" for m in infer.TIME_MARKS)
 
 
 @query("is_timeseries_text", f"SELECT \"column\", bool_or({MARKS_SQL}) OR (avg(CASE WHEN regexp_matches(regexp_replace(trim(v), '[.-]', '', 'g'), '^[0-9]+$') THEN 1.0 ELSE 0.0 END) > 0.8 AND count(DISTINCT v) > 10) AS is_timeseries"
-       f" FROM ({first_sql(MIXED_SQL, ['grade', 'status', 'order_date', 'cust_text'], 20).replace('cust_text::VARCHAR', 'cust_id::VARCHAR').replace('cust_text IS', 'cust_id IS')}) GROUP BY 1")
+       f" FROM ({values_sql(MIXED_SQL, ['grade', 'status', 'order_date', 'cust_text']).replace('cust_text::VARCHAR', 'cust_id::VARCHAR').replace('cust_text IS', 'cust_id IS')}) GROUP BY 1")
 def _(spark, sf):
     df = mixed(spark, sf, True).withColumn("cust_text", F.col("cust_id").cast("string"))
-    return infer.is_timeseries_text(df, ["grade", "status", "order_date", "cust_text"], ["o_orderkey"])
+    return infer.is_timeseries_text(df, ["grade", "status", "order_date", "cust_text"])
 
 
 FEW_SQL = "count(DISTINCT v) <= 20 AND ((min(v::DOUBLE) = 0 AND max(v::DOUBLE) = 1) OR (count(DISTINCT v) <= 10 AND max(v::DOUBLE) - min(v::DOUBLE) <= 20))"
 
 
-@query("is_categorical_number", f"SELECT \"column\", {FEW_SQL} AS is_categorical FROM ({first_sql(MIXED_SQL, MIXED_NUMBERS, 50)}) GROUP BY 1")
+@query("is_categorical_number", f"SELECT \"column\", {FEW_SQL} AS is_categorical FROM ({values_sql(MIXED_SQL, MIXED_NUMBERS)}) GROUP BY 1")
 def _(spark, sf):
-    return infer.is_categorical_number(mixed(spark, sf, True), MIXED_NUMBERS, ["o_orderkey"])
+    return infer.is_categorical_number(mixed(spark, sf, True), MIXED_NUMBERS)
 
 
-@query("categorical_columns", f"SELECT \"column\" FROM ({first_sql(MIXED_SQL, MIXED_NUMBERS, 50)}) GROUP BY 1 HAVING {FEW_SQL} UNION ALL"
-       f" SELECT \"column\" FROM ({first_sql(MIXED_SQL, ['grade', 'status', 'note', 'order_date'], 20)}) GROUP BY 1 HAVING NOT (bool_or({MARKS_SQL}) OR (avg(CASE WHEN regexp_matches(regexp_replace(trim(v), '[.-]', '', 'g'), '^[0-9]+$') THEN 1.0 ELSE 0.0 END) > 0.8 AND count(DISTINCT v) > 10))")
+@query("categorical_columns", f"SELECT \"column\" FROM ({values_sql(MIXED_SQL, MIXED_NUMBERS)}) GROUP BY 1 HAVING {FEW_SQL} UNION ALL"
+       f" SELECT \"column\" FROM ({values_sql(MIXED_SQL, ['grade', 'status', 'note', 'order_date'])}) GROUP BY 1 HAVING NOT (bool_or({MARKS_SQL}) OR (avg(CASE WHEN regexp_matches(regexp_replace(trim(v), '[.-]', '', 'g'), '^[0-9]+$') THEN 1.0 ELSE 0.0 END) > 0.8 AND count(DISTINCT v) > 10))")
 def _(spark, sf):
-    return infer.categorical_columns(mixed(spark, sf, True).drop("label", "serial"), ["o_orderkey"]).where("column <> 'o_orderkey'")
+    return infer.categorical_columns(mixed(spark, sf, True).drop("label", "serial")).where("column <> 'o_orderkey'")
 
 
 @query("target_is_class_like", "SELECT 'flag' AS \"column\", true AS class_like UNION ALL SELECT 'price', count(DISTINCT o_totalprice) <= 20 FROM orders UNION ALL SELECT 'rank_no', count(DISTINCT o_orderkey % 7) <= 20 FROM orders")

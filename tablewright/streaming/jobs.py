@@ -31,26 +31,39 @@ def catalog_stream(spark: SparkSession, root: str, out: str, checkpoint: str, ba
     return query
 
 
-def progress_log(spark: SparkSession, query, total: int, step: int = 10) -> DataFrame:
-    """One row each time another ``step`` percent of ``total`` files is done."""
+def progress_log(spark: SparkSession, out: str, total: int, step: int = 10) -> DataFrame:
+    """One row each time another ``step`` percent of ``total`` files is done, from what the catalogue stream wrote to ``out``.
+
+    Counts come from the written steps (one small row per step), so every step of a long run counts, also after a restart."""
+    written = spark.read.option("basePath", out).parquet(out).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).orderBy("batch_id").collect()
     rows, done, mark = [], 0, 0
-    for p in query.recentProgress:      # one entry per step of the stream
-        done += p["numInputRows"]
+    for r in written:
+        done += r["n"]
         percent = 100.0 * done / total if total else 100.0
-        if p["numInputRows"] and (percent >= mark + step or percent >= 99.9):
-            rows.append((p["batchId"], done, percent))
+        if percent >= mark + step or percent >= 99.9:
+            rows.append((int(r["batch_id"]), done, percent))
             mark = int(percent)
     return spark.createDataFrame(rows, "batch_id long, files long, percent double")
 
 
-def resample_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, date: str, value: str, out: str, checkpoint: str,
-                    window: str = "1 day", delay: str = "1 hour"):
-    """Mean per time window of a file stream; windows are written once the watermark has passed them."""
+def resample_stream(spark: SparkSession, folder: str, pattern: str, schema: StructType, date: str, value: str, out: str, checkpoint: str, window: str = "1 day"):
+    """Sums and counts per time window of a file stream, one partial row per window and step, under the step's id.
+
+    Nothing waits for a watermark and nothing is late: a window's mean is the sum of its partial rows (``resampled``), and
+    a repeated step replaces its own rows. Rows without a time are left out."""
     events = (spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", pattern).load(folder)
-              .withColumn("_t", F.col(date).cast("timestamp")))
-    means = (events.withWatermark("_t", delay).groupBy(F.window("_t", window))
-             .agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), value, "n"))
-    query = (means.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
+              .select(F.col(date).cast("timestamp").alias("_t"), F.col(value).cast("double").alias("_v")).where("_t is not null"))
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(F.window("_t", window).alias("w")).agg(F.sum("_v").alias("total"), F.count("_v").alias("known"), F.count(F.lit(1)).alias("n"))
+        sums.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "total", "known", "n").write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+
+    query = events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def resampled(spark: SparkSession, out: str, value: str) -> DataFrame:
+    """``start, end, <value>, n``: the mean and number of rows of every window written so far."""
+    parts = spark.read.schema("start timestamp, end timestamp, total double, known long, n long").option("basePath", out).parquet(out)
+    return parts.groupBy("start", "end").agg(F.try_divide(F.sum("total"), F.sum("known")).alias(value), F.sum("n").alias("n"))

@@ -221,8 +221,8 @@ def test_catalog_stream_takes_only_new_files(spark, tmp_path):
     root.mkdir()
     for i in range(5):
         (root / f"{i}.png").write_bytes(b"x" * (i + 1))
-    first = jobs.catalog_stream(spark, str(root), out, mark, 2)
-    assert spark.read.parquet(out).count() == 5 and jobs.progress_log(spark, first, 5).count() == 3
+    jobs.catalog_stream(spark, str(root), out, mark, 2)
+    assert spark.read.parquet(out).count() == 5 and jobs.progress_log(spark, out, 5).count() == 3
     (root / "new.zip").write_bytes(b"y")
     jobs.catalog_stream(spark, str(root), out, mark, 2)
     rows = spark.read.parquet(out)
