@@ -12,63 +12,68 @@ from .augment import features, repeat_rows
 from .infer import target_is_class_like
 from .neighbours import knn_join, vectors
 
-MOST_CLASSES = 10_000   # class counts are looked at on the driver up to here
+def class_counts(df: DataFrame, target: str) -> DataFrame:
+    """(_g, n): rows per class; as many classes as there are."""
+    return df.where(~missing(df, target)).groupBy(at(target).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_counts(df: DataFrame, target: str) -> dict:
-    rows = df.where(~missing(df, target)).groupBy(at(target).alias("c")).count().limit(MOST_CLASSES + 1).collect()
-    if len(rows) > MOST_CLASSES:
-        raise ValueError(f"{target} has more than {MOST_CLASSES} values and is no class column")
-    return {r["c"]: r["count"] for r in rows}
+def class_goals(df: DataFrame, target: str, wanted: dict | DataFrame | None) -> DataFrame:
+    """(_g, n, wanted): the greatest class's size for all, or what ``wanted`` (dict or table ``(label, wanted)``) says; others keep theirs."""
+    counts = class_counts(df, target)
+    if wanted is None:
+        return counts.join(F.broadcast(counts.agg(F.max("n").alias("wanted"))))     # one number beside every class
+    if isinstance(wanted, dict):
+        kind = counts.schema["_g"].dataType.simpleString()
+        wanted = df.sparkSession.createDataFrame([(c, int(w)) for c, w in wanted.items()], f"label {kind}, wanted long")
+    goals = wanted.select(F.col("label").alias("_g"), F.col("wanted").cast("long").alias("wanted"))
+    return counts.join(goals, "_g", "left").withColumn("wanted", F.coalesce("wanted", "n"))
 
 
 def undersample_random(df: DataFrame, target: str, keys: list[str], seed: int = 42) -> DataFrame:
     """Every class cut to the size of the least one."""
     counts = class_counts(df, target)
-    least = min(counts.values(), default=0)
-    return hash_cut(df, keys, seed, {c: least for c in counts}, target).where("_first").drop("_first")
+    least = counts.agg(F.min("n").alias("_m"))
+    return hash_cut(df, keys, seed, counts.select("_g").join(F.broadcast(least)), target).where("_first").drop("_first")
 
 
-def _copies(df: DataFrame, target: str, keys: list[str], wanted: dict, counts: dict, seed: int):
-    """Rows of growing classes with ``_copies``: how many new rows each gives, evenly, the rest to the first in digest order."""
-    grow = {c: wanted[c] - n for c, n in counts.items() if wanted.get(c, n) > n}
-    if not grow:
-        return None, 0
-    rows = hash_cut(df.where(at(target).isin(list(grow))), keys, seed, {c: g % counts[c] for c, g in grow.items()}, target)
-    base = F.lit(0)
-    for c, g in grow.items():
-        base = F.when(at(target) == F.lit(c), F.lit(g // counts[c])).otherwise(base)
-    rows = rows.withColumn("_copies", base + F.col("_first").cast("int")).drop("_first")
-    return rows.where("_copies > 0"), max(g // counts[c] + 1 for c, g in grow.items())
+def _copies(df: DataFrame, target: str, keys: list[str], goals: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """Rows of growing classes with ``_copies``: how many new rows each gives, evenly, the rest to the first in digest order;
+    and the most copies of one row."""
+    grow = goals.where(F.col("wanted") > F.col("n")).withColumn("_more", F.col("wanted") - F.col("n"))
+    most = grow.agg(F.max(F.expr("_more div n")).alias("m")).first()["m"]
+    if most is None:
+        return df.withColumn("_copies", F.lit(0).cast("long")).limit(0), 0
+    base = grow.select(F.col("_g").alias("_class"), F.expr("_more div n").alias("_base"))
+    rows = hash_cut(df, keys, seed, grow.select("_g", (F.col("_more") % F.col("n")).alias("_m")), target)
+    rows = rows.join(base, at(target) == F.col("_class")).withColumn("_copies", F.col("_base") + F.col("_first").cast("long"))
+    return rows.where("_copies > 0").drop("_first", "_base", "_class"), most + 1
 
 
-def oversample_random(df: DataFrame, target: str, keys: list[str], wanted: dict | None = None, seed: int = 42) -> DataFrame:
+def oversample_random(df: DataFrame, target: str, keys: list[str], wanted: dict | DataFrame | None = None, seed: int = 42) -> DataFrame:
     """Every class repeated up to the size of the greatest one (or to ``wanted``)."""
-    counts = class_counts(df, target)
-    wanted = wanted or {c: max(counts.values()) for c in counts}
-    rows, most = _copies(df, target, keys, wanted, counts, seed)
-    if rows is None:
-        return df
+    rows, most = _copies(df, target, keys, class_goals(df, target, wanted), seed)
     return df.unionByName(repeat_rows(rows, F.col("_copies"), most).select(*df.columns))
 
 
-def smote_rows(df: DataFrame, target: str, key: str, wanted: dict | None = None, k: int | None = None, seed: int = 42) -> DataFrame:
+def smote_rows(df: DataFrame, target: str, key: str, wanted: dict | DataFrame | None = None, k: int | None = None, seed: int = 42) -> DataFrame:
     """New rows only: each lies between a row and one of its ``k`` nearest rows of the same class.
 
-    Non-numeric columns and the key come from the seed row."""
-    counts = class_counts(df, target)
-    wanted = wanted or {c: max(counts.values()) for c in counts}
-    k = k or max(1, min(3, min(counts.values()) - 1))
+    Non-numeric columns and the key come from the seed row. Neighbours are sought class by class, one job each."""
+    goals = class_goals(df, target, wanted)
+    least = goals.agg(F.min("n")).first()[0]
     cols = [c for c in features(df, [key]) if c != target]
-    rows, most = _copies(df, target, [key], wanted, counts, seed)
-    if rows is None or not cols:
+    if least is None or not cols:
         return df.limit(0)
+    k = k or max(1, min(3, least - 1))
+    rows, most = _copies(df, target, [key], goals, seed)
     found = None
-    for c in [c for c, n in counts.items() if wanted.get(c, n) > n]:
+    for c in [r["_g"] for r in goals.where(F.col("wanted") > F.col("n")).select("_g").toLocalIterator()]:
         part = vectors(df.where(at(target) == F.lit(c)).na.fill(0.0, cols), key, cols)
         near = knn_join(part, part, k, exclude_self=True)
         lists = near.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"]).alias("near"))
         found = lists if found is None else found.unionByName(lists)
+    if found is None:
+        return df.limit(0)
     seeds = repeat_rows(rows, F.col("_copies"), most, "_copy").join(found.withColumnRenamed("id", "_id"), at(key) == F.col("_id"), "left")
     draw = [at(key), F.col("_copy")]
     pick = F.floor(uniform(draw, seed, "neighbour") * F.size("near")).cast("int")
@@ -79,7 +84,7 @@ def smote_rows(df: DataFrame, target: str, key: str, wanted: dict | None = None,
         (number(df, c) + F.col("_u") * (F.coalesce(F.col(f"_o_{c}"), number(df, c)) - number(df, c))).alias(c) if c in cols else at(c) for c in df.columns])
 
 
-def smote(df: DataFrame, target: str, key: str, wanted: dict | None = None, k: int | None = None, clip: bool = True, seed: int = 42) -> DataFrame:
+def smote(df: DataFrame, target: str, key: str, wanted: dict | DataFrame | None = None, k: int | None = None, clip: bool = True, seed: int = 42) -> DataFrame:
     """The table with every class grown to the greatest one by ``smote_rows``; numbers clipped to their 1st and 99th percentile."""
     cols = [c for c in features(df, [key]) if c != target]
     fresh = smote_rows(df, target, key, wanted, k, seed)

@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import at, number, numeric_columns
 from ..plans.positions import ordered_positions
 from ..session import written
-from .neighbours import CHUNK, _candidates, _distances, _merged, _prepare, _query_groups, eps_counts, knn_join, members_of, nothing
+from .neighbours import _candidates, _distances, _merged, _prepare, _query_groups, eps_counts, knn_join, members_of, nothing
 from .prep import impute_median, scale_standard
 from .profile import basics, centred, literal_rows
 from .select import inf_to_null
 
-EXACT_ROWS = 20_000    # rows up to which silhouettes use true Euclidean distances (quadratic work)
 SEED = 42
 
 
@@ -172,34 +171,11 @@ def _border(rest: DataFrame, core: DataFrame, by_vector: DataFrame, eps: float)
 
 # ---- scores -------------------------------------------------------------------------
 
-def _silhouette(data: DataFrame) -> float:
-    """Mean silhouette over true distances: blocks of rows against blocks, one distance sum per row and cluster leaves a task."""
-    parts = -(-data.count() // CHUNK)
-    tagged = data.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    spread = lambda name, own: tagged.withColumn("i" if own else "j", F.col("c")).withColumn("j" if own else "i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).drop("c")
-    kind = data.schema["id"].dataType.simpleString()
-
-    def sums(key, left, right):
-        if left.empty or right.empty:
-            return nothing(id="int64", cluster="int64", other="int64", d=float)
-        d = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float))
-        groups = right["cluster"].to_numpy()
-        return pd.concat([pd.DataFrame({"id": left["id"], "cluster": left["cluster"], "other": g, "d": d[:, groups == g].sum(axis=1)}) for g in np.unique(groups)])
-
-    block = (spread("left", True).groupBy("i", "j").cogroup(spread("right", False).groupBy("i", "j"))
-             .applyInPandas(sums, f"id {kind}, cluster long, other long, d double").groupBy("id", "cluster", "other").agg(F.sum("d").alias("d")))
-    sizes = data.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("m"))
-    per = block.join(F.broadcast(sizes), "other")       # one row per cluster
-    own = F.max(F.when(F.col("other") == F.col("cluster"), F.when(F.col("m") > 1, F.col("d") / (F.col("m") - 1)).otherwise(-1.0)))
-    near = F.min(F.when(F.col("other") != F.col("cluster"), F.col("d") / F.col("m")))
-    s = per.groupBy("id").agg(own.alias("a"), near.alias("b"))
-    return s.agg(F.avg(F.when(F.col("a") < 0, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))).alias("s")).first()["s"]
-
-
-def cluster_scores(pts: DataFrame, labels: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def cluster_scores(pts: DataFrame, labels: DataFrame) -> DataFrame:
     """silhouette, Calinski-Harabasz, Davies-Bouldin and cluster count without noise rows.
 
-    Above ``exact_rows`` the silhouette uses squared distances (``silhouette_kind`` says which)."""
+    The silhouette is that of squared distances at every size: it follows from per-cluster sums, one pass over the rows
+    (``silhouette_kind`` says so)."""
     spark = pts.sparkSession
     schema = "silhouette double, calinski_harabasz double, davies_bouldin double, n_clusters long, silhouette_kind string"
     none = {"silhouette": 0.0, "calinski_harabasz": 0.0, "davies_bouldin": float("inf"), "n_clusters": 0, "silhouette_kind": "none"}
@@ -223,11 +199,8 @@ def cluster_scores(pts: DataFrame, labels: DataFrame, exact_rows: int = EXACT_RO
     between = sum(c["n"] * float(((centre[c["cluster"]] - whole) ** 2).sum()) for c in centres)
     ids = list(centre)
     worst = [max((spread[i]["s"] + spread[j]["s"]) / float(np.linalg.norm(centre[i] - centre[j])) if np.any(centre[i] != centre[j]) else 0.0 for j in ids if j != i) for i in ids]
-    if n <= exact_rows:
-        silhouette, kind = _silhouette(data), "euclidean"
-    else:
-        vec = data.select(array_to_vector("x").alias("features"), F.col("cluster").cast("double").alias("prediction"))
-        silhouette, kind = ClusteringEvaluator().evaluate(vec), "squared"
+    vec = data.select(array_to_vector("x").alias("features"), F.col("cluster").cast("double").alias("prediction"))
+    silhouette, kind = ClusteringEvaluator().evaluate(vec), "squared"
     return literal_rows(spark, [{"silhouette": float(silhouette), "calinski_harabasz": 1.0 if within == 0 else between / within * (n - k) / (k - 1) if n > k else 0.0,
                                  "davies_bouldin": float(np.mean(worst)), "n_clusters": k, "silhouette_kind": kind}], schema)
 
@@ -241,11 +214,9 @@ def compare_clusters(df: DataFrame, key: str, columns: list[str] | None = None,
             "spectral": lambda: cluster_spectral(pts, k), "gaussian_mixture": lambda: cluster_gmm(pts, k)}
     rows = []
     for name, run in runs.items():
-        try:
-            s = cluster_scores(pts, run()).first()
-            found = {"silhouette": s["silhouette"], "calinski_harabasz": s["calinski_harabasz"], "davies_bouldin": -s["davies_bouldin"]}
-        except Exception:     # a method that cannot be run scores 0
-            found = {"silhouette": 0.0, "calinski_harabasz": 0.0, "davies_bouldin": 0.0}
+        s = cluster_scores(pts, run()).first() if k >= 2 else None
+        # too few rows for two clusters: nothing to score
+        found = {"silhouette": s["silhouette"], "calinski_harabasz": s["calinski_harabasz"], "davies_bouldin": -s["davies_bouldin"]} if s else dict.fromkeys(["silhouette", "calinski_harabasz", "davies_bouldin"], 0.0)
         rows += [{"model": name, "metric": m, "score": float(v)} for m, v in found.items()]
     long = literal_rows(df.sparkSession, rows, "model string, metric string, score double")
     return long.withColumn("best", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("score"), "model")) == 1)

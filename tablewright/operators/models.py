@@ -12,12 +12,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import at, number, numeric_columns
+from ..functions.columns import at, missing, number, numeric_columns
 from ..functions.draws import uniform
 from ..plans.positions import shuffled_positions
 from ..session import written
 from .neighbours import knn_join
-from .prep import FEW, impute_mean, sorted_values
+from .prep import encode_ordinal, impute_mean, sorted_values
 from .profile import literal_rows
 from .select import inf_to_null
 
@@ -37,11 +37,9 @@ def dataset(df: DataFrame, target: str, key: str, features: list[str] | None = N
     classes = []
     label = number(clean, target)
     if classify:
-        classes = sorted_values(clean, target, FEW)
-        if classes is None:
-            raise ValueError(f"{target} has too many values for a class column")
-        label = (F.array_position(F.array(*[F.lit(v) for v in classes]), at(target)) - 1).cast("double")
-        clean = clean.where(at(target).isNotNull())
+        classes = sorted_values(clean, target, None)        # one value per class
+        clean = encode_ordinal(clean.where(~missing(clean, target)).withColumn("_label", at(target)), "_label")
+        label = F.col("_label")
     named = clean.select(at(key).alias("id"), label.alias("label"), *[number(clean, c).alias(f"f{i}") for i, c in enumerate(features)])
     return VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(named).select("id", "label", "features"), classes
 
@@ -318,10 +316,8 @@ def cross_validate(data: DataFrame, classes: list, fit: Callable, k: int, score:
 def _compare(data, classes, models, k, score, worst) -> DataFrame:
     rows = []
     for name, fit in models.items():
-        try:
-            found = cross_validate(data, classes, fit, k, score)
-        except Exception:      # a model that cannot be fitted takes the worst score
-            found = dict.fromkeys(worst, list(worst.values())[0])
+        # fewer than two classes: no classifier can be fitted and all take the worst score; any other failure is an error
+        found = dict(worst) if classes is not None and len(classes) == 1 else cross_validate(data, classes, fit, k, score)
         rows += [{"model": name, "metric": m, "score": float(v)} for m, v in found.items()]
     long = literal_rows(data.sparkSession, rows, "model string, metric string, score double")
     best = Window.partitionBy("metric").orderBy(F.desc("score"), "model")      # one row per model and metric
@@ -408,7 +404,7 @@ def strategy_search(df: DataFrame, target: str, key: str, k: int = 5, trees: int
 def label_feature_selection(df: DataFrame, target: str, key: str, share: float = 0.8, trees: int = 100) -> DataFrame:
     """Classes kept both by the F-test (top ``share``) and by forest importance (at least the mean), over one-hot classes."""
     from pyspark.ml.feature import UnivariateFeatureSelector
-    classes = sorted_values(df, target, FEW)
+    classes = sorted_values(df, target, None)
     hot = df.where(at(target).isNotNull()).select((F.array_position(F.array(*[F.lit(c) for c in classes]), at(target)) - 1).cast("double").alias("label"),
                                                   *[(at(target) == F.lit(c)).cast("double").alias(f"f{i}") for i, c in enumerate(classes)])
     data = VectorAssembler(inputCols=[f"f{i}" for i in range(len(classes))], outputCol="features").transform(hot)

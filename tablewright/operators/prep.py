@@ -180,10 +180,11 @@ def scale_minmax(df: DataFrame, columns: list[str]) -> DataFrame:
 
 # ---- encoding -----------------------------------------------------------------------
 
-def sorted_values(df: DataFrame, column: str, limit: int) -> list | None:
+def sorted_values(df: DataFrame, column: str, limit: int | None) -> list | None:
     """Distinct non-missing values in order, or ``None`` if there are more than ``limit``."""
-    rows = df.where(~missing(df, column)).select(at(column).alias("v")).distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else sorted(r["v"] for r in rows)
+    rows = df.where(~missing(df, column)).select(at(column).alias("v")).distinct()
+    rows = (rows if limit is None else rows.limit(limit + 1)).collect()
+    return None if limit is not None and len(rows) > limit else sorted(r["v"] for r in rows)
 
 
 def encode_binary(df: DataFrame, column: str) -> DataFrame:
@@ -195,15 +196,30 @@ def encode_binary(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(f"{column}_binary", out)
 
 
-def encode_onehot(df: DataFrame, column: str, limit: int = 1000) -> DataFrame:
-    """One 0/1 column per value, in place of the column."""
+def encode_onehot(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """One 0/1 column per value, in place of the column; with ``limit``, more values than that are an error.
+
+    A table cannot be wider than its plan: for columns of very many values use ``encode_onehot_vector``."""
     values = sorted_values(df, column, limit)
     if values is None:
-        raise ValueError(f"{column} has more than {limit} values; use encode_target or encode_hash")
+        raise ValueError(f"{column} has more than {limit} values; use encode_onehot_vector, encode_target or encode_hash")
     return df.select(*[at(c) for c in df.columns if c != column],
                      *[F.coalesce((at(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in values])
 
 
+def encode_onehot_vector(df: DataFrame, column: str) -> DataFrame:
+    """One sparse 0/1 vector ``<column>_onehot`` in place of the column, positions in value order; missing values are zero vectors."""
+    from pyspark.ml.feature import OneHotEncoder
+    ranked = encode_ordinal(df.withColumn("_code", valid(df, column)), "_code")
+    width = ranked.agg(F.max("_code")).first()[0]
+    if width is None:
+        return df.drop(column)
+    filled = ranked.withColumn("_code", F.coalesce("_code", F.lit(width + 1)))
+    model = OneHotEncoder(inputCol="_code", outputCol=f"{column}_onehot", dropLast=False, handleInvalid="keep")
+    model = model.fit(filled.select(F.explode(F.array(F.lit(0.0), F.lit(float(width)))).alias("_code")).limit(2))
+    return model.transform(filled).drop("_code", column)
+
+
 def lookup_encode(df: DataFrame, column: str, table: DataFrame, key: str, value: str, limit: int = 1_000_000) -> DataFrame:
     """Replace a key by the value a lookup table gives it.
 
@@ -331,35 +347,127 @@ def impute_iterative(df: DataFrame, columns: list[str], rounds: int = 3) -> Data
 
 # ---- carrying out advice ------------------------------------------------------------
 
+def _mice(df: DataFrame, column: str) -> DataFrame:
+    """Fill the one column; the others are filled only to predict it and keep their own holes."""
+    others = [c for c in numeric_columns(df) if c != column]
+    marked = df.select(*[at(c) for c in df.columns], *[at(o).alias(f"_own_{i}") for i, o in enumerate(others)])
+    done = impute_iterative(marked, [column, *others])
+    back = {o: F.col(f"_own_{i}") for i, o in enumerate(others)}
+    return done.select(*[back.get(c, at(c)).alias(c) for c in df.columns])
+
+
+def _knn(df: DataFrame, column: str, key: str) -> DataFrame:
+    from .neighbours import impute_knn
+    others = [c for c in numeric_columns(df) if c not in (column, key)]
+    filled = impute_knn(df.select(at(key), at(column), *[at(o) for o in others]), key, [column, *others]).select(at(key).alias("_key"), at(column).alias("_filled"))
+    return df.join(filled, at(key) == F.col("_key"), "left").select(*[F.coalesce(number(df, column), F.col("_filled")).alias(c) if c == column else at(c) for c in df.columns])
+
+
+def _forest(df: DataFrame, key: str) -> DataFrame:
+    from .isolation import isolation_forest
+    return isolation_forest(df, [key]).drop("score")
+
+
+def _time(df: DataFrame, column: str) -> Column:
+    from .timeseries import as_time
+    return as_time(df, column)
+
+
+def _date_parts(df: DataFrame, column: str) -> DataFrame:
+    from ..functions.dates import datetime_parts
+    return df.withColumns({f"{column}_{n}": p for n, p in datetime_parts(_time(df, column)).items()})
+
+
+def _clock_parts(df: DataFrame, column: str) -> DataFrame:
+    t = _time(df, column)
+    return df.withColumns({f"{column}_{n}": f(t) for n, f in (("hour", F.hour), ("minute", F.minute), ("second", F.second))})
+
+
+def _cyclical(df: DataFrame, column: str) -> DataFrame:
+    """Sine and cosine of hour, weekday and month of a date; of a number, over its own range."""
+    from ..functions.dates import cyclical_encode
+    if column in numeric_columns(df):
+        r = _range(df, column)
+        if r["min"] is None:
+            return df
+        period = int(r["max"] - r["min"]) + 1
+        parts = {"": (number(df, column) - F.lit(r["min"]), period)}
+    else:
+        t = _time(df, column)
+        parts = {"_hour": (F.hour(t), 24), "_weekday": (F.weekday(t), 7), "_month": (F.month(t) - 1, 12)}
+    both = [(n, cyclical_encode(p, period)) for n, (p, period) in parts.items()]
+    return df.withColumns({f"{column}{n}_{k}": x for n, pair in both for k, x in zip(("sin", "cos"), pair)})
+
+
+def _clean_dates(df: DataFrame, column: str) -> DataFrame:
+    return put(df, column, _time(df, column))
+
+
+def _lags(df: DataFrame, column: str, key: str) -> DataFrame:
+    """Lags of every number in the order of the date column."""
+    from .timeseries import lag_features, measures
+    numbers, out = measures(df, column, [key]), df
+    for c in numbers:
+        out = lag_features(out, column, [key], c, 3)
+    return out
+
+
+def _rolling(df: DataFrame, column: str, key: str) -> DataFrame:
+    from .timeseries import measures, rolling_statistics
+    numbers, out = measures(df, column, [key]), df
+    for c in numbers:
+        out = rolling_statistics(out, column, [key], c, 7)
+    return out
+
+
 ACTIONS = {
     "yeo_johnson_transform": lambda df, c: yeo_johnson(df, c)[0], "boxcox_transform": lambda df, c: box_cox(df, c)[0],
     "log_transform": log_transform, "sqrt_transform": sqrt_transform, "logit_transform": logit_transform, "arcsin_transform": arcsin_transform,
     "log_transform_shifted": log_shifted, "winsorize_5_percent": winsorize, "winsorize": winsorize,
     "robust_scaler": lambda df, c: scale_robust(df, [c]), "standard_scaler": lambda df, c: scale_standard(df, [c]),
-    "min_max_scaler": lambda df, c: scale_minmax(df, [c]), "binary_encode": encode_binary, "one_hot_encode": encode_onehot,
-    "ordinal_encode": encode_ordinal, "feature_hashing": encode_hash, "drop_column": lambda df, c: df.drop(c), "drop_constant": lambda df, c: df.drop(c),
+    "min_max_scaler": lambda df, c: scale_minmax(df, [c]), "uniform_scaling": lambda df, c: scale_minmax(df, [c]),
+    "binary_encode": encode_binary, "one_hot_encode": encode_onehot, "ordinal_encode": encode_ordinal, "categorical_encoding": encode_ordinal, "feature_hashing": encode_hash,
+    "drop_column": lambda df, c: df.drop(c), "drop_constant": lambda df, c: df.drop(c), "feature_selection": lambda df, c: select_low_variance(df, [c]),
     "median_imputation": lambda df, c: impute_median(df, [c]), "mode_imputation": lambda df, c: impute_mode(df, [c]),
-    "frequent_category_imputation": lambda df, c: impute_mode(df, [c]), "remove_duplicates": lambda df, c: df.dropDuplicates(),
+    "frequent_category_imputation": lambda df, c: impute_mode(df, [c]), "advanced_imputation_mice": _mice, "remove_duplicates": lambda df, c: df.dropDuplicates(),
+    "remove_collinear": lambda df, c: drop_collinear(df), "iqr_method": lambda df, c: outlier_iqr(df, c, f"{c}_outlier"),
+    "cyclical_encoding": _cyclical, "datetime_extraction": _date_parts, "time_based_features": _clock_parts, "datetime_cleaning": _clean_dates,
 }
+KEYED = {"knn_imputation": _knn, "isolation_forest": lambda df, c, key: _forest(df, key), "lag_features": _lags, "rolling_statistics": _rolling}
+NOTHING = {"no_imputation_needed", "no_transform_needed", "consider_removal"}       # advice that asks for no change
+WHOLE = {"remove_duplicates", "remove_collinear"}                                     # about the table, whatever the column
 
 
-def apply_advice(df: DataFrame, advice: list[tuple[str, str]], selected: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, str, str]]]:
-    """Run (column, action) pairs in order; unknown or failing ones are skipped and logged.
+def apply_advice(df: DataFrame, advice: list[tuple[str, str]], selected: list[str] | None = None, key: str | None = None,
+                 target: str | None = None) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+    """Run (column, action) pairs in order. Returns the table and the log of (column, action, status).
 
-    Returns the table and the log of (column, action, status)."""
-    log_rows = []
+    An action without an operator is logged as ``unknown``, one for a column that is not (or no longer) there as ``no such
+    column``, one that needs a unique ``key`` or a ``target`` that was not given as ``needs key`` or ``needs target``. An action
+    that fails raises. An action on the whole table (an isolation forest) is run once."""
+    log_rows, ran = [], set()
     for column, action in advice:
         if selected and action not in selected:
             continue
-        if action not in ACTIONS:
-            log_rows.append((column, action, "unknown"))
-            continue
-        if column not in df.columns and action != "remove_duplicates":
-            log_rows.append((column, action, "no such column"))
-            continue
-        try:
+        status = "done"
+        if action in NOTHING:
+            pass
+        elif action not in ACTIONS and action not in KEYED and action != "target_encode":
+            status = "unknown"
+        elif column not in df.columns and action not in WHOLE:
+            status = "no such column"
+        elif action in KEYED and key is None:
+            status = "needs key"
+        elif action == "target_encode" and target is None:
+            status = "needs target"
+        elif action == "isolation_forest" and action in ran:
+            pass
+        elif action in KEYED:
+            df = KEYED[action](df, column, key)
+        elif action == "target_encode":
+            df = encode_target(df, column, target)
+        else:
             df = ACTIONS[action](df, column)
-            log_rows.append((column, action, "done"))
-        except Exception as error:   # one failing action does not stop the others
-            log_rows.append((column, action, f"failed: {type(error).__name__}"))
+        ran.add(action)
+        log_rows.append((column, action, status))
     return df, log_rows

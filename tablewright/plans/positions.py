@@ -2,8 +2,8 @@
 
 * ``shuffled_positions`` numbers rows in digest order. Digests spread evenly, so a digest
   prefix cuts the order into even buckets whatever the data looks like.
-* ``hash_cut`` picks the first ``m`` rows of that order; only the one bucket that straddles
-  the cut is ever ranked, all others are decided by a comparison.
+* ``hash_cut`` picks the first ``m`` rows of that order, per group if wanted; only the one small bucket
+  that straddles a group's cut is ever ranked, all others are decided by a comparison.
 * ``ordered_positions`` numbers rows by columns: range partitions, a written copy, and
   offsets per partition.
 * ``in_blocks`` puts numbered rows into blocks of bounded size, with as many neighbours
@@ -43,41 +43,45 @@ def shuffled_positions(df: DataFrame, keys: list[str], seed: int, groups: list[s
     return _with_offsets(tagged, "_b", F.row_number().over(order) - 1, groups).drop("_h")
 
 
-def hash_cut(df: DataFrame, keys: list[str], seed: int, m: int | dict, group: str | None = None) -> DataFrame:
+def _edge(sizes: DataFrame, by: list[str], bucket: str) -> DataFrame:
+    """(by, bucket, rest): of buckets in order, the one in which a group's ``_m``-th row lies, and how many rows it still gives."""
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)     # at most 65,536 buckets per group
+    seen = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return seen.where((F.col("_before") < F.col("_m")) & (F.col("_before") + F.col("_n") >= F.col("_m"))).select(*by, bucket, (F.col("_m") - F.col("_before")).alias("_rest"))
+
+
+def hash_cut(df: DataFrame, keys: list[str], seed: int, m: int | dict | DataFrame, group: str | None = None) -> DataFrame:
     """Add boolean ``_first``: the row is among the first ``m`` in digest order.
 
-    With ``group``, ``m`` is a dict from group value to count (absent groups: none).
+    With ``group``, ``m`` is a table ``(_g, _m)`` from group value to count, or a dict of the same; rows of other groups get
+    false. Any number of groups: counts travel as joins. The bucket at a group's edge is cut again by the next digits, so
+    what is ranked in one task is a four-billionth of a group.
     """
-    wanted = m if group else {None: m}
-    # with many groups the buckets are coarser, so about a million bucket sizes reach the driver at most
-    prefix = PREFIX if len(wanted) <= 16 else PREFIX - 1 if len(wanted) <= 256 else PREFIX - 2
-    tagged = df.withColumn("_h", digest(keys, seed, "order")).withColumn("_b", F.substring("_h", 1, prefix))
-    by = [group] if group else []
-    sizes = (tagged.where(at(group).isin(list(wanted))) if group else tagged).groupBy(*by, "_b").count().orderBy(*by, "_b")
-    edge, left = {}, dict(wanted)
-    for row in sizes.toLocalIterator():
-        g = row[group] if group else None
-        if g not in left or g in edge:
-            continue
-        if row["count"] >= left[g]:
-            edge[g] = (row["_b"], left[g])
-        left[g] -= row["count"]
-    bucket, rest = F.lit("g"), F.lit(0)   # "g" sorts after every hex digit
-    none = F.lit("")
-    if group:
-        bucket, rest = none, F.lit(0)
-        for g, n in wanted.items():
-            b, r = edge.get(g, ("g", 0))
-            same = at(group) == F.lit(g)
-            bucket = F.when(same, F.lit(b)).otherwise(bucket)
-            rest = F.when(same, F.lit(r)).otherwise(rest)
-    elif None in edge:
-        bucket, rest = F.lit(edge[None][0]), F.lit(edge[None][1])
-    tagged = tagged.withColumn("_edge", bucket).withColumn("_rest", rest)
-    clear = tagged.where(F.col("_b") != F.col("_edge")).withColumn("_first", F.col("_b") < F.col("_edge"))
-    order = Window.partitionBy(*by, "_b").orderBy("_h", *[at(k) for k in keys])
-    tied = tagged.where(F.col("_b") == F.col("_edge")).withColumn("_first", F.row_number().over(order) <= F.col("_rest"))
-    return clear.unionByName(tied).drop("_h", "_b", "_edge", "_rest")
+    spark = df.sparkSession
+    if group is None:
+        wanted = spark.createDataFrame([(0, int(m))], "_g int, _m long")
+        tagged = df.withColumn("_g", F.lit(0))
+    else:
+        kind = df.select(at(group).alias("_g")).schema[0].dataType.simpleString()
+        wanted = m.select("_g", F.col("_m").cast("long").alias("_m")) if isinstance(m, DataFrame) else spark.createDataFrame([(g, int(n)) for g, n in m.items()], f"_g {kind}, _m long")
+        tagged = df.withColumn("_g", at(group))
+    tagged = tagged.withColumn("_h", digest(keys, seed, "order")).withColumn("_b", F.substring("_h", 1, PREFIX)).withColumn("_b2", F.substring("_h", PREFIX + 1, PREFIX))
+    sizes = tagged.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n")).join(wanted, "_g")
+    totals = sizes.groupBy("_g").agg(F.sum("_n").alias("_all"), F.max("_m").alias("_m"))
+    edge = _edge(sizes, ["_g"], "_b")
+    inner = (tagged.join(edge.withColumnRenamed("_rest", "_m"), ["_g", "_b"]).groupBy("_g", "_b", "_b2").agg(F.count(F.lit(1)).alias("_n"), F.max("_m").alias("_m")))
+    inner = _edge(inner, ["_g", "_b"], "_b2").withColumnRenamed("_b2", "_e2")
+    # one row per wanted group: all of it, or the two prefixes and the rest of the inner bucket
+    cut = (totals.join(inner.withColumnRenamed("_b", "_e"), "_g", "left")
+           .select("_g", (F.col("_all") <= F.col("_m")).alias("_whole"), "_e", "_e2", "_rest"))
+    marked = tagged.join(cut, "_g", "left")
+    where = F.struct("_b", "_b2")
+    at_edge = F.coalesce(~F.col("_whole") & (where == F.struct(F.col("_e").alias("_b"), F.col("_e2").alias("_b2"))), F.lit(False))
+    clear = F.coalesce(F.col("_whole") | (where < F.struct(F.col("_e").alias("_b"), F.col("_e2").alias("_b2"))), F.lit(False))
+    order = Window.partitionBy("_g", "_b", "_b2").orderBy("_h", *[at(k) for k in keys])
+    sure = marked.where(~at_edge).withColumn("_first", clear)
+    tied = marked.where(at_edge).withColumn("_first", F.row_number().over(order) <= F.col("_rest"))
+    return sure.unionByName(tied).drop("_g", "_h", "_b", "_b2", "_whole", "_e", "_e2", "_rest")
 
 
 def ordered_positions(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:

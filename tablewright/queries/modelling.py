@@ -8,7 +8,7 @@ from ..functions.columns import rounded
 from ..operators import clusters, models
 from .base import order_sql, query, table
 
-DIMS = 8
+DIMS = 64                      # all dimensions of the vectors
 COLS = [f"e{i}" for i in range(DIMS)]
 WIDE_SQL = "(SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(DIMS)) + " FROM embeddings)"
 X_SQL = "[" + ", ".join(COLS) + "]"
@@ -26,8 +26,6 @@ def quality(spark, sf):
     return d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
-# Query-size settings: the library defaults are 100 trees and 100 rounds.
-SMALL = {"trees": 20, "rounds": 5}
 TEST = "id % 4 = 0"
 
 
@@ -40,7 +38,7 @@ def _classify(key: str, name: str, binary: bool = False, sql: str | None = None,
     @query(key, sql)
     def _(spark, sf):
         df, target, row = (quality(spark, sf), "quality", "doc_id") if binary else (embedded(spark, sf), "label", "vec_id")
-        return models.predictions(df, target, row, name, F.expr(TEST), **{**SMALL, **parameters})
+        return models.predictions(df, target, row, name, F.expr(TEST), **parameters)
 
 
 KNN_BASE = f"(SELECT a.vec_id AS id, b.label AS l, b.e0 AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance({{x}}), b.vec_id) AS r FROM {WIDE_SQL} a, {WIDE_SQL} b WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0)"
@@ -66,7 +64,7 @@ _classify("clf_qda", "qda")
 def _regress(key: str, name: str, sql: str | None = None, digits: int | None = None):
     @query(key, sql)
     def _(spark, sf):
-        out = models.predictions(embedded(spark, sf).drop("label"), "e0", "vec_id", name, F.expr(TEST), classify=False, **SMALL)
+        out = models.predictions(embedded(spark, sf).drop("label"), "e0", "vec_id", name, F.expr(TEST), classify=False)
         return rounded(out, digits) if digits else out
 
 
@@ -78,12 +76,12 @@ for _key, _name in [("reg_random_forest", "randomforest"), ("reg_gradient_boost"
 
 @query("compare_classifiers")
 def _(spark, sf):
-    return models.compare_classifiers(quality(spark, sf), "quality", "doc_id", ["randomforest", "GaussianNB", "logistic_regression", "decision_tree", "lda"], **SMALL)
+    return models.compare_classifiers(quality(spark, sf), "quality", "doc_id")
 
 
 @query("compare_regressors")
 def _(spark, sf):
-    return models.compare_regressors(embedded(spark, sf).drop("label"), "e0", "vec_id", ["decision_tree", "linear", "ridge", "lasso"], **SMALL)
+    return models.compare_regressors(embedded(spark, sf).drop("label"), "e0", "vec_id")
 
 
 @query("split_evaluate")
@@ -93,17 +91,17 @@ def _(spark, sf):
 
 @query("tune_random")
 def _(spark, sf):
-    return models.tune_random(quality(spark, sf), "quality", "doc_id", "decision_tree", {"depth": [2, 4, 6, 8, 10]}, trials=3, k=3)
+    return models.tune_random(quality(spark, sf), "quality", "doc_id", "decision_tree", {"depth": [2, 4, 6, 8, 10]})
 
 
 @query("strategy_search")
 def _(spark, sf):
-    return models.strategy_search(quality(spark, sf), "quality", "doc_id", k=2, trees=5)
+    return models.strategy_search(quality(spark, sf), "quality", "doc_id")
 
 
 @query("label_feature_selection")
 def _(spark, sf):
-    return models.label_feature_selection(embedded(spark, sf), "label", "vec_id", trees=20)
+    return models.label_feature_selection(embedded(spark, sf), "label", "vec_id")
 
 
 # ---- clusters -----------------------------------------------------------------------
@@ -128,7 +126,7 @@ def _(spark, sf):
 
 @query("cluster_kmeans")
 def _(spark, sf):
-    return clusters.cluster_kmeans(clusters.points(prepared(spark, sf), "vec_id"), 10, 3)
+    return clusters.cluster_kmeans(clusters.points(prepared(spark, sf), "vec_id"), 10)
 
 
 @query("cluster_hierarchical")
@@ -163,12 +161,12 @@ def _(spark, sf):
 
 
 @query("cluster_scores", f"WITH p AS (SELECT vec_id AS id, label AS c, {X_SQL} AS x FROM {WIDE_SQL}), sizes AS (SELECT c, count(*) AS n FROM p GROUP BY 1),"
-       " d AS (SELECT a.id, a.c, b.c AS o, sum(list_distance(a.x, b.x)) AS s FROM p a, p b GROUP BY ALL), m AS (SELECT d.id, max(CASE WHEN d.c = d.o THEN s / (n - 1) END) AS a, min(CASE WHEN d.c <> d.o THEN s / n END) AS b FROM d JOIN sizes z ON z.c = d.o GROUP BY 1),"
+       " d AS (SELECT a.id, a.c, b.c AS o, sum(list_distance(a.x, b.x) * list_distance(a.x, b.x)) AS s FROM p a, p b GROUP BY ALL), m AS (SELECT d.id, max(CASE WHEN d.c = d.o THEN s / (n - 1) END) AS a, min(CASE WHEN d.c <> d.o THEN s / n END) AS b FROM d JOIN sizes z ON z.c = d.o GROUP BY 1),"
        " ctr AS (SELECT c, count(*) AS n, [" + ", ".join(f"avg(x[{i + 1}])" for i in range(DIMS)) + "] AS m FROM p GROUP BY 1), whole AS (SELECT [" + ", ".join(f"avg(x[{i + 1}])" for i in range(DIMS)) + "] AS w FROM p),"
        " sp AS (SELECT p.c, avg(list_distance(x, m)) AS s, sum(list_distance(x, m) * list_distance(x, m)) AS ss FROM p JOIN ctr USING (c) GROUP BY 1),"
        " db AS (SELECT a.c, max((sa.s + sb.s) / list_distance(a.m, b.m)) AS r FROM ctr a JOIN ctr b ON a.c <> b.c JOIN sp sa ON sa.c = a.c JOIN sp sb ON sb.c = b.c GROUP BY 1)"
        " SELECT round((SELECT avg((b - a) / greatest(a, b)) FROM m), 6) AS silhouette, round((SELECT sum(n * list_distance(m, w) * list_distance(m, w)) FROM ctr, whole) / (SELECT sum(ss) FROM sp) * ((SELECT count(*) FROM p) - (SELECT count(*) FROM ctr)) / ((SELECT count(*) FROM ctr) - 1), 6) AS calinski_harabasz,"
-       " round((SELECT avg(r) FROM db), 6) AS davies_bouldin, (SELECT count(*) FROM ctr) AS n_clusters, 'euclidean' AS silhouette_kind")
+       " round((SELECT avg(r) FROM db), 6) AS davies_bouldin, (SELECT count(*) FROM ctr) AS n_clusters, 'squared' AS silhouette_kind")
 def _(spark, sf):
     df = embedded(spark, sf)
     pts = df.select(F.col("vec_id").alias("id"), F.array(*COLS).alias("x"))
@@ -177,4 +175,4 @@ def _(spark, sf):
 
 @query("compare_clusters")
 def _(spark, sf):
-    return clusters.compare_clusters(embedded(spark, sf).drop("label"), "vec_id", COLS[:4], starts=2)
+    return clusters.compare_clusters(embedded(spark, sf).drop("label"), "vec_id", COLS)
