@@ -231,6 +231,6 @@ def impute_knn(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataF
         near = knn_join(points.join(holes, points["id"] == F.col("_k"), "left_semi"), points.join(holes, points["id"] == F.col("_k"), "left_anti"), k)
         values = df.select(at(key).alias("neighbour"), number(df, c).alias("_v"))
         means = near.join(values, "neighbour").groupBy("id").agg(F.avg("_v").alias("_m"))
-        out = out.join(means, at(key) == F.col("id"), "left").select(*[
+        out = out.join(means.withColumnRenamed("id", "_id"), at(key) == F.col("_id"), "left").select(*[
             F.coalesce(number(out, c), F.col("_m")).alias(c) if n == c else at(n) for n in out.columns])
     return out

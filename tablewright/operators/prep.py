@@ -404,20 +404,21 @@ def _clean_dates(df: DataFrame, column: str) -> DataFrame:
 
 
 def _lags(df: DataFrame, column: str, key: str) -> DataFrame:
-    """Lags of every number in the order of the date column."""
-    from .timeseries import lag_features, measures
-    numbers, out = measures(df, column, [key]), df
-    for c in numbers:
-        out = lag_features(out, column, [key], c, 3)
-    return out
+    """Three lags of every number in the order of the date column; rows are put in order once for all of them."""
+    from .timeseries import _framed, measures
+    blocks, w = _framed(df, column, [key], [], 3, 0)
+    lags = [F.lag(at(c), i).over(w).alias(f"{c}_lag_{i}") for c in measures(df, column, [key]) for i in (1, 2, 3)]
+    return blocks.select("_own", *[at(c) for c in df.columns], *lags).where("_own").drop("_own")
 
 
 def _rolling(df: DataFrame, column: str, key: str) -> DataFrame:
-    from .timeseries import measures, rolling_statistics
-    numbers, out = measures(df, column, [key]), df
-    for c in numbers:
-        out = rolling_statistics(out, column, [key], c, 7)
-    return out
+    """Mean and deviation of the last seven rows of every number in the order of the date column."""
+    from .timeseries import _framed, measures
+    blocks, w = _framed(df, column, [key], [], 6, 0)
+    frame = w.rowsBetween(-6, 0)
+    full = lambda c, f: F.when(F.count(number(df, c)).over(frame) == 7, f(number(df, c)).over(frame))
+    stats = [full(c, f).alias(f"{c}_rolling_{n}") for c in measures(df, column, [key]) for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return blocks.select("_own", *[at(c) for c in df.columns], *stats).where("_own").drop("_own")
 
 
 ACTIONS = {

@@ -393,7 +393,11 @@ def _pair_corr(df: DataFrame, a: str, b: str) -> Column:
     """Pearson r over rows where both are present; null when either is constant."""
     x, y = number(df, a), number(df, b)
     both = x.isNotNull() & y.isNotNull()
-    return F.nullif(F.corr(F.when(both, x), F.when(both, y)), F.lit(float("nan")))
+    x, y = F.when(both, x), F.when(both, y)
+    # not F.corr: under ANSI rules it fails on a constant column, where r is missing
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    r = F.nullif(r, F.lit(float("nan")))
+    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
 def corr_pairs(df: DataFrame, columns: list[str] | None = None, per_pass: int = 400) -> DataFrame:

@@ -48,11 +48,13 @@ def test_every_advised_action_is_known():
 def test_actions_with_keys_and_dates(spark):
     rows = [(i, float(i % 9) if i % 5 else None, float(i % 7), f"2024-0{1 + i % 9}-1{i % 9} 0{i % 10}:30:00", "ab"[i % 2]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, x double, y double, day string, kind string")
-    advice = [("x", a) for a in ("advanced_imputation_mice", "iqr_method", "uniform_scaling", "isolation_forest", "no_transform_needed")] + [("day", a) for a in ("datetime_extraction", "time_based_features", "cyclical_encoding", "lag_features", "rolling_statistics")]
-    advice += [("kind", "target_encode"), ("y", "cyclical_encoding"), ("day", "datetime_cleaning"), ("_all", "remove_collinear"), ("y", "kde_estimation")]
+    advice = [("x", a) for a in ("advanced_imputation_mice", "iqr_method", "uniform_scaling", "isolation_forest", "no_transform_needed")] + [("day", a) for a in ("lag_features", "datetime_extraction", "time_based_features", "cyclical_encoding")]
+    advice += [("kind", "target_encode"), ("y", "cyclical_encoding"), ("day", "datetime_cleaning"), ("y", "kde_estimation")]
     out, log = prep.apply_advice(df, advice, key="id", target="y")
-    assert [s for _, _, s in log] == ["done"] * 14 + ["unknown"]
-    assert out.where("x is null").count() == 0 and out.count() == 60 and {"x_outlier", "outlier", "day_year", "day_minute", "day_hour_sin", "y_sin"} <= set(out.columns)
+    assert [s for _, _, s in log] == ["done"] * 12 + ["unknown"]
+    assert out.where("x is null").count() == 0 and out.count() == 60 and {"x_outlier", "outlier", "day_year", "day_minute", "day_hour_sin", "y_sin", "x_lag_3"} <= set(out.columns)
+    assert prep.apply_advice(df.withColumn("z", F.col("y") * 2), [("_all", "remove_collinear")])[0].columns == df.columns
+    assert "y_rolling_std" in prep.apply_advice(df, [("day", "rolling_statistics")], key="id")[0].columns
     assert [s for _, _, s in prep.apply_advice(df, [("x", "knn_imputation"), ("kind", "target_encode")])[1]] == ["needs key", "needs target"]
     assert prep.apply_advice(df, [("x", "knn_imputation")], key="id")[0].where("x is null").count() == 0
     with pytest.raises(Exception):
@@ -111,3 +113,9 @@ def test_silhouette_is_that_of_squared_distances(spark):
     a = np.array([d[i][lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1) for i in range(50)])
     b = np.array([d[i][lab != lab[i]].mean() for i in range(50)])
     assert got.silhouette == pytest.approx(((b - a) / np.maximum(a, b)).mean()) and got.silhouette_kind == "squared"
+
+
+def test_constant_columns_have_no_correlation(spark):
+    from tablewright.operators import profile
+    df = spark.createDataFrame([(float(i), 3.0, float(-2 * i)) for i in range(9)], "a double, b double, c double")
+    assert {(r.left, r.right): r.r for r in profile.corr_pairs(df).collect()} == {("a", "b"): None, ("a", "c"): pytest.approx(-1), ("b", "c"): None}
