@@ -26,6 +26,8 @@ def quality(spark, sf):
     return d.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
 
 
+# Queries that fit every model in every fold take 20 trees and rounds each; single models take the library's 100.
+SEARCH = {"trees": 20, "rounds": 20}
 TEST = "id % 4 = 0"
 
 
@@ -76,12 +78,12 @@ for _key, _name in [("reg_random_forest", "randomforest"), ("reg_gradient_boost"
 
 @query("compare_classifiers")
 def _(spark, sf):
-    return models.compare_classifiers(quality(spark, sf), "quality", "doc_id")
+    return models.compare_classifiers(quality(spark, sf), "quality", "doc_id", **SEARCH)
 
 
 @query("compare_regressors")
 def _(spark, sf):
-    return models.compare_regressors(embedded(spark, sf).drop("label"), "e0", "vec_id")
+    return models.compare_regressors(embedded(spark, sf).drop("label"), "e0", "vec_id", **SEARCH)
 
 
 @query("split_evaluate")
@@ -96,7 +98,7 @@ def _(spark, sf):
 
 @query("strategy_search")
 def _(spark, sf):
-    return models.strategy_search(quality(spark, sf), "quality", "doc_id")
+    return models.strategy_search(quality(spark, sf), "quality", "doc_id", trees=SEARCH["trees"])
 
 
 @query("label_feature_selection")
