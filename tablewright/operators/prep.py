@@ -436,6 +436,9 @@ ACTIONS = {
 }
 KEYED = {"knn_imputation": _knn, "isolation_forest": lambda df, c, key: _forest(df, key), "lag_features": _lags, "rolling_statistics": _rolling}
 NOTHING = {"no_imputation_needed", "no_transform_needed", "consider_removal"}       # advice that asks for no change
+NUMERIC = {"yeo_johnson_transform", "boxcox_transform", "log_transform", "sqrt_transform", "logit_transform", "arcsin_transform", "log_transform_shifted",
+           "winsorize_5_percent", "winsorize", "robust_scaler", "standard_scaler", "min_max_scaler", "uniform_scaling", "feature_selection", "median_imputation",
+           "advanced_imputation_mice", "iqr_method", "knn_imputation"}
 WHOLE = {"remove_duplicates", "remove_collinear"}                                     # about the table, whatever the column
 
 
@@ -444,8 +447,8 @@ def apply_advice(df: DataFrame, advice: list[tuple[str, str]], selected: list[st
     """Run (column, action) pairs in order. Returns the table and the log of (column, action, status).
 
     An action without an operator is logged as ``unknown``, one for a column that is not (or no longer) there as ``no such
-    column``, one that needs a unique ``key`` or a ``target`` that was not given as ``needs key`` or ``needs target``. An action
-    that fails raises. An action on the whole table (an isolation forest) is run once."""
+    column``, one that needs a unique ``key`` or a ``target`` that was not given as ``needs key`` or ``needs target``, one for
+    numbers on another column as ``failed: not numeric``. Any other failure raises. An action on the whole table (an isolation forest) is run once."""
     log_rows, ran = [], set()
     for column, action in advice:
         if selected and action not in selected:
@@ -457,6 +460,8 @@ def apply_advice(df: DataFrame, advice: list[tuple[str, str]], selected: list[st
             status = "unknown"
         elif column not in df.columns and action not in WHOLE:
             status = "no such column"
+        elif action in NUMERIC and column not in numeric_columns(df):
+            status = "failed: not numeric"
         elif action in KEYED and key is None:
             status = "needs key"
         elif action == "target_encode" and target is None:

@@ -71,8 +71,8 @@ def condition_sql(section: str, condition: dict, join: str = "and") -> str:
             raise ValueError(f"section {section!r}: condition {key!r} is not known")
     if join == "or" and ("skew" in condition or "kurt" in condition):
         rest = {k: v for k, v in condition.items() if k not in ("skew", "kurt")}
-        either = f"(abs(skew) > {condition.get('skew', 0)} or kurt > {condition.get('kurt', 1e9)})"
-        return " and ".join([either, *([condition_sql(section, rest)] if rest else [])])
+        either = f"abs(skew) > {condition.get('skew', 0)} or kurt > {condition.get('kurt', 1e9)}"
+        return f"({either}) and {condition_sql(section, rest)}" if rest else either
     return " and ".join(parts) or "true"
 
 
