@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .html_labelled import labelled_pages
+from .scratch import lowest
 
 SLOTS = 1 << 13                    # hashed feature slots
 SAMPLE_PAGES = 200                 # pages whose words fill the labelled layouts
@@ -286,9 +287,13 @@ def examples(pages: list[tuple[str, set[str]]]) -> list[tuple[list[list[int]], l
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, labelled: int = LABELLED) -> Model:
     """A model trained on ``labelled`` pages whose layouts are known and whose words come from a sample of ``pages``.
 
-    The sample (by digest of the page id, at most ``sample`` pages) only lends its vocabulary.
+    The sample (by digest of the row, at most ``sample`` pages) only lends its vocabulary.
     """
-    rows = pages.select(F.xxhash64("page_id").alias("d"), "page_id", F.substring("html", 1, 20_000).alias("html")).where("html is not null").orderBy("d", "page_id").limit(sample).collect()
+    digest = F.xxhash64("page_id", "html")
+    known = pages.where("html is not null").select(F.col("html"), digest.alias("d"))
+    picked = [r.d for r in lowest(known.select("d").distinct(), F.col("d"), pages.count(), sample).collect()]
+    # repeated rows have one digest, so at most as many rows come back as were picked
+    rows = known.where(F.col("d").isin(picked)).groupBy("d").agg(F.first("html").alias("html")).collect()
     words = sorted({w for r in rows for b in leaf_blocks(r.html) for w in b[0].split()})
     return train(examples(labelled_pages(words, labelled)))
 
