@@ -25,7 +25,7 @@ from tablewright.session import written
 
 from .components import components
 from .ngram_join import forest
-from .scratch import map_groups
+from .scratch import lowest, map_groups
 
 THRESHOLD = 0.98
 SAMPLE = 16_384                    # vectors used to fit centroids and codebooks; all are filed, coded and searched
@@ -130,7 +130,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     usable = written(_usable(given))
     # a bounded sample by digest, so the fit does not depend on how rows lie
-    picked = usable.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("dims", "embedding").collect()
+    n = usable.count()
+    picked = lowest(usable, F.xxhash64("rep"), n, SAMPLE).select("dims", "embedding").collect()
     if not picked:
         return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), "label")
     widest = usable.agg(F.max("dims")).first()[0]
@@ -138,7 +139,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     for i, r in enumerate(picked):
         sample[i, :r.dims] = np.array(r.embedding) / np.abs(r.embedding).max()
     sample /= np.sqrt((sample ** 2).sum(1, keepdims=True))
-    model = Model(sample, lists_for(usable.count()))
+    model = Model(sample, lists_for(n))
     radius = sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
