@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import lowest
 from .words import Slice, first_of_runs, mix, slices
 
 BUCKETS = 1 << 16
@@ -114,7 +115,7 @@ def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
     """At most ``most`` labelled ids with their half of the sample; an id with several labels is good only if all are."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     draw = F.xxhash64(F.col("doc_id"), F.lit("quality"))
-    return one.select("doc_id", "quality", draw.alias("draw")).orderBy("draw", "doc_id").limit(most).select("doc_id", "quality", (F.pmod("draw", F.lit(2)) == 0).alias("fits"))
+    return lowest(one.select("doc_id", "quality", draw.alias("draw")), F.col("draw"), labels.count(), most).select("doc_id", "quality", (F.pmod("draw", F.lit(2)) == 0).alias("fits"))
 
 
 def best_threshold(scores: np.ndarray, good: np.ndarray, cost: float = 5.0) -> float:
