@@ -1,20 +1,22 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned as it stands and then layer by layer: URL escapes, Unicode escapes, base64 runs and compressed data
-inside base64 are unwrapped until nothing new appears. Every layer knows, for each of its characters, the stretch of the
+inside either are unwrapped until nothing new appears; nothing is cut unless the caller sets ``most``. Every layer knows, for each of its characters, the stretch of the
 original text it came from, so a find in any layer is reported as a span of the original. A layer whose content and
 place were seen before is not opened again, so nested or self-reproducing encodings come to an end.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,31 +24,64 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("assign", "access", "hex")
-#: Most bytes that one compressed layer may unfold to (a guard against decompression bombs). A layer beyond it is
-#: scanned up to there and the row says so in ``cut_layers``.
-MOST_BYTES = 64 << 20
+#: A layer beyond this size waits in a file instead of memory, and is read and written in pieces of STEP bytes.
+IN_MEMORY = 8 << 20
+STEP = 1 << 20
+SHORTEST = 12                      # characters in the shortest secret
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")          # the longest run is taken, so this is "20 or more"
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)")
-#: The shortest secret has 12 characters, so 16 in base64. Lines of 60 or more may go on in the next line.
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+_VALUE = rb"[A-Za-z0-9+/_.=-]"
+#: The same kinds in bytes, and a word that each needs.
+_INNER = (("assign", re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""" + _VALUE + rb"{6,}"), None),
+          ("access", re.compile(rb"AKIA[A-Z0-9]{16,}"), b"AKIA"), ("hex", re.compile(rb"[0-9a-f]{24,}"), None))
+
+_URL = re.compile(rb"%([0-9A-Fa-f]{2})")
+_UNICODE = re.compile(rb"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
+#: The shortest secret has 12 characters, so 16 in base64. A run that ends a line may go on in the next one, at any width.
+_BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)*+|[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++)={0,2}")
+_PLAIN = bytes.maketrans(b"-_", b"+/")
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+#: The same in UTF-16 and UTF-32.
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}|(?:\0[\t\n\r\x20-\x7e]){12,}|(?:[\t\n\r\x20-\x7e]\0{3}){12,}|(?:\0{3}[\t\n\r\x20-\x7e]){12,}")
+_PACKED = re.compile(rb"(?P<gzip>\x1f\x8b\x08)|(?P<zlib>\x78[\x01\x5e\x9c\xda])|(?P<bz2>BZh[1-9](?:1AY&SY|\x17rE8P\x90))|(?P<xz>\xfd7zXZ\0)|(?P<zstd>\x28\xb5\x2f\xfd)")
+_MAGIC = (b"\x1f\x8b\x08", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\0", b"\x28\xb5\x2f\xfd")
+_PADDING = re.compile(rb"\0+")
 
 
 class Layer:
-    """A decoded text; character ``i`` came from ``[begin[i], end[i])`` of the original (None: the text itself)."""
+    """Bytes unwrapped from a text; byte ``i`` came from ``[begin[i], end[i])`` of it.
+
+    All patterns are ASCII, so other characters of the text stand as ``?``. ``begin`` and ``end`` are None for the text
+    itself, and numbers where all bytes came from the same stretch.
+    """
 
-    __slots__ = ("text", "begin", "end")
+    __slots__ = ("data", "begin", "end")
 
-    def __init__(self, text: str, begin=None, end=None):
-        self.text, self.begin, self.end = text, begin, end
+    def __init__(self, data, begin=None, end=None):
+        self.data, self.begin, self.end = data, begin, end
+
+    @property
+    def mapped(self) -> bool:
+        return not isinstance(self.begin, int)
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.begin is None else (self.begin[a], self.end[b - 1])
+        if self.begin is None:
+            return a, b
+        return (self.begin[a], self.end[b - 1]) if self.mapped else (self.begin, self.end)
+
+    def finds(self) -> set[tuple[int, str, int]]:
+        found = set()
+        for kind, pattern, word in _INNER:
+            if word is None or self.data.find(word) >= 0 or kind == "assign":
+                for m in pattern.finditer(self.data):
+                    a, b = self.span(m.start(), m.end())
+                    found.add((a, kind, b))
+                    if not self.mapped:
+                        break
+        return found
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -60,150 +95,265 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
+class _Spool:
+    """Collects bytes, in an unnamed file once they are many; ``done`` gives them as bytes or as a memory map."""
+
+    def __init__(self):
+        self.head, self.file, self.size = bytearray(), None, 0
+
+    def write(self, piece: bytes) -> None:
+        self.size += len(piece)
+        if self.file is None and self.size > IN_MEMORY:
+            self.file = tempfile.TemporaryFile()
+            self.file.write(self.head)
+        (self.head.extend if self.file is None else self.file.write)(piece)
+
+    def copy(self, data, a: int, b: int) -> None:
+        for at in range(a, b, STEP):
+            self.write(data[at:min(at + STEP, b)])
+
+    def done(self):
+        if self.file is None:
+            return bytes(self.head)
+        self.file.flush()
+        return mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
 def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with every escape run decoded in place; None if no run can be decoded."""
-    text, parts, begin, end, at, changed = layer.text, [], [], [], 0, False
+    """The layer with every escape decoded in place to one byte; None if there is none."""
+    data, at, out, begin, end = layer.data, 0, _Spool(), [], []
 
     def keep(a: int, b: int) -> None:
-        parts.append(text[a:b])
+        out.copy(data, a, b)
         if layer.begin is None:
             begin.extend(range(a, b))
             end.extend(range(a + 1, b + 1))
-        else:
+        elif layer.mapped:
             begin.extend(layer.begin[a:b])
             end.extend(layer.end[a:b])
 
-    for m in pattern.finditer(text):
-        got = decode(m.group())
-        if got is None:
-            continue
+    for m in pattern.finditer(data):
         keep(at, m.start())
-        for piece, a, b in got:                       # decoded characters and where in the run they came from
-            first, last = layer.span(m.start() + a, m.start() + b)
-            parts.append(piece)
-            begin.extend([first] * len(piece))
-            end.extend([last] * len(piece))
-        at, changed = m.end(), True
-    if not changed:
+        out.write(decode(m))
+        if layer.mapped:
+            first, last = layer.span(m.start(), m.end())
+            begin.append(first)
+            end.append(last)
+        at = m.end()
+    if not at:
         return None
-    keep(at, len(text))
-    return Layer("".join(parts), begin, end)
-
-
-def _url(run: str) -> list[tuple[str, int, int]] | None:
-    data = bytes.fromhex(run.replace("%", ""))
-    text = data.decode("utf-8", errors="replace")
-    if "\ufffd" in text:
-        text = data.decode("latin-1")                 # escapes of an older encoding: one character each
-        return [(c, 3 * i, 3 * i + 3) for i, c in enumerate(text)]
-    pieces, at = [], 0
-    for c in text:
-        size = 3 * len(c.encode())
-        pieces.append((c, at, at + size))
-        at += size
-    return pieces
-
-
-def _unicode(run: str) -> list[tuple[str, int, int]] | None:
-    pieces, high = [], None
-    for m in _ESCAPE.finditer(run):
-        code = int(m.group(1) or m.group(2), 16)
-        if high is not None and 0xDC00 <= code < 0xE000:
-            pieces[-1] = (chr(0x10000 + ((high[0] - 0xD800) << 10) + code - 0xDC00), high[1], m.end())
-            high = None
-            continue
-        high = (code, m.start()) if 0xD800 <= code < 0xDC00 else None
-        pieces.append((chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "\ufffd", m.start(), m.end()))
-    return pieces
+    keep(at, len(data))
+    return Layer(out.done(), begin, end) if layer.mapped else Layer(out.done(), layer.begin, layer.end)
 
 
-def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
-    """What a known compressed format holds, and whether it was cut at ``most`` bytes; None for other data."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
-            unfold = zlib.decompressobj(wbits=47)
-            return unfold.decompress(data, most), bool(unfold.unconsumed_tail)
-        if data[:3] == b"BZh":
-            unfold = bz2.BZ2Decompressor()
-            return unfold.decompress(data, most), not unfold.eof and not unfold.needs_input
-        if data[:6] == b"\xfd7zXZ\x00":
-            unfold = lzma.LZMADecompressor()
-            return unfold.decompress(data, most), not unfold.eof and not unfold.needs_input
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                got = reader.read(most)
-                return got, bool(reader.read(1))
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return None
+def _url(m: re.Match) -> bytes:
+    return bytes((int(m[1], 16),))
+
+
+def _unicode(m: re.Match) -> bytes:
+    code = int(m[1] or m[2] or m[3] or m[4], 16)
+    return bytes((code,)) if code < 256 else b"?"
+
 
+def _inflate(data, at: int, most: int | None):
+    """What the compressed streams from ``at`` on hold, back to back; where they end; whether cut at ``most`` bytes.
 
-def _text(data: bytes) -> str | None:
+    The end is None when the last stream breaks off or is damaged: what came before is kept.
+    """
+    out, cut = _Spool(), False
+    while not cut and (m := _PACKED.match(data, at)):
+        kind = m.lastgroup
+        if kind == "zlib" and (data[at] << 8 | data[at + 1]) % 31:
+            break
+        unfold = {"gzip": lambda: zlib.decompressobj(wbits=31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor,
+                  "zstd": lambda: zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()}[kind]()
+        step, pos, chunk = (1 << 10 if kind == "zstd" else 1 << 16), at, b""
+        try:
+            while not unfold.eof and not cut:
+                if not chunk and getattr(unfold, "needs_input", True):
+                    chunk = data[pos:pos + step]
+                    pos += len(chunk)
+                    if not chunk:
+                        break
+                piece = unfold.decompress(chunk) if kind == "zstd" else unfold.decompress(chunk, STEP)
+                chunk = unfold.unconsumed_tail if kind in ("gzip", "zlib") else b""
+                if most is not None and out.size + len(piece) > most:
+                    piece, cut = piece[:most - out.size], True
+                out.write(piece)
+            if kind in ("gzip", "zlib") and not unfold.eof and not cut:
+                out.write(unfold.flush())
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+            return out.done(), None, cut
+        if not unfold.eof:
+            return out.done(), None, cut
+        at = pos - len(unfold.unused_data)
+        break
+        if m := _PADDING.match(data, at):              # zeros may fill up between streams
+            at = m.end() if _PACKED.match(data, m.end()) else at
+    return out.done(), at, cut
+
+
+def _unpacked(data, most: int | None):
+    """``(start, end, content, cut)`` of compressed data anywhere in ``data``."""
+    at = 0 if any(data.find(w) >= 0 for w in _MAGIC) else len(data)
+    while m := _PACKED.search(data, at):
+        content, end, cut = _inflate(data, m.start(), most)
+        if len(content) >= SHORTEST:
+            yield m.start(), end or len(data), content, cut
+        at = m.start() + 1 if end is None else max(end, m.start() + 1)
+
+
+def _wide(data) -> Iterator[re.Match]:
+    """Stretches of two or four bytes a character."""
+    if data.find(b"\0") >= 0:
+        yield from _WIDE.finditer(data)
+
+
+def _decoded(chars: bytes) -> bytes:
+    chars = chars[:-1] if len(chars) % 4 == 1 else chars
+    return binascii.a2b_base64(chars + b"=" * (-len(chars) % 4))
+
+
+def _joined(data, a: int, b: int, skip: int):
+    """The base64 characters in ``[a, b)`` decoded from the ``skip``-th on, line ends left out."""
+    out, rest = _Spool(), b""
+    for at in range(a, b, STEP):
+        rest += data[at:min(at + STEP, b)].translate(_PLAIN, b" \t\r\n=")
+        if skip:
+            rest, skip = rest[skip:], max(0, skip - len(rest))
+        whole = len(rest) // 4 * 4
+        out.write(binascii.a2b_base64(rest[:whole]))
+        rest = rest[whole:]
+    out.write(_decoded(rest))
+    return out.done()
+
+
+def _is_text(data: bytes) -> bool:
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
+        return False
     odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text[:4096])
-    return text if text and odd * 10 <= min(len(text), 4096) else None
+    return bool(text) and odd * 10 <= min(len(text), 4096)
 
 
-def _blobs(layer: Layer, most: int) -> Iterator[tuple[Layer, bool]]:
-    """Texts inside base64 runs, compressed or not; every character maps to the whole run."""
-    for m in _BASE64.finditer(layer.text):
-        run = "".join(m.group().split()).rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        cut = False
-        for _ in range(8):                            # compressed data inside compressed data
-            inner = _inflate(data, most)
-            if inner is None:
+def _good(data: bytes) -> int:
+    """How many of the bytes are UTF-8, a last character that is not whole included."""
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return len(data) if e.reason == "unexpected end of data" else e.start
+    return len(data)
+
+
+def _readings(chars: bytes, starts: list[int]) -> Iterator[tuple[int, int, bytes]]:
+    """Lines, or as many lines in a row as go together, that decode to text: ``(start, end, text)`` in ``chars``."""
+    ends, i = [*starts[1:], len(chars)], 0
+    while i < len(starts):
+        j, more = i, 1
+        while True:                                    # twice as many lines each time, until one is no text
+            last = min(i + more, len(starts)) - 1
+            good = starts[i] + (_good(_decoded(chars[starts[i]:ends[last]])) * 4 + 3) // 3
+            j = bisect_right(ends, good, i, last + 1) - 1
+            if j < last or last == len(starts) - 1:
                 break
-            data, cut = inner[0], cut or inner[1]
-        text = _text(data)
-        if text is not None:
-            a, b = layer.span(m.start(), m.end())
-            yield Layer(text, _Same(a, len(text)), _Same(b, len(text))), cut
-
-
-class _Same:
-    """A list of one repeated value that slices like a list."""
-
-    __slots__ = ("value", "size")
+            more *= 2
+        if j > i and (ends[j] - starts[i]) % 4 == 1:  # no base64 has that length
+            j -= 1
+        if j >= i and ends[j] - starts[i] >= 16 and _is_text(text := _decoded(chars[starts[i]:ends[j]])):
+            yield starts[i], ends[j], text
+        i = max(i, j) + 1
 
-    def __init__(self, value: int, size: int):
-        self.value, self.size = value, size
 
-    def __getitem__(self, at):
-        return [self.value] * len(range(*at.indices(self.size))) if isinstance(at, slice) else self.value
+def _blobs(layer: Layer, most: int | None) -> Iterator[tuple[Layer, bool]]:
+    """What base64 holds, compressed or not; every byte maps to the run, or stretch of the run, that holds it.
 
-
-def scan(text: str, most: int = MOST_BYTES) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], int, int]:
-    """Base spans, all spans, number of decoded layers, number of layers cut at ``most`` bytes."""
+    A run may be glued to its neighbours ('/', '_' and '-' are in the alphabet) and to a word of the next line. Decoded
+    from each of four offsets, every part of it appears whole in one of the results, between bytes without meaning.
+    """
+    for m in _BASE64.finditer(layer.data):
+        if m.end() - m.start() < 16:
+            continue
+        if not layer.mapped:
+            for skip in (0,):
+                got = _joined(layer.data, *m.span(), skip)
+                if _STRETCH.search(got) or next(_wide(got), None) or any(got.find(w) >= 0 for w in _MAGIC):
+                    yield Layer(got, layer.begin, layer.end), False
+            continue
+        run = m.group().rstrip(b"=")
+        place = [m.start() + i for i, c in enumerate(run) if c not in b" \t\r\n"]
+        chars = run.translate(_PLAIN, b" \t\r\n")
+        if len(chars) < 16:
+            continue
+        starts = [0, *(i for i in range(1, len(place)) if place[i] > place[i - 1] + 1)]
+
+        def stretch(a: int, b: int) -> tuple[int, int]:
+            return layer.span(place[a], m.end() if b >= len(chars) else place[b - 1] + 1)
+
+        taken: list[list[tuple[int, int]]] = [[] for _ in range(4)]
+        for a, b, text in _readings(chars, starts):
+            taken[a % 4].append((a, b))
+            yield Layer(text, *stretch(a, b)), False
+        for skip in (0,):
+            got = _decoded(chars[skip:])
+
+            def held(x: int, y: int, skip=skip) -> tuple[int, int]:
+                return skip + x * 4 // 3, min(len(chars), skip - (-y * 4 // 3))
+
+            for x, y, content, cut in _unpacked(got, most):
+                yield Layer(content, *stretch(*held(x, y))), cut
+            for pattern, found in ():
+                for s in found:
+                    a, b = held(*s.span())
+                    k = bisect_right(taken[skip], (a, len(chars) + 1)) - 1
+                    if pattern is _STRETCH and k >= 0 and b <= taken[skip][k][1]:
+                        continue
+                    edge = skip - (skip - a) // 4 * 4         # a few bytes of the neighbour before '/', '_' or '-' are no part of it
+                    if a < edge and edge < b and m.group()[place[edge - 1] - m.start()] in b"/_-" and place[a] > m.start():
+                        a = edge
+                    x = (a - skip) * 3 // 4 if a == edge else s.start()
+                    part = got[x:s.end()]
+                    if k >= 0 and a < taken[skip][k][1] < b <= taken[skip][k][1] + 4:
+                        line = taken[skip][k][1]              # letters of the next line's word that happen to decode are no part of it
+                        if len(base_spans(part.decode("latin-1"))) == len(base_spans(part[:(line - a) * 3 // 4].decode("latin-1"))):
+                            b = line
+                    yield Layer(part.replace(b"\0", b"") if pattern is _WIDE else part, *stretch(a, b)), False
+
+
+def _unwrapped(layer: Layer, most: int | None) -> Iterator[tuple[Layer, bool]]:
+    """The layers one step below."""
+    data = layer.data
+    for mark, pattern, decode in ((b"%", _URL, _url), (b"\\", _UNICODE, _unicode)):
+        if data.find(mark) >= 0 and (got := _rewritten(layer, pattern, decode)):
+            yield got, False
+    yield from _blobs(layer, most)
+    if not layer.mapped:
+        for form in (data, data.replace(b"+", b" ")) if layer.mapped and b"+" in data else (data,):
+            for a, b, content, cut in _unpacked(form, most):
+                yield Layer(content, *layer.span(a, b)), cut
+        for m in _wide(data):
+            yield Layer(m.group().replace(b"\0", b""), *layer.span(*m.span())), False
+
+
+def scan(text: str, most: int | None = 64 << 20) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], int, int]:
+    """Base spans, all spans, number of decoded layers, number of layers cut at ``most`` bytes (None: nothing is cut)."""
     base = base_spans(text)
-    every, work, seen, layers, cuts = set(base), [Layer(text)], set(), 0, 0
-    while work:
-        layer = work.pop()
-        opened = []
-        if "%" in layer.text and (got := _rewritten(layer, _URL, _url)):
-            opened.append(got)
-        if "\\" in layer.text and (got := _rewritten(layer, _UNICODE, _unicode)):
-            opened.append(got)
-        for got, cut in _blobs(layer, most):
-            opened.append(got)
-            cuts += cut
-        for got in opened:
-            ends = (got.span(0, 1)[0], got.span(len(got.text) - 1, len(got.text))[1]) if got.text else (0, 0)
-            mark = (hashlib.blake2b(got.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), ends)
-            if mark in seen:
-                continue
-            seen.add(mark)
-            layers += 1
-            every.update((*got.span(a, b)[:1], kind, got.span(a, b)[1]) for a, kind, b in base_spans(got.text))
-            work.append(got)
+    every, work, seen, layers, cuts = set(base), [_unwrapped(Layer(text.encode("ascii", "replace")), most)], set(), 0, 0
+    while work:                                       # depth first: of each depth one layer is held
+        got, cut = next(work[-1], (None, False))
+        if got is None:
+            work.pop()
+            continue
+        cuts += cut
+        if not len(got.data):
+            continue
+        mark = (hashlib.blake2b(got.data, digest_size=16).digest(), got.span(0, len(got.data)))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        layers += 1
+        every |= got.finds()
+        work.append(_unwrapped(got, most))
     return base, sorted(every, key=lambda s: (s[0], KINDS.index(s[1]), s[2])), layers, cuts
 
 
@@ -214,7 +364,7 @@ def written_spans(spans: list[tuple[int, str, int]]) -> str:
 FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, cut_layers long"
 
 
-def find(docs: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+def find(docs: DataFrame, most: int | None = 64 << 20) -> DataFrame:
     """One row per document: base counts, digest of the base spans, all spans as ``kind:start:end``, layers opened.
 
     Positions count code points, ends are exclusive. A span found in several layers is listed once. Null text is an empty
@@ -236,7 +386,7 @@ def find(docs: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {FOUND}")
 
 
-def masked(text: str, most: int = MOST_BYTES) -> str:
+def masked(text: str, most: int | None = 64 << 20) -> str:
     """The text with every span, overlapping ones joined, replaced by ``[kind]`` of its first kind."""
     every = scan(text, most)[1]
     out, at, i = [], 0, 0
@@ -251,7 +401,7 @@ def masked(text: str, most: int = MOST_BYTES) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+def redact(docs: DataFrame, most: int | None = 64 << 20) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``n_chars`` (if there is one) counted anew; all rows and columns stay.
 
     Null texts stay null and keep their ``n_chars``.

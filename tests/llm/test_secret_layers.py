@@ -1,0 +1,27 @@
+"""Secrets behind glued, wrapped, oddly encoded and compressed layers."""
+
+import base64
+import bz2
+import gzip
+import itertools
+import lzma
+import urllib.parse
+import zlib
+
+import pytest
+import zstandard
+
+from tablewright.llm import secret_scan
+
+SECRET = "token = abcdef12"
+
+
+def b64(data):
+    return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode()
+
+
+@pytest.mark.parametrize("before", ["", "Here\n", "some words\nIT\n"])
+def test_blob_before_a_line_of_words(before):
+    for n in range(44, 60):
+        text = before + b64("q" * n + " " + SECRET).rstrip("=") + "\nThen we go"
+        assert secret_scan.masked(text) == before + "[assign]\nThen we go", text
