@@ -275,7 +275,7 @@ def _blobs(layer: Layer, most: int | None) -> Iterator[tuple[Layer, bool]]:
         if m.end() - m.start() < 16:
             continue
         if not layer.mapped:
-            for skip in (0,):
+            for skip in range(4):
                 got = _joined(layer.data, *m.span(), skip)
                 if _STRETCH.search(got) or next(_wide(got), None) or any(got.find(w) >= 0 for w in _MAGIC):
                     yield Layer(got, layer.begin, layer.end), False
@@ -294,7 +294,7 @@ def _blobs(layer: Layer, most: int | None) -> Iterator[tuple[Layer, bool]]:
         for a, b, text in _readings(chars, starts):
             taken[a % 4].append((a, b))
             yield Layer(text, *stretch(a, b)), False
-        for skip in (0,):
+        for skip in range(4):
             got = _decoded(chars[skip:])
 
             def held(x: int, y: int, skip=skip) -> tuple[int, int]:
@@ -302,7 +302,7 @@ def _blobs(layer: Layer, most: int | None) -> Iterator[tuple[Layer, bool]]:
 
             for x, y, content, cut in _unpacked(got, most):
                 yield Layer(content, *stretch(*held(x, y))), cut
-            for pattern, found in ():
+            for pattern, found in ((_STRETCH, _STRETCH.finditer(got)), (_WIDE, _wide(got))):
                 for s in found:
                     a, b = held(*s.span())
                     k = bisect_right(taken[skip], (a, len(chars) + 1)) - 1

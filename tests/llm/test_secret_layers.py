@@ -25,3 +25,17 @@ def test_blob_before_a_line_of_words(before):
     for n in range(44, 60):
         text = before + b64("q" * n + " " + SECRET).rstrip("=") + "\nThen we go"
         assert secret_scan.masked(text) == before + "[assign]\nThen we go", text
+
+
+@pytest.mark.parametrize("code", ["utf-8", "latin-1", "utf-16", "utf-16-be", "utf-32"])
+def test_any_alignment_width_and_character_set(code):
+    for n, width, glue in itertools.product(range(4), (7, 20, 60, 1000), ("", "https://ex.com/cb/", "key_", "id-", "ab/")):
+        blob = b64(("\xe9" * n + " " + SECRET + " \xe9 end").encode(code))
+        text = glue + "\n".join(blob[i:i + width] for i in range(0, len(blob), width)) + "\nThen"
+        every = secret_scan.scan(text)[1]
+        assert [k for _, k, _ in every] == ["assign"] and not secret_scan.scan(secret_scan.masked(text))[1], text
+
+
+def test_text_behind_many_control_characters():
+    assert secret_scan.masked(b64(b"\0\1" * 5000 + SECRET.encode())).endswith("[assign]")
+    assert secret_scan.masked("https://ex.com/cb/" + b64(SECRET) + " x") == "https://ex.com/cb/[assign] x"
