@@ -187,7 +187,6 @@ def _inflate(data, at: int, most: int | None):
         if not unfold.eof:
             return out.done(), None, cut
         at = pos - len(unfold.unused_data)
-        break
         if m := _PADDING.match(data, at):              # zeros may fill up between streams
             at = m.end() if _PACKED.match(data, m.end()) else at
     return out.done(), at, cut
@@ -326,16 +325,22 @@ def _unwrapped(layer: Layer, most: int | None) -> Iterator[tuple[Layer, bool]]:
     for mark, pattern, decode in ((b"%", _URL, _url), (b"\\", _UNICODE, _unicode)):
         if data.find(mark) >= 0 and (got := _rewritten(layer, pattern, decode)):
             yield got, False
+    if data.find(b"%") >= 0 and data.find(b"+") >= 0:   # in forms '+' is a space; this matters to compressed bytes only
+        form = _Spool()
+        for at in range(0, len(data), STEP):
+            form.write(data[at:min(at + STEP, len(data))].replace(b"+", b" "))
+        if got := _rewritten(Layer(form.done(), layer.begin, layer.end), _URL, _url):
+            for a, b, content, cut in _unpacked(got.data, most):
+                yield Layer(content, *got.span(a, b)), cut
     yield from _blobs(layer, most)
-    if not layer.mapped:
-        for form in (data, data.replace(b"+", b" ")) if layer.mapped and b"+" in data else (data,):
-            for a, b, content, cut in _unpacked(form, most):
-                yield Layer(content, *layer.span(a, b)), cut
+    if layer.begin is not None:                       # bytes, not characters
+        for a, b, content, cut in _unpacked(data, most):
+            yield Layer(content, *layer.span(a, b)), cut
         for m in _wide(data):
             yield Layer(m.group().replace(b"\0", b""), *layer.span(*m.span())), False
 
 
-def scan(text: str, most: int | None = 64 << 20) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], int, int]:
+def scan(text: str, most: int | None = None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]], int, int]:
     """Base spans, all spans, number of decoded layers, number of layers cut at ``most`` bytes (None: nothing is cut)."""
     base = base_spans(text)
     every, work, seen, layers, cuts = set(base), [_unwrapped(Layer(text.encode("ascii", "replace")), most)], set(), 0, 0
@@ -364,7 +369,7 @@ def written_spans(spans: list[tuple[int, str, int]]) -> str:
 FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, cut_layers long"
 
 
-def find(docs: DataFrame, most: int | None = 64 << 20) -> DataFrame:
+def find(docs: DataFrame, most: int | None = None) -> DataFrame:
     """One row per document: base counts, digest of the base spans, all spans as ``kind:start:end``, layers opened.
 
     Positions count code points, ends are exclusive. A span found in several layers is listed once. Null text is an empty
@@ -386,7 +391,7 @@ def find(docs: DataFrame, most: int | None = 64 << 20) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {FOUND}")
 
 
-def masked(text: str, most: int | None = 64 << 20) -> str:
+def masked(text: str, most: int | None = None) -> str:
     """The text with every span, overlapping ones joined, replaced by ``[kind]`` of its first kind."""
     every = scan(text, most)[1]
     out, at, i = [], 0, 0
@@ -401,7 +406,7 @@ def masked(text: str, most: int | None = 64 << 20) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, most: int | None = 64 << 20) -> DataFrame:
+def redact(docs: DataFrame, most: int | None = None) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``n_chars`` (if there is one) counted anew; all rows and columns stay.
 
     Null texts stay null and keep their ``n_chars``.
