@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.queries.base import table
 from tablewright.session import scratch_dir
 
-from . import archives, bpe, html_crf, kd_shards, ngram_join, packing, pq_dedup, quality, rollup, secret_scan
+from . import archives, bpe, hard_negatives, html_crf, kd_shards, ngram_join, packing, pq_dedup, quality, rollup, secret_scan
 
 def vocabulary() -> str:
     """The public byte-level vocabulary of 50,257 tokens; operators take its path as a parameter."""
@@ -107,3 +107,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_main_text")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
+#: The whole score matrix of anchors; the test tables are small enough for it.
+OP11_SQL = """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+score AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS s FROM fine a JOIN fine b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+near AS (SELECT anchor_id, other AS positive_id, s AS positive_score FROM score WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other)::INT AS rank, other AS negative_id, positive_score, s AS negative_score
+FROM near JOIN score USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved))
