@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablewright.queries.base import table
 from tablewright.session import scratch_dir
 
-from . import archives, bpe, hard_negatives, html_crf, kd_shards, ngram_join, packing, pq_dedup, quality, rollup, secret_scan
+from . import archives, ball_tree, bpe, contamination, hard_negatives, html_crf, kd_shards, ngram_join, packing, pq_dedup, quality, rollup, secret_scan
 
 def vocabulary() -> str:
     """The public byte-level vocabulary of 50,257 tokens; operators take its path as a parameter."""
@@ -127,3 +127,40 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors.withColumn("label", moved))
+
+
+OP12_SQL = r"""
+WITH words AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+docs AS (SELECT d, doc_id, len(ws) AS n, ws FROM words WHERE len(ws) > 0),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM docs),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark),
+tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(ws) AS t FROM docs) WHERE t IN (SELECT t FROM items) GROUP BY ALL),
+weight AS (SELECT t, floor(1000 * ln((2 * (SELECT docs FROM total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY t),
+part AS (SELECT d, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * total.docs) // total.terms))) AS s FROM tf JOIN weight USING (t) JOIN docs USING (d) CROSS JOIN total),
+score AS (SELECT item_id, doc_id, sum(s)::BIGINT AS score FROM items JOIN part USING (t) JOIN docs USING (d) GROUP BY item_id, d, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM score WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@query("op12_ranked_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark),
+cut AS (SELECT item_id, ws, least(10, len(ws)) AS size, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS w FROM cut),
+places AS (SELECT d, ws, size, unnest(range(1, greatest(0, len(ws) - size + 1) + 1)) AS p FROM docs, (SELECT DISTINCT size FROM windows)),
+hits AS (SELECT d, p, size, item_id FROM (SELECT d, p, size, array_to_string(ws[p:p + size - 1], ' ') AS w FROM places) JOIN windows USING (size, w)),
+words AS (SELECT d, count(DISTINCT spot) AS n_hit FROM (SELECT d, unnest(range(p, p + size)) AS spot FROM hits) GROUP BY d),
+held AS (SELECT d, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT d, item_id FROM hits) GROUP BY d)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (d) LEFT JOIN held USING (d)
+"""
+
+
+@query("op13_decontamination", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
