@@ -9,6 +9,7 @@ because equal scores go to the smaller id.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from math import ceil
 
 import numpy as np
@@ -20,6 +21,7 @@ from tablewright.session import written
 CELLS = 1 << 20             # components of a block
 BLOCK = (64, 16_384)        # least and most rows of a block, but for what one range of digests holds more
 CHUNK = 512                 # anchors that visit a block together
+DIGITS = 10 ** 38 - 1       # greatest score that is told from greater ones
 STEP = 32                   # first stretch of sorted access; each next one is twice as long
 
 
@@ -31,7 +33,7 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    """Rows padded with zeros to ``dims``: exact doubles while every product stays below 2^53, whole Python numbers beyond."""
+    """Rows padded with zeros to ``dims``."""
     column = column.combine_chunks()
     flat, sizes = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
     out = np.zeros((len(sizes), dims), dtype=np.int64)
@@ -40,6 +42,7 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Doubles while every product of two rows stays below 2^53, whole Python numbers beyond."""
     most = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
     kind = float if most(a) * most(b) * max(a.shape[1], 1) < 1 << 53 else object
     return a.astype(kind), b.astype(kind)
@@ -102,16 +105,16 @@ def _visits(rows: DataFrame, anchors: DataFrame, k: int, same: bool, span) -> Da
             allowed = (labels == label) & (ids != anchor_id) if same else labels != label
             if lists is None or not allowed.any():
                 continue
-            for w, (at, scores) in zip(windows, lists.best(q, allowed, [span(w["given"]) for w in windows], k)):
+            for w, (at, scores) in zip(windows, lists.best(q, allowed, [span(int(w["given"])) for w in windows], k)):
                 for c, v in (("a", a), ("anchor_id", anchor_id), ("w", w["w"]), ("given", w["given"])):
                     out[c] += [v] * len(at)
                 out["other"] += ids[at].tolist()
-                out["score"] += [max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+                out["score"] += [Decimal(max(-DIGITS, min(DIGITS, int(s)))) for s in scores]
+        return pa.table({c: pa.array(v, pa.decimal128(38, 0) if c in ("given", "score") else pa.int64()) for c, v in out.items()})
 
     keys = ["block", "chunk"]
     rows, anchors = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (rows, anchors))     # both may come from one table
-    return rows.groupBy(*keys).cogroup(anchors.groupBy(*keys)).applyInArrow(meet, "a long, anchor_id long, w long, given long, other long, score long")
+    return rows.groupBy(*keys).cogroup(anchors.groupBy(*keys)).applyInArrow(meet, "a long, anchor_id long, w long, given decimal(38,0), other long, score decimal(38,0)")
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -130,8 +133,9 @@ def mine(vectors: DataFrame, anchor: Column | None = None, positives: int = 5, n
 
     Rows without id, label or vector, or with a null or non-finite component, take no part. Shorter vectors count as
     padded with zeros, an empty one as zeros. Repeated rows are candidates each on their own, so an id can appear twice
-    in a ranking; anchors that are wholly equal are one, and an id with two vectors or labels is two anchors. Scores
-    beyond 64 bits are compared exactly and returned as the nearest 64-bit number. An anchor without positives, or without
+    in a ranking; anchors that are wholly equal are one, and an id with two vectors or labels is two anchors. Whole
+    numbers beyond 64 bits become the nearest one inside; scores are compared exactly up to 38 digits and returned as the
+    nearest 64-bit number. An anchor without positives, or without
     rows inside its windows, gives no rows. Further columns are ignored; an empty table gives an empty result.
 
     Blocks are ranges of (label, digest), so positives are sought only in blocks that hold the label, and a label of any
@@ -149,7 +153,7 @@ def mine(vectors: DataFrame, anchor: Column | None = None, positives: int = 5, n
     anchors = anchors.withColumn("chunk", F.pmod(F.xxhash64("a"), F.lit(chunks)))
 
     zero = F.lit(0).cast("long")
-    at_home = anchors.join(rows.select("block", "label").distinct(), "label").withColumn("windows", F.array(F.struct(zero.alias("w"), zero.alias("given"))))
+    at_home = anchors.join(rows.select("block", "label").distinct(), "label").withColumn("windows", F.array(F.struct(zero.alias("w"), zero.cast("decimal(38,0)").alias("given"))))
     near = _visits(rows.join(at_home.select("block", "chunk").distinct(), "block"), at_home, positives, True, lambda given: (-float("inf"), float("inf")))
     near = written(_first(near, positives).withColumnRenamed("other", "positive_id").where("score >= 0"))      # no score lies between 0.3 and 0.9 of a negative one
 
@@ -158,4 +162,5 @@ def mine(vectors: DataFrame, anchor: Column | None = None, positives: int = 5, n
     dealt = rows.withColumn("chunk", F.explode(F.sequence(zero, F.lit(chunks - 1).cast("long"))))
     far = _first(_visits(dealt, abroad, negatives, False, lambda given: (-(-low * given // 100), high * given // 100)), negatives)
     named = near.select("a", F.col("rank").cast("long").alias("w"), "positive_id")
-    return far.join(named, ["a", "w"]).select("anchor_id", "positive_id", "rank", F.col("other").alias("negative_id"), F.col("given").alias("positive_score"), F.col("score").alias("negative_score"))
+    long = lambda c: F.greatest(F.lit(-(1 << 63)), F.least(F.lit((1 << 63) - 1), c)).cast("long")
+    return far.join(named, ["a", "w"]).select("anchor_id", "positive_id", "rank", F.col("other").alias("negative_id"), long("given").alias("positive_score"), long("score").alias("negative_score"))
