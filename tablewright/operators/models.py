@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,18 +11,22 @@ import pandas as pd
 from pyspark.ml import classification as mc, regression as mr
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.columns import at, missing, number, numeric_columns
 from ..functions.draws import uniform
+from ..plans.partials import matrix, totals
 from ..plans.positions import shuffled_positions
 from ..session import written
 from .neighbours import knn_join
 from .prep import encode_ordinal, impute_mean, sorted_values
 from .profile import literal_rows
 from .select import inf_to_null
+from .trees import boost_classes, boost_numbers, random_cuts, scored
 
 SEED = 42
+SIDE_BY_SIDE = 8           # models whose jobs are in Spark's hands at a time
 
 
 def clean_features(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
@@ -55,6 +60,30 @@ class Fitted:
     predict: Callable[[DataFrame], DataFrame]
 
 
+@dataclass
+class Learner:
+    """``fit(train, classes)`` gives one model; ``together(data, classes, held)`` one for each fold left out of ``data``, in shared passes."""
+    fit: Callable
+    together: Callable | None = None
+
+    def __call__(self, train: DataFrame, classes: list | None) -> Fitted:
+        return self.fit(train, classes)
+
+
+def _shared(together: Callable) -> Learner:
+    return Learner(lambda train, classes: together(train.withColumn("fold", F.lit(0)), classes, [-1])[0], together)
+
+
+def with_x(df: DataFrame) -> DataFrame:
+    """The features also as an array."""
+    return df if "x" in df.columns else df.withColumn("x", vector_to_array("features"))
+
+
+def _width(data: DataFrame) -> int:
+    row = data.select("features").first()
+    return 0 if row is None else len(row[0])
+
+
 def _spark(estimator) -> Callable:
     def fit(train, classes):
         model = estimator.fit(train)
@@ -68,74 +97,38 @@ def _one_vs_rest(estimator, classes):
 
 # ---- learners without a Spark class -------------------------------------------------
 
-def fit_adaboost(train: DataFrame, classes: list, rounds: int = 100, rate: float = 0.1) -> Fitted:
-    """SAMME: stumps on reweighted rows; weights are one column, written out every ten rounds to keep plans short."""
-    k, state = len(classes), train.withColumn("weight", F.lit(1.0))
-    stumps = []
-    for i in range(rounds):
-        stump = mc.DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=SEED + i, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_p").fit(state)
-        seen = stump.transform(state).drop("_raw", "_prob")
-        wrong = F.col("_p") != F.col("label")
-        row = seen.agg((F.sum(F.when(wrong, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("e"), F.avg("weight").alias("w")).first()
-        error = row["e"]
-        if error <= 0:
-            stumps.append((stump, 1.0))
-            break
-        if error >= 1 - 1 / k:
-            break
-        alpha = rate * (float(np.log((1 - error) / error)) + float(np.log(k - 1)))
-        stumps.append((stump, alpha))
-        state = seen.withColumn("weight", F.col("weight") * F.when(wrong, F.lit(float(np.exp(alpha)))).otherwise(1.0) / F.lit(row["w"])).drop("_p")
-        if i % 10 == 9:
-            state = written(state)
+def adaboost(rounds: int = 100, rate: float = 0.1) -> Learner:
+    """SAMME on stumps, a pass over the rows per round for all folds."""
+    def together(data, classes, held):
+        found = boost_classes(with_x(data).select("fold", "label", "x"), held, _width(data), max(len(classes), 1), rounds, rate)
+        return [Fitted(lambda df, m=m: found.predict(with_x(df), m)) for m in range(len(held))]
+    return _shared(together)
 
-    def predict(df: DataFrame) -> DataFrame:
-        out, votes = df, []
-        for i, (stump, alpha) in enumerate(stumps):
-            out = stump.copy().setPredictionCol(f"_p{i}").setRawPredictionCol("").setProbabilityCol("").transform(out)
-            votes.append(alpha)
-        score = [sum((F.when(F.col(f"_p{i}") == c, F.lit(a)).otherwise(0.0) for i, a in enumerate(votes)), F.lit(0.0)) for c in range(k)]
-        best = F.array_position(F.array(*score), F.array_max(F.array(*score))) - 1
-        return out.select("id", "label", best.cast("double").alias("prediction"))
-    return Fitted(predict)
 
+def adaboost_r2(rounds: int = 100, rate: float = 1.0) -> Learner:
+    """AdaBoost.R2 on trees of depth 3, prediction by weighted median."""
+    def together(data, classes, held):
+        found = boost_numbers(with_x(data).select("fold", "label", "x"), held, _width(data), rounds, rate)
+        return [Fitted(lambda df, m=m: found.predict(with_x(df), m)) for m in range(len(held))]
+    return _shared(together)
 
-def fit_adaboost_r2(train: DataFrame, classes=None, rounds: int = 100) -> Fitted:
-    """AdaBoost.R2 with linear loss: trees of depth 3, prediction by weighted median."""
-    state, trees = train.withColumn("weight", F.lit(1.0)), []
-    for i in range(rounds):
-        tree = mr.DecisionTreeRegressor(maxDepth=3, weightCol="weight", seed=SEED + i, predictionCol="_p").fit(state)
-        seen = tree.transform(state).withColumn("_d", F.abs(F.col("_p") - F.col("label")))
-        top = seen.agg(F.max("_d").alias("m")).first()["m"]
-        if not top:
-            trees.append((tree, 1.0))
-            break
-        loss = F.col("_d") / F.lit(top)
-        row = seen.agg((F.sum(F.col("weight") * loss) / F.sum("weight")).alias("e"), F.avg("weight").alias("w")).first()
-        if row["e"] >= 0.5:
-            if not trees:
-                trees.append((tree, 1.0))
-            break
-        beta = row["e"] / (1 - row["e"])
-        trees.append((tree, float(np.log(1 / beta))))
-        state = seen.withColumn("weight", F.col("weight") * F.pow(F.lit(beta), 1 - loss) / F.lit(row["w"])).drop("_p", "_d")
-        if i % 10 == 9:
-            state = written(state)
 
-    def predict(df: DataFrame) -> DataFrame:
-        out = df
-        for i, (tree, _) in enumerate(trees):
-            out = tree.copy().setPredictionCol(f"_p{i}").transform(out)
-        pairs = F.array_sort(F.array(*[F.struct(F.col(f"_p{i}").alias("p"), F.lit(a).alias("w")) for i, (_, a) in enumerate(trees)]))
-        half = sum(a for _, a in trees) / 2
-        start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("p"))
-        step = lambda acc, x: F.struct((acc["w"] + x["w"]).alias("w"), F.when(acc["p"].isNull() & (acc["w"] + x["w"] >= half), x["p"]).otherwise(acc["p"]).alias("p"))
-        return out.select("id", "label", F.aggregate(pairs, start, step)["p"].alias("prediction"))
-    return Fitted(predict)
+def extra_trees(trees: int, depth: int) -> Learner:
+    """Random cuts in the square root of the columns (classes) or in all of them (numbers)."""
+    def together(data, classes, held):
+        width, rows = _width(data), written(with_x(data).select("fold", "label", "x"))
+        tried = max(1, int(width ** 0.5)) if classes else width
+        found = random_cuts(rows, held, width, len(classes or []), trees, depth, tried, SEED)
+        return [Fitted(lambda df, f=f: found.predict(with_x(df), f)) for f in held]
+    return _shared(together)
+
+
+def with_x_of(column: str):
+    return vector_to_array(column).alias("x")
 
 
 def _points(df: DataFrame) -> DataFrame:
-    return df.select("id", vector_to_array("features").alias("x"))
+    return df.select("id", with_x_of("features"))
 
 
 def fit_knn(train: DataFrame, classes: list | None, k: int = 5) -> Fitted:
@@ -147,8 +140,10 @@ def fit_knn(train: DataFrame, classes: list | None, k: int = 5) -> Fitted:
     return Fitted(predict)
 
 
-def fourier(df: DataFrame, gamma: float, size: int, seed: int = SEED) -> DataFrame:
-    """Random Fourier features of the RBF kernel (Rahimi and Recht, 2007) in place of the features."""
+def fourier(df: DataFrame, gamma: float, size: int, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+    """Random Fourier features of the RBF kernel (Rahimi and Recht, 2007) in place of the features; ``keep`` names further columns."""
+    kept = ["id", "label", *(keep or [])]
+
     def turn(batches):
         for b in batches:
             x = np.array(b["x"].tolist(), dtype=float)
@@ -157,10 +152,10 @@ def fourier(df: DataFrame, gamma: float, size: int, seed: int = SEED) -> DataFra
             rng = np.random.default_rng(seed)
             w = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], size))
             shift = rng.uniform(0, 2 * np.pi, size)
-            yield pd.DataFrame({"id": b["id"], "label": b["label"], "x": list(np.sqrt(2 / size) * np.cos(x @ w + shift))})
-    kind = df.schema["id"].dataType.simpleString()
-    out = df.select("id", "label", vector_to_array("features").alias("x")).mapInPandas(turn, f"id {kind}, label double, x array<double>")
-    return out.select("id", "label", array_to_vector("x").alias("features"))
+            yield pd.DataFrame({**{c: b[c] for c in kept}, "x": list(np.sqrt(2 / size) * np.cos(x @ w + shift))})
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept)
+    out = df.select(*kept, with_x_of("features")).mapInPandas(turn, f"{kinds}, x array<double>")
+    return out.select(*kept, array_to_vector("x").alias("features"))
 
 
 def _gamma(train: DataFrame) -> float:
@@ -178,51 +173,72 @@ def _on_fourier(estimator, size: int) -> Callable:
     return fit
 
 
-def class_moments(train: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Per class: rows, mean, scatter about the mean. Tasks send one matrix per class; cells are summed by Spark."""
-    def partial(batches):
-        total = {}
-        for b in batches:
-            x, y = np.array(b["x"].tolist(), dtype=float), b["label"].to_numpy()
-            for c in np.unique(y):
-                z = x[y == c]
-                z1 = np.hstack([np.ones((len(z), 1)), z])
-                total[c] = total.get(c, 0) + z1.T @ z1
-        rows = [(float(c), int(i), float(v)) for c, m in total.items() for i, v in enumerate(m.ravel())]
-        yield pd.DataFrame(rows, columns=["label", "cell", "v"])
-    sums = (train.select("label", vector_to_array("features").alias("x")).mapInPandas(partial, "label double, cell int, v double")
-            .groupBy("label", "cell").agg(F.sum("v").alias("v")).orderBy("label", "cell").collect())   # classes × (columns + 1)²
+# ---- closed forms from additive fold statistics --------------------------------------
+
+@dataclass
+class FoldSums:
+    """Per fold and class the count, sums and products of the centred row (1, x) or (1, x, label); they add up over folds."""
+    centre: np.ndarray
+    cells: np.ndarray               # folds x classes x width x width
+
+    def without(self, fold: int) -> np.ndarray:
+        """Classes x width x width of all rows but the fold's."""
+        whole = self.cells.sum(axis=0)
+        return whole - self.cells[fold] if 0 <= fold < len(self.cells) else whole
+
+
+def fold_sums(data: DataFrame, classes: int, label: bool = False) -> FoldSums:
+    """Two passes: the mean, and the products about it. With ``label`` it is one more column; else rows are summed by class."""
+    kinds, width = max(classes, 1), _width(data) + (1 if label else 0)
+    rows = with_x(data).select("fold", "label", "x")
+
+    def values(batch):
+        x = matrix(batch.column("x"))
+        return np.hstack([x, batch.column("label").to_numpy()[:, None]]) if label else x
+
+    *first, last = totals(rows, lambda b: np.concatenate([[b.num_rows], values(b).sum(axis=0), [b.column("fold").to_numpy().max()]]), width + 1, 1)
+    centre, folds = np.array(first[1:]) / max(first[0], 1), int(max(last, 0)) + 1
+
+    def products(batch):
+        z = np.hstack([np.ones((batch.num_rows, 1)), values(batch) - centre])
+        group = batch.column("fold").to_numpy() * kinds + (batch.column("label").to_numpy().astype(np.int64) if classes else 0)
+        out = np.zeros((folds * kinds, width + 1, width + 1))
+        for g in np.unique(group):
+            part = z[group == g]
+            out[g] = part.T @ part
+        return out
+
+    return FoldSums(centre, totals(rows, products, folds * kinds * (width + 1) ** 2).reshape(folds, kinds, width + 1, width + 1))
+
+
+def _moments(sums: FoldSums, fold: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Per class with rows: their number, mean, scatter about the mean."""
     out = {}
-    for c in sorted({r["label"] for r in sums}):
-        flat = np.array([r["v"] for r in sums if r["label"] == c])
-        m = flat.reshape(int(len(flat) ** 0.5), -1)
-        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-        out[int(c)] = (n, mean, m[1:, 1:] - n * np.outer(mean, mean))
+    for c, m in enumerate(sums.without(fold)):
+        n = m[0, 0]
+        if n > 0.5:
+            mean = m[0, 1:] / n
+            out[c] = (n, mean + sums.centre, m[1:, 1:] - n * np.outer(mean, mean))
     return out
 
 
-def _discriminant(scores: Callable) -> Callable:
-    """Closed-form score per class on rows; ``scores(moments)`` gives [(constant, linear, quadratic)]."""
-    def fit(train, classes):
-        parts = scores(class_moments(train))
-        def predict(df):
-            def run(batches):
-                for b in batches:
-                    x = np.array(b["x"].tolist(), dtype=float)
-                    if not len(b):
-                        continue
-                    s = np.stack([c + x @ lin + (0 if quad is None else np.einsum("ij,jk,ik->i", x, quad, x)) for _, c, lin, quad in parts], axis=1)
-                    yield pd.DataFrame({"id": b["id"], "label": b["label"], "prediction": np.array([float(p[0]) for p in parts])[s.argmax(axis=1)]})
-            kind = df.schema["id"].dataType.simpleString()
-            return df.select("id", "label", vector_to_array("features").alias("x")).mapInPandas(run, f"id {kind}, label double, prediction double")
-        return Fitted(predict)
-    return fit
+def _by_class(parts: Callable) -> Learner:
+    """Scores per class in closed form: ``parts(moments)`` gives (class, score of a matrix of rows)."""
+    def together(data, classes, held):
+        sums = fold_sums(data, len(classes))
+
+        def model(fold):
+            found = parts(_moments(sums, fold))
+            names = np.array([float(c) for c, _ in found])
+            return Fitted(lambda df: scored(with_x(df), lambda x: names[np.stack([f(x) for _, f in found], axis=1).argmax(axis=1)]))
+        return [model(f) for f in held]
+    return _shared(together)
 
 
 def _lda(moments):
     n = sum(m[0] for m in moments.values())
     inverse = np.linalg.pinv(sum(m[2] for m in moments.values()) / n)
-    return [(c, float(np.log(k / n) - 0.5 * mean @ inverse @ mean), inverse @ mean, None) for c, (k, mean, _) in moments.items()]
+    return [(c, lambda x, b=float(np.log(k / n) - 0.5 * mean @ inverse @ mean), w=inverse @ mean: b + x @ w) for c, (k, mean, _) in moments.items()]
 
 
 def _qda(moments):
@@ -231,45 +247,132 @@ def _qda(moments):
         cov = scatter / max(k - 1, 1)
         values = np.linalg.eigvalsh(cov)
         inverse = np.linalg.pinv(cov)
-        spread = float(np.log(values[values > 1e-12]).sum())
-        out.append((c, float(np.log(k / n) - 0.5 * spread - 0.5 * mean @ inverse @ mean), inverse @ mean, -0.5 * inverse))
+        base = float(np.log(k / n) - 0.5 * np.log(values[values > 1e-12]).sum())
+        out.append((c, lambda x, b=base, mean=mean, inverse=inverse: b - 0.5 * np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)))
     return out
 
 
+def _naive_bayes(smoothing: float) -> Callable:
+    """Normal densities per column; ``smoothing`` times the largest variance of a column is added to each."""
+    def parts(moments):
+        n = sum(m[0] for m in moments.values())
+        mean = sum(m[0] * m[1] for m in moments.values()) / n
+        spread = sum(m[2].diagonal() + m[0] * (m[1] - mean) ** 2 for m in moments.values()) / n
+        more, out = smoothing * max(spread.max(initial=0.0), 1e-300), []
+        for c, (k, middle, scatter) in moments.items():
+            variance = scatter.diagonal() / k + more
+            base = float(np.log(k / n) - 0.5 * np.log(2 * np.pi * variance).sum())
+            out.append((c, lambda x, b=base, middle=middle, variance=variance: b - 0.5 * ((x - middle) ** 2 / variance).sum(axis=1)))
+        return out
+    return parts
+
+
+def linear(alpha: float = 0.0, mix: float = 0.0, per_row: bool = False, rounds: int = 1000) -> Learner:
+    """Least squares with ``alpha`` times (``mix`` of the absolute, the rest of half the squared) coefficients, per row or in all.
+
+    All folds come from one set of products; the absolute part by coordinate descent on them."""
+    def solve(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        n = max(m[0, 0], 1.0)
+        mean = m[0, 1:] / n
+        s = m[1:, 1:] - n * np.outer(mean, mean)
+        a, b = s[:-1, :-1], s[:-1, -1]
+        strength = alpha if per_row else alpha * n
+        if not mix:
+            return np.linalg.pinv(a + strength * np.eye(len(b)), hermitian=True) @ b, mean[:-1], mean[-1]
+        w = np.zeros(len(b))
+        for _ in range(rounds):
+            before = w.copy()
+            for j in np.flatnonzero(a.diagonal() > 0):
+                rest = b[j] - a[j] @ w + a[j, j] * w[j]
+                w[j] = np.sign(rest) * max(0.0, abs(rest) - strength * mix) / (a[j, j] + strength * (1 - mix))
+            if np.abs(w - before).max(initial=0.0) <= 1e-10 * max(1.0, np.abs(w).max(initial=0.0)):
+                break
+        return w, mean[:-1], mean[-1]
+
+    def together(data, classes, held):
+        sums = fold_sums(data, 0, label=True)
+
+        def model(fold):
+            w, x0, y0 = solve(sums.without(fold)[0])
+            shift = sums.centre[:-1] + x0
+            return Fitted(lambda df: scored(with_x(df), lambda x: (x - shift) @ w + (sums.centre[-1] + y0)))
+        return [model(f) for f in held]
+    return _shared(together)
+
+
+def support_vectors(size: int, cost: float = 1.0, margin: float = 0.1, rounds: int = 60) -> Learner:
+    """Half the squared coefficients plus ``cost`` times what residuals exceed ``margin`` by, over random Fourier features.
+
+    Each round replaces the loss by a parabola that lies above it and touches it at the present residuals, and solves the
+    least squares that gives, so that the objective never rises; a pass over the rows per round serves all folds."""
+    def together(data, classes, held):
+        gamma = _gamma(with_x(data))
+        rows = written(fourier(data, gamma, size, keep=["fold"]).select("fold", "label", with_x_of("features")))
+        wide = size + 1
+        w = np.zeros((len(held), wide))
+        weights = np.concatenate([[0.0], np.ones(size)])                    # the constant is free
+        spread = rows.agg(F.stddev_pop("label")).first()[0] or 1.0
+        last = np.full(len(held), np.inf)
+        for _ in range(rounds):
+            def sums(batch, w=w.copy()):
+                z = np.hstack([np.ones((batch.num_rows, 1)), matrix(batch.column("x"))])
+                y, fold = batch.column("label").to_numpy(), batch.column("fold").to_numpy()
+                out = np.zeros((len(held), wide * wide + wide + 1))
+                for m, left_out in enumerate(held):
+                    own = fold != left_out
+                    p, r = z[own], y[own] - z[own] @ w[m]
+                    over, under = r - margin, -r - margin
+                    a, b = (1 / (4 * np.maximum(np.abs(v), 1e-6 * spread)) for v in (over, under))
+                    # parabolas (r - margin + |over|)^2 a + (-r - margin + |under|)^2 b; their least squares target per row
+                    target = a * (y[own] - margin + np.abs(over)) + b * (y[own] + margin - np.abs(under))
+                    out[m, :wide * wide] = ((p * (a + b)[:, None]).T @ p).ravel()
+                    out[m, wide * wide:-1] = p.T @ target
+                    out[m, -1] = np.maximum(0, over).sum() + np.maximum(0, under).sum()
+                return out
+            found = totals(rows, sums, len(held) * (wide * wide + wide + 1)).reshape(len(held), -1)
+            now = 0.5 * (w ** 2 * weights).sum(axis=1) + cost * found[:, -1]
+            if (now >= last * (1 - 1e-5)).all():
+                break
+            last = now
+            for m, f in enumerate(found):
+                a = 2 * cost * f[:wide * wide].reshape(wide, wide) + np.diag(weights)
+                w[m] = np.linalg.lstsq(a, 2 * cost * f[wide * wide:-1], rcond=None)[0]
+        return [Fitted(lambda df, v=v: scored(fourier(df, gamma, size).select("id", "label", with_x_of("features")), lambda x: v[0] + x @ v[1:])) for v in w]
+    return _shared(together)
+
+
 # ---- registries ---------------------------------------------------------------------
 
-def classifiers(trees: int = 100, rounds: int = 100, depth: int = 10, neighbours: int = 5, hidden: int = 100, fourier_size: int = 200) -> dict[str, Callable]:
-    """Name to ``fit(train, classes)``."""
+def classifiers(trees: int = 100, rounds: int = 100, depth: int = 10, neighbours: int = 5, hidden: int = 100, fourier_size: int = 200,
+                learning_rate: float = 0.1, var_smoothing: float = 1e-9) -> dict[str, Callable]:
+    """Name to ``fit(train, classes)``; a ``Learner`` fits all folds in shared passes."""
     return {
         "randomforest": _spark(mc.RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED)),
-        "adaboost": lambda t, c: fit_adaboost(t, c, rounds),
-        "gradientboost": lambda t, c: _spark(_one_vs_rest(mc.GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.1, seed=SEED), c))(t, c),
+        "adaboost": adaboost(rounds, learning_rate),
+        "gradientboost": lambda t, c: _spark(_one_vs_rest(mc.GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=learning_rate, seed=SEED), c))(t, c),
         "KNeighbors": lambda t, c: fit_knn(t, c, neighbours),
-        "GaussianNB": _spark(mc.NaiveBayes(modelType="gaussian")),
+        "GaussianNB": _by_class(_naive_bayes(var_smoothing)),
         "svm": _on_fourier(mc.LinearSVC(regParam=0.01, maxIter=50), fourier_size),
         "logistic_regression": lambda t, c: _spark(mc.LogisticRegression(regParam=1.0 / max(t.count(), 1), standardization=False, maxIter=100))(t, c),
         "decision_tree": _spark(mc.DecisionTreeClassifier(maxDepth=depth, seed=SEED)),
-        "extra_trees": _spark(mc.RandomForestClassifier(numTrees=trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="sqrt", maxBins=8, seed=SEED)),
-        "mlp": lambda t, c: _spark(mc.MultilayerPerceptronClassifier(layers=[len(t.select("features").first()[0]), hidden, max(len(c), 2)], maxIter=100, seed=SEED))(t, c),
-        "lda": _discriminant(_lda), "qda": _discriminant(_qda),
+        "extra_trees": extra_trees(trees, depth),
+        "mlp": lambda t, c: _spark(mc.MultilayerPerceptronClassifier(layers=[_width(t), hidden, max(len(c), 2)], maxIter=100, seed=SEED))(t, c),
+        "lda": _by_class(_lda), "qda": _by_class(_qda),
     }
 
 
-def regressors(trees: int = 100, rounds: int = 100, neighbours: int = 5, fourier_size: int = 200) -> dict[str, Callable]:
-    def linear(alpha=0.0, mix=0.0, per_row=False):
-        def fit(t, c):
-            reg = alpha / max(t.count(), 1) if per_row else alpha
-            return _spark(mr.LinearRegression(regParam=reg, elasticNetParam=mix, standardization=False))(t, c)
-        return fit
+def regressors(trees: int = 100, rounds: int = 100, neighbours: int = 5, fourier_size: int = 200, depth: int = 10, learning_rate: float | None = None) -> dict[str, Callable]:
+    """As ``classifiers``. ``learning_rate`` is 1 for AdaBoost and 0.1 for gradient boosting unless given."""
+    step = 0.1 if learning_rate is None else learning_rate
     return {
-        "randomforest": _spark(mr.RandomForestRegressor(numTrees=trees, maxDepth=10, seed=SEED)),
-        "gradientboost": _spark(mr.GBTRegressor(maxIter=rounds, maxDepth=6, stepSize=0.1, seed=SEED)),
-        "adaboost": lambda t, c: fit_adaboost_r2(t, c, rounds),
+        "randomforest": _spark(mr.RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED)),
+        "gradientboost": _spark(mr.GBTRegressor(maxIter=rounds, maxDepth=6, stepSize=step, seed=SEED)),
+        "adaboost": adaboost_r2(rounds, 1.0 if learning_rate is None else learning_rate),
         "decision_tree": _spark(mr.DecisionTreeRegressor(maxDepth=30, seed=SEED)),
         "KNeighbors": lambda t, c: fit_knn(t, None, neighbours),
-        "svr": _on_fourier(mr.LinearRegression(loss="huber", regParam=0.01, maxIter=50), fourier_size),
+        "svr": support_vectors(fourier_size),
         "linear": linear(), "ridge": linear(1.0, 0.0, True), "lasso": linear(1.0, 1.0), "elastic_net": linear(1.0, 0.5),
-        "extra_trees": _spark(mr.RandomForestRegressor(numTrees=trees, maxDepth=10, bootstrap=False, maxBins=8, seed=SEED)),
+        "extra_trees": extra_trees(trees, depth),
     }
 
 
@@ -303,22 +406,46 @@ def number_scores(predicted: DataFrame) -> dict[str, float]:
     return {"neg_mean_squared_error": -row["mse"], "neg_mean_absolute_error": -row["mae"]}
 
 
+def side_by_side(jobs: list[Callable], most: int = SIDE_BY_SIDE) -> list:
+    """Results of the jobs in order; at most so many hand Spark their work at a time. The first failure is raised."""
+    with ThreadPoolExecutor(max_workers=most) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(SparkSession.active())(job)) for job in jobs]]
+
+
+def _held_out(data: DataFrame, classes: list | None, fit: Callable, k: int) -> list[Callable]:
+    """Jobs that each return [(fold, model)]; folds that share their passes are one job."""
+    train = lambda f: data.where(F.col("fold") != f).drop("fold")
+    if isinstance(fit, Learner) and fit.together:
+        return [lambda: list(enumerate(fit.together(data, classes, list(range(k)))))]
+    return [lambda f=f: [(f, fit(train(f), classes))] for f in range(k)]
+
+
+def _scored(data: DataFrame, job: Callable, score: Callable) -> list[dict[str, float]]:
+    return [score(model.predict(data.where(F.col("fold") == f).drop("fold"))) for f, model in job()]
+
+
 def cross_validate(data: DataFrame, classes: list, fit: Callable, k: int, score: Callable) -> dict[str, float]:
     """Mean of every metric over the folds; each model is fitted once per fold for all metrics."""
-    totals: dict[str, float] = {}
-    for f in range(k):
-        model = fit(data.where(F.col("fold") != f).drop("fold"), classes)
-        for name, value in score(model.predict(data.where(F.col("fold") == f).drop("fold"))).items():
-            totals[name] = totals.get(name, 0.0) + value / k
-    return totals
+    return _cross_validated(data, classes, {"": fit}, k, score)[""]
+
+
+def _cross_validated(data: DataFrame, classes: list | None, models: dict[str, Callable], k: int, score: Callable) -> dict[str, dict[str, float]]:
+    """Every model's mean metrics; models and folds side by side, the long ones first in line."""
+    jobs = [(name, job) for name, fit in models.items() for job in _held_out(data, classes, fit, k)]
+    jobs.sort(key=lambda j: j[0] != "gradientboost")
+    found = side_by_side([lambda job=job: _scored(data, job, score) for _, job in jobs])
+    out: dict[str, dict[str, float]] = {name: {} for name in models}
+    for (name, _), scores in zip(jobs, found):
+        for one in scores:
+            for metric, value in one.items():
+                out[name][metric] = out[name].get(metric, 0.0) + value / k
+    return out
 
 
 def _compare(data, classes, models, k, score, worst) -> DataFrame:
-    rows = []
-    for name, fit in models.items():
-        # fewer than two classes: no classifier can be fitted and all take the worst score; any other failure is an error
-        found = dict(worst) if classes is not None and len(classes) == 1 else cross_validate(data, classes, fit, k, score)
-        rows += [{"model": name, "metric": m, "score": float(v)} for m, v in found.items()]
+    # fewer than two classes: no classifier can be fitted and all take the worst score; any other failure is an error
+    found = {name: dict(worst) for name in models} if classes is not None and len(classes) == 1 else _cross_validated(data, classes, models, k, score)
+    rows = [{"model": name, "metric": m, "score": float(v)} for name, scores in found.items() for m, v in scores.items()]
     long = literal_rows(data.sparkSession, rows, "model string, metric string, score double")
     best = Window.partitionBy("metric").orderBy(F.desc("score"), "model")      # one row per model and metric
     return long.withColumn("best", F.row_number().over(best) == 1)
@@ -327,14 +454,14 @@ def _compare(data, classes, models, k, score, worst) -> DataFrame:
 def compare_classifiers(df: DataFrame, target: str, key: str, names: list[str] | None = None, k: int = 3, **parameters) -> DataFrame:
     """(model, metric, score, best) by stratified cross validation."""
     data, classes = dataset(df, target, key)
-    data = written(folds(data, ["id"], k, "label"))
+    data = written(with_x(folds(data, ["id"], k, "label")))
     models = {n: f for n, f in classifiers(**parameters).items() if names is None or n in names}
     return _compare(data, classes, models, k, class_scores, dict.fromkeys(CLASS_METRICS, 0.0))
 
 
 def compare_regressors(df: DataFrame, target: str, key: str, names: list[str] | None = None, k: int = 3, **parameters) -> DataFrame:
     data, _ = dataset(df, target, key, classify=False)
-    data = written(folds(data, ["id"], k))
+    data = written(with_x(folds(data, ["id"], k)))
     models = {n: f for n, f in regressors(**parameters).items() if names is None or n in names}
     worst = dict.fromkeys(["neg_mean_squared_error", "neg_mean_absolute_error"], float("-inf"))
     return _compare(data, [], models, k, number_scores, worst)
@@ -359,15 +486,18 @@ def split_evaluate(df: DataFrame, target: str, key: str, name: str, shares: tupl
     return literal_rows(df.sparkSession, rows, "part string, metric string, score double")
 
 
-def tune_random(df: DataFrame, target: str, key: str, name: str, ranges: dict[str, list], trials: int = 10, k: int = 5, seed: int = SEED) -> DataFrame:
-    """``trials`` random settings out of ``ranges`` (lists of values) with their mean accuracy; best marked."""
-    data, classes = dataset(df, target, key)
-    data = written(folds(data, ["id"], k, "label"))
-    rng, rows = np.random.default_rng(seed), []
-    for i in range(trials):
-        chosen = {p: v[int(rng.integers(len(v)))] for p, v in ranges.items()}
-        found = cross_validate(data, classes, classifiers(**chosen)[name], k, class_scores)
-        rows.append({"number": i, "value": found["accuracy"], "params": {p: str(v) for p, v in chosen.items()}})
+def tune_random(df: DataFrame, target: str, key: str, name: str, ranges: dict[str, list], trials: int = 10, k: int = 5, seed: int = SEED,
+                classify: bool = True, metric: str | None = None) -> DataFrame:
+    """``trials`` random settings out of ``ranges`` (lists of values) with their mean ``metric`` (accuracy, or the negated mean
+    squared error if not ``classify``); best marked. Settings and folds run side by side."""
+    data, classes = dataset(df, target, key, classify=classify)
+    data = written(with_x(folds(data, ["id"], k, "label" if classify else None)))
+    metric = metric or ("accuracy" if classify else "neg_mean_squared_error")
+    rng = np.random.default_rng(seed)
+    chosen = [{p: v[int(rng.integers(len(v)))] for p, v in ranges.items()} for _ in range(trials)]
+    registry, score = (classifiers, class_scores) if classify else (regressors, number_scores)
+    found = _cross_validated(data, classes if classify else None, {str(i): registry(**c)[name] for i, c in enumerate(chosen)}, k, score)
+    rows = [{"number": i, "value": float(found[str(i)][metric]), "params": {p: str(v) for p, v in c.items()}} for i, c in enumerate(chosen)]
     table = literal_rows(df.sparkSession, rows, "number int, value double, params map<string,string>")
     order = Window.orderBy(F.desc("value"), "number")       # one row per trial
     return table.withColumn("best", F.row_number().over(order) == 1)
