@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import date_columns, numeric_columns, text_columns
 from ..plans.rules import RuleSet, advise, known_words, outcomes, rules_load
+from ..session import side_by_side, written
 from . import infer
 from .profile import (column_pairs, corr_pairs, datetime_profile, distribution_profile, duplicate_count, length_consistency, literal_rows)
 
@@ -78,14 +79,26 @@ def advise_collinear(df: DataFrame, rules: RuleSet) -> DataFrame:
 def advise_preprocessing(df: DataFrame, keys: list[str], rules: RuleSet | None = None, compat: bool = False) -> DataFrame:
     """All preprocessing advice for a table: (column, position, action, why)."""
     rules = rules or rules_load("preprocess")
-    categories, dates = split_texts(df, keys)
-    out = advise_categories(df, rules, categories).unionByName(advise_dates(df, rules, [*dates, *date_columns(df)]))
-    if numeric_columns(df):
-        out = out.unionByName(advise_numbers(df, rules, compat=compat))
-    if "data_quality" in rules:
-        out = out.unionByName(advise_quality(df, rules))
-    if "feature_selection" in rules:
-        out = out.unionByName(advise_collinear(df, rules))
+    routed, numbers = _routed(df, keys, lambda c: advise_categories(df, rules, c), lambda d: advise_dates(df, rules, d)), numeric_columns(df)
+    jobs = [(True, routed), (bool(numbers), lambda: advise_numbers(df, rules, compat=compat)), ("data_quality" in rules, lambda: advise_quality(df, rules)),
+            ("feature_selection" in rules, lambda: advise_collinear(df, rules))]
+    return _together([job for wanted, job in jobs if wanted])
+
+
+def _routed(df: DataFrame, keys: list[str], categories, dates):
+    """Advice on text columns by what they hold, and on date columns."""
+    def job() -> DataFrame:
+        texts, dated = split_texts(df, keys)
+        return _together([lambda: categories(texts), lambda: dates([*dated, *date_columns(df)])])
+    return job
+
+
+def _together(jobs: list) -> DataFrame:
+    """The jobs' advice as one table. They pass over the table side by side, and each part is written, so that no part
+    waits for another or is worked out twice."""
+    out = None
+    for part in side_by_side([lambda job=job: written(job()) for job in jobs]):
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -122,11 +135,9 @@ def chart_distribution(df: DataFrame, rules: RuleSet | None = None) -> DataFrame
 def advise_charts(df: DataFrame, keys: list[str], rules: RuleSet | None = None) -> DataFrame:
     """All chart advice for a table."""
     rules = rules or rules_load("charts")
-    categories, dates = split_texts(df, keys)
-    out = chart_categorical(df, categories, rules).unionByName(chart_datetime(df, [*dates, *date_columns(df)], rules))
-    if numeric_columns(df):
-        out = out.unionByName(chart_numeric(df, rules))
-    return out.unionByName(chart_correlation(df, rules)).unionByName(chart_distribution(df, rules))
+    routed = _routed(df, keys, lambda c: chart_categorical(df, c, rules), lambda d: chart_datetime(df, d, rules))
+    numbers = [lambda: chart_numeric(df, rules)] if numeric_columns(df) else []
+    return _together([routed, *numbers, lambda: chart_correlation(df, rules), lambda: chart_distribution(df, rules)])
 
 
 # ---- presentation -------------------------------------------------------------------

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,14 +10,13 @@ import pandas as pd
 from pyspark.ml import classification as mc, regression as mr
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.util import inheritable_thread_target
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import at, missing, number, numeric_columns
 from ..functions.draws import uniform
 from ..plans.partials import matrix, totals
 from ..plans.positions import shuffled_positions
-from ..session import written
+from ..session import side_by_side, written
 from .neighbours import knn_join
 from .prep import encode_ordinal, impute_mean, sorted_values
 from .profile import literal_rows
@@ -26,7 +24,6 @@ from .select import inf_to_null
 from .trees import boost_classes, boost_numbers, random_cuts, scored
 
 SEED = 42
-SIDE_BY_SIDE = 8           # models whose jobs are in Spark's hands at a time
 
 
 def clean_features(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
@@ -406,12 +403,6 @@ def number_scores(predicted: DataFrame) -> dict[str, float]:
     return {"neg_mean_squared_error": -row["mse"], "neg_mean_absolute_error": -row["mae"]}
 
 
-def side_by_side(jobs: list[Callable], most: int = SIDE_BY_SIDE) -> list:
-    """Results of the jobs in order; at most so many hand Spark their work at a time. The first failure is raised."""
-    with ThreadPoolExecutor(max_workers=most) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(SparkSession.active())(job)) for job in jobs]]
-
-
 def _held_out(data: DataFrame, classes: list | None, fit: Callable, k: int) -> list[Callable]:
     """Jobs that each return [(fold, model)]; folds that share their passes are one job."""
     train = lambda f: data.where(F.col("fold") != f).drop("fold")

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
+
+SIDE_BY_SIDE = 8           # pieces of work whose jobs are in Spark's hands at a time
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,6 +40,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def side_by_side(jobs: list[Callable], most: int = SIDE_BY_SIDE) -> list:
+    """Results of the jobs in order; at most so many hand Spark their work at a time. The first failure is raised."""
+    target = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(max_workers=most) as pool:
+        return [f.result() for f in [pool.submit(target(job)) for job in jobs]]
+
+
 def row_dicts(df: DataFrame) -> list[dict]:
     """Rows of a result whose size is bounded by the number of columns, not of rows."""
     return [row.asDict() for row in df.collect()]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import models, trees
 from tablewright.plans import partials
 from tablewright.queries import modelling
-from tablewright.session import written
+from tablewright.session import side_by_side, written
 
 
 def frame(spark, x, y, fold=None):
@@ -270,4 +270,4 @@ def test_tuning_of_regressors(spark):
 
 def test_a_failing_job_is_raised(spark):
     with pytest.raises(ZeroDivisionError):
-        models.side_by_side([lambda: spark.range(3).count(), lambda: 1 // 0])
+        side_by_side([lambda: spark.range(3).count(), lambda: 1 // 0])
