@@ -26,7 +26,10 @@ LABELLED = 800                     # labelled pages trained on
 # Element names with a fixed meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-UNSEEN = frozenset("script style template head title svg math iframe object canvas noframes datalist".split())
+MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+NOTES = frozenset(("annotation", "annotation-xml"))          # a formula once more, in another notation; never shown
+INLINE |= MATH | NOTES
+UNSEEN = frozenset("script style template head title svg iframe noframes datalist".split())
 CLOSES = {                         # an opening tag ends an open element of these kinds
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "thead": ("tr",), "tbody": ("thead", "tr"), "tfoot": ("tbody", "tr"),
@@ -48,7 +51,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = frozenset("script style title textarea iframe noframes xmp".split())
-_ENDS = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
+_ENDS = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW | NOTES}
 
 
 def slot(feature: str) -> int:
@@ -75,7 +78,8 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, str, int]]:
     """``(text, ancestor slots, nearest block tag, characters in links)`` of every block with text, in page order.
 
     Inline elements and line breaks do not end a block. Unclosed and wrongly nested elements are closed as browsers do
-    for the common cases; text of scripts, styles and other unseen elements is left out.
+    for the common cases; text of scripts, styles and other unseen elements is left out. Formulas are text of the
+    sentence they stand in (without their source in another notation); what objects and canvases hold is text like any other.
     """
     blocks: list[tuple[str, frozenset, str, int]] = []
     stack: list[tuple[str, frozenset, bool]] = [("", frozenset(), False)]      # tag, slots of it and all above, unseen
@@ -145,6 +149,8 @@ def leaf_blocks(html: str) -> list[tuple[str, frozenset, str, int]]:
         if tag in INLINE:
             if tag == "a":
                 in_link = True
+            if tag in NOTES and (close := _ENDS[tag].search(html, at)):
+                at = close.start()
             if attributes:
                 named = own_slots(tag, attributes)
                 if len(named) > 1:

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tablewright.plans.positions import ordered_positions
 from tablewright.session import written
 
 SHARDS = 16
@@ -23,6 +24,8 @@ BINS = 1024
 COORDINATE_BITS, TIE_BITS = 24, 38
 #: Rows that are numbered in one task.
 NUMBERED = 20_000
+#: Distinct sources or languages that are sent to all tasks; more, or longer ones, are joined by shuffle.
+BROADCAST_VALUES, BROADCAST_BYTES = 10_000, 4 << 20
 
 
 def _scaled(value: Column, low, high) -> Column:
@@ -34,16 +37,25 @@ def _scaled(value: Column, low, high) -> Column:
     return F.coalesce(F.least(F.lit(top), F.greatest(F.lit(0), F.floor(part * F.lit(top)))), F.lit(0)).cast("long")
 
 
-def _letters(value: Column) -> Column:
-    """The first six bytes of a string as a number, so that the order of numbers is that of the strings."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(F.coalesce(value, F.lit("")), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("long")
+def text_groups(docs: DataFrame) -> DataFrame:
+    """One row per distinct text (null is one too): digest ``g``, weight and coordinates.
+
+    Source and language count by their place among the distinct ones in order, whatever their length; null is empty.
+    """
+    kind = {c: F.coalesce((docs[c] if c in docs.columns else F.lit(None)).cast("string"), F.lit("")) for c in ("source", "lang")}
+    rows = docs.select(_digest().alias("g"), _size().alias("size"), F.col("doc_id").cast("long").alias("id"), kind["source"].alias("source"), kind["lang"].alias("lang"))
+    groups = written(rows.groupBy("g").agg(F.sum("size").alias("weight"), F.min("size").alias("c0"), F.min("id").alias("c1"), F.min("source").alias("source"), F.min("lang").alias("lang")))
+    return _placed(_placed(groups, "source", "c2"), "lang", "c3")
 
 
-def text_groups(docs: DataFrame) -> DataFrame:
-    """One row per distinct text (null is one too): digest ``g``, weight and raw coordinates."""
-    kind = {c: docs[c] if c in docs.columns else F.lit(None) for c in ("source", "lang")}
-    rows = docs.select(_digest().alias("g"), _size().alias("size"), F.col("doc_id").cast("long").alias("id"), _letters(kind["source"].cast("string")).alias("source"), _letters(kind["lang"].cast("string")).alias("lang"))
-    return rows.groupBy("g").agg(F.sum("size").alias("weight"), F.min("size").alias("c0"), F.min("id").alias("c1"), F.min("source").alias("c2"), F.min("lang").alias("c3"))
+def _placed(groups: DataFrame, column: str, name: str) -> DataFrame:
+    """``column`` replaced by the place of its value among the distinct ones, in ``name``."""
+    ranked, n = ordered_positions(groups.select(column).distinct(), [column])
+    ranked = ranked.select(column, F.col("_pos").alias(name))
+    if n <= BROADCAST_VALUES:                       # few: large groups of one value are not dealt by it
+        most = ranked.agg(F.coalesce(F.max(F.octet_length(column)), F.lit(0))).first()[0]
+        ranked = F.broadcast(ranked) if n * most <= BROADCAST_BYTES else ranked
+    return groups.join(ranked, column).drop(column)
 
 
 def _digest() -> Column:
@@ -143,7 +155,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     with equal texts share a shard; repeated rows and null ids are rows like any other; no rows give no rows; further
     columns are ignored. ``grown_shard`` is null, as the law is ``bytes``.
     """
-    leaves = written(kd_leaves(written(text_groups(docs)), shards))
+    leaves = written(kd_leaves(text_groups(docs), shards))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _size().alias("size"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"), _digest().alias("g"))
     placed = written(rows.join(leaves, "g"))
     lots = max(1, -(-placed.count() // (shards * NUMBERED)))

@@ -142,7 +142,8 @@ def blocks(df: DataFrame, group: str, member: str, size: int = BLOCK) -> DataFra
     return other.select("*", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), (F.col("_b") > F.col("_o")).cast("int").alias("side")).drop("_n", "_k", "_b", "_o")
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, text: bool = False) -> DataFrame:
+    """``doc_id, n, d1, d2, keys``: how many n-grams, 128 bits of their set, the bands; with ``text`` also that."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1), 1 << 19):
@@ -150,9 +151,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 keys = pa.array(least.view(np.uint64).view(np.int64).reshape(-1))
                 bands = VALUES // BAND
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (part.rows + 1) * bands, bands, dtype=np.int32)), keys)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.rows), pa.array(n.astype(np.int64)), pa.array(one), pa.array(two), listed], names=["doc_id", "n", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.rows), pa.array(n.astype(np.int64)), pa.array(one), pa.array(two), listed, *([batch.column(1).slice(part.first, part.rows)] if text else [])],
+                                                     names=["doc_id", "n", "d1", "d2", "keys", *(["text"] if text else [])])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>" + (", text string" if text else ""))
 
 
 def _values(column: pa.ChunkedArray) -> np.ndarray:
@@ -186,13 +188,28 @@ def _candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataF
     return map_groups(dealt, ["band", "key", "bi", "bj"], compare, "a long, b long")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, families: DataFrame, threshold: float) -> DataFrame:
+def _texts_of(docs: DataFrame, wanted: DataFrame, often: DataFrame) -> DataFrame:
+    """``wanted(rep, component, size, first, d1, d2)`` with one text of each class.
+
+    A class is found by its least id. Where several rows have that id (``often``), their texts are signed again and one
+    with the class's own n-grams is taken.
+    """
+    given = docs.select(F.col("doc_id").cast("long").alias("first"), "text")
+    if often.isEmpty():
+        return given.join(wanted.hint("shuffle_hash"), "first")
+    single = given.join(wanted.join(often, "first", "left_anti").hint("shuffle_hash"), "first")
+    several = _signed(given.join(often, "first", "left_semi").withColumnRenamed("first", "doc_id"), text=True)
+    own = several.select(F.col("doc_id").alias("first"), "d1", "d2", "text").groupBy("first", "d1", "d2").agg(F.min("text").alias("text"))
+    return single.unionByName(own.join(wanted, ["first", "d1", "d2"]).select(*single.columns))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, often: DataFrame, families: DataFrame, threshold: float) -> DataFrame:
     """Exact comparison inside every family of candidates: rows ``(a, b, links)``.
 
     ``b`` null: class ``a`` gains ``links`` documents; otherwise a link of the spanning forest.
     """
-    wanted = families.join(classes.select("rep", "size"), families.node == F.col("rep")).select("rep", "component", "size")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("shuffle_hash"), "rep")
+    wanted = families.join(classes, families.node == F.col("rep")).select("rep", "component", "size", "first", "d1", "d2")
+    texts = _texts_of(docs, wanted, often)
     dealt = blocks(texts.select("component", "rep", "size", "text"), "component", "rep").select("component", "bi", "bj", "side", "rep", "size", "text")
 
     def verify(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -249,22 +266,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     ``class_id`` and ``component_id`` are the least ids of documents with the same n-grams, and of those reachable by
     links; ``n_links`` counts the other documents linked directly, copies included; ``kept`` is true for the least id.
     A text without words (or null) links with nothing, not even with another such text, and is kept. Texts under five
-    words are one n-gram. A row without id is returned with nulls and no links and is kept. Rows that share an id are one
-    document in the result's ids: their links add up. No rows give no rows; further columns are ignored.
+    words are one n-gram. A row without id is returned with nulls and no links and is kept. Rows that share an id
+    are documents of their own, each with the links of its text; rows equal in id and text are copies of each other. No
+    rows give no rows; further columns are ignored.
     """
     signed = written(_signed(docs))
     real = signed.where("doc_id is not null and n > 0")
-    classes = written(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("keys").alias("keys")))
+    # two classes can have the same least id, so that a class has a number of its own
+    counted = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"), F.first("keys").alias("keys"))
+    classes = written(counted.withColumn("rep", F.monotonically_increasing_id()))
     families = components(_candidates(classes, threshold, tolerance))
-    checked = written(_verified(docs, classes, families, threshold))
+    often = written(signed.where("doc_id is not null").groupBy(F.col("doc_id").alias("first")).agg(F.count("*").alias("n")).where("n > 1").select("first"))
+    checked = written(_verified(docs, classes, often, families, threshold))
     groups = components(checked.where("b is not null").select("a", "b"))
     gained = checked.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    found = (classes.select("d1", "d2", "rep", "size").join(gained, F.col("rep") == F.col("a"), "left")
-             .join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", "rep", "size", "links", "component"))
+    placed = groups.join(classes.select(F.col("rep").alias("node"), "first"), "node")
+    least = placed.groupBy("component").agg(F.min("first").alias("least"))
+    found = (classes.select("d1", "d2", "rep", "first", "size").join(gained, F.col("rep") == F.col("a"), "left")
+             .join(groups.join(least, "component").select("node", "least"), F.col("rep") == F.col("node"), "left").select("d1", "d2", "first", "size", "links", "least"))
     sizes = real.select("doc_id", "d1", "d2")
     inside = sizes.join(found, ["d1", "d2"]).select(
-        "doc_id", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"))
+        "doc_id", F.col("first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"),
+        F.coalesce("least", "first").alias("component_id"))
     alone = signed.where("doc_id is null or n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return inside.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

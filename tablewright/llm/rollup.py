@@ -105,7 +105,8 @@ def corpus_totals(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     Every document comes in with its number of words; then all are recounted with the tokenizer as a second version and
     their word counts are revised to count each run of punctuation as a word too; then copies of a text other than the
     one with the least id are deleted from both versions; and the recount is sent again, which changes nothing. An empty
-    table gives no rows, a null text counts 0. Rows that share an id are one document: the one with the most tokens.
+    table gives no rows, a null text counts 0. Rows that share an id are one document: the one with the most tokens. Every
+    row without an id is a document of its own, under a number that no id has.
     """
     from . import bpe
     from tablewright.session import written
@@ -113,8 +114,11 @@ def corpus_totals(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     finer = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]+")).cast("long")
-    rows = docs.select("doc_id", "source", "lang", "text", F.md5(F.coalesce("text", F.lit(""))).alias("copy"), words.alias("words"), finer.alias("finer"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("place"), "source", "lang", "text", F.md5(F.coalesce("text", F.lit(""))).alias("copy"), words.alias("words"), finer.alias("finer"))
     counted = written(bpe.count(rows, tokenizer))
+    low, high = counted.agg(F.coalesce(F.min("doc_id"), F.lit(0)).cast("long"), F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()
+    free = F.lit(high) + 1 + F.col("place") if high < 1 << 62 else F.lit(low) - 1 - F.col("place")
+    counted = counted.withColumn("doc_id", F.when(F.col("doc_id").isNull(), free).otherwise(F.col("doc_id").cast("long")))
     ledger = Ledger(spark, folder)
     keep = ["doc_id", "source", "lang"]
     ledger.commit("1-load", events(counted.select(*keep, F.col("words").alias("tokens")), "words", "insert"))
