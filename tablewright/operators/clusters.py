@@ -16,6 +16,8 @@ from .neighbours import _candidates, _distances, _merged, _prepare, _query_group
 from .prep import impute_median, scale_standard
 from .profile import basics, centred, literal_rows
 from .select import inf_to_null
+from .spectral import leading_vectors, normalised
+from .ward import MOST, ward
 
 SEED = 42
 
@@ -50,10 +52,9 @@ def cluster_kmeans(pts: DataFrame, k: int, starts: int = 10) -> DataFrame:
     return best.transform(data).select("id", F.col("prediction").alias("cluster"))
 
 
-def cluster_hierarchical(pts: DataFrame, k: int) -> DataFrame:
-    """Top-down (bisecting) hierarchy, the form that scales."""
-    data = written(_vectors(pts))
-    return mk.BisectingKMeans(k=k, seed=SEED).fit(data).transform(data).select("id", F.col("prediction").alias("cluster"))
+def cluster_hierarchical(pts: DataFrame, k: int, most: int = MOST) -> DataFrame:
+    """Ward's hierarchy cut at ``k``: exact up to ``most`` different rows, over merged cluster features beyond."""
+    return ward(pts, k, most)
 
 
 def cluster_gmm(pts: DataFrame, k: int) -> DataFrame:
@@ -61,13 +62,17 @@ def cluster_gmm(pts: DataFrame, k: int) -> DataFrame:
     return mk.GaussianMixture(k=k, seed=SEED).fit(data).transform(data).select("id", F.col("prediction").alias("cluster"))
 
 
-def cluster_spectral(pts: DataFrame, k: int, gamma: float = 1.0, neighbours: int = 10) -> DataFrame:
-    """Power iteration on RBF affinities of each row's nearest rows; ids must be whole numbers."""
+def cluster_spectral(pts: DataFrame, k: int, gamma: float = 1.0, neighbours: int = 10, starts: int = 10) -> DataFrame:
+    """k-means over the ``k`` leading eigenvectors of the normalised RBF affinities of each row's nearest rows, every
+    row's vector scaled to length one. A row without affinities (all too far for a number above 0) has a zero vector."""
+    pts = written(pts)
     near = knn_join(pts, pts, neighbours, exclude_self=True)
-    edges = near.select(F.least("id", "neighbour").cast("long").alias("src"), F.greatest("id", "neighbour").cast("long").alias("dst"),
+    edges = near.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"),
                         F.exp(-gamma * F.col("distance") * F.col("distance")).alias("weight")).distinct().where("weight > 0")
-    found = mk.PowerIterationClustering(k=k, maxIter=20, weightCol="weight").assignClusters(edges)
-    return found.select("id", "cluster")
+    vectors, _ = leading_vectors(pts, normalised(written(edges)), k)
+    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+    unit = vectors.select("id", F.when(length > 0, F.transform("x", lambda v: v / length)).otherwise(F.col("x")).alias("x"))
+    return cluster_kmeans(unit, k, starts)
 
 
 def dbscan_parameters(prepared: DataFrame, key: str) -> tuple[float, int]:
