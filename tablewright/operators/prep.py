@@ -3,13 +3,16 @@ as literals, so the action itself is a narrow projection without joins or shuffl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import log
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import at, double_sql, missing, number, number_sql, numeric_columns, valid
+from ..plans.partials import matrix, totals
 from ..plans.quantiles import SMALL, expression_quantiles, quantiles, _order_statistics
-from ..session import written
 from .profile import basics, centred, corr_pairs, fences, frequencies
 
 FEW = 10_000   # distinct values looked at on the driver; more stay in tables
@@ -319,30 +322,58 @@ def impute_mode(df: DataFrame, columns: list[str]) -> DataFrame:
 def impute_iterative(df: DataFrame, columns: list[str], rounds: int = 3) -> DataFrame:
     """Chained regressions: each column with holes is predicted from the others, a few rounds over.
 
-    A regression is the solution of the normal equations, so a fit is one aggregate of products."""
-    import numpy as np
+    A regression is the solution of the normal equations, so a fit is one pass that sums products. What earlier fits
+    filled in is worked out again from the row itself in every pass, so no copy of the table is written. Columns
+    without any value stay as they are and predict nothing; rows with infinite values take no part in the fits."""
     total, base = basics(df, columns)
-    holes = [c for c in columns if 0 < base[c]["n"] < total]
-    work = df
-    for c in columns:
-        work = work.withColumn(f"_h_{c}", missing(df, c))
-    fill = {c: F.lit(base[c]["mean"]) for c in holes}
-    observed = {c: number(df, c) for c in columns}
-    current = {c: F.coalesce(observed[c], fill[c]) if c in fill else observed[c] for c in columns}
+    used = [c for c in columns if base[c]["n"] > 0]
+    holes = [i for i, c in enumerate(used) if base[c]["n"] < total]
+    if not holes:
+        return df
+    finite = [F.when(F.abs(number(df, c)) < float("inf"), number(df, c)) for c in used]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(finite)]).first()
+    centre = np.array([m or 0.0 for m in means])
+    fits: list[tuple[int, np.ndarray]] = []                    # column, and constant with a factor for every column
+
+    def filled(x: np.ndarray, fits: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        gap, x = np.isnan(x), x - centre
+        x[gap] = 0.0
+        for c, beta in fits:
+            x[gap[:, c], c] = beta[0] + x[gap[:, c]] @ beta[1:]
+        return x, gap
+
+    slim = df.select(F.array(*[number(df, c) for c in used]).alias("x"))
     for _ in range(rounds):
         for c in holes:
-            others = [o for o in columns if o != c]
-            terms = [F.lit(1.0), *[current[o] for o in others]]
-            slim = work.where(~F.col(f"_h_{c}")).select(*[t.alias(f"t{i}") for i, t in enumerate(terms)], observed[c].alias("y"))
-            k = len(terms)
-            row = slim.selectExpr(*[f"avg(t{i} * t{j}) AS a{i}_{j}" for i in range(k) for j in range(i, k)], *[f"avg(t{i} * y) AS b{i}" for i in range(k)]).first()
-            a = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            beta = np.linalg.lstsq(a, np.array([row[f"b{i}"] for i in range(k)]), rcond=None)[0]
-            predicted = sum((F.lit(float(b)) * t for b, t in zip(beta[1:], terms[1:])), F.lit(float(beta[0])))
-            # written after each fit: later fits read the filled column instead of recomputing all earlier ones
-            work = written(work.withColumn(f"_v_{c}", F.coalesce(observed[c], predicted)))
-            current[c] = F.col(f"_v_{c}")
-    return work.select(*[current[c].alias(c) if c in holes else at(c) for c in df.columns])
+            def products(batch: pa.RecordBatch, c=c, fits=tuple(fits)) -> np.ndarray:
+                x, gap = filled(matrix(batch.column(0)), fits)
+                x = x[~gap[:, c] & np.isfinite(x).all(axis=1)]
+                x = np.c_[np.ones(len(x)), x]
+                return x.T @ x
+
+            k = len(used) + 1
+            gram = totals(slim, products, k * k).reshape(k, k)
+            others = [i for i in range(k) if i != c + 1]
+            beta = np.zeros(k)
+            beta[others] = np.linalg.lstsq(gram[np.ix_(others, others)] / max(gram[0, 0], 1.0), gram[others, c + 1] / max(gram[0, 0], 1.0), rcond=None)[0]
+            fits.append((c, beta))
+
+    names = df.columns
+    places = {i: names.index(used[i]) for i in holes}
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                observed, arrays = matrix(batch.columns[-1]), list(batch.columns[:-1])
+                x, gap = filled(observed, fits)
+                for i in holes:
+                    arrays[places[i]] = pa.array(np.where(gap[:, i], x[:, i] + centre[i], observed[:, i]), pa.float64())
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    filled_names = {used[i] for i in holes}
+    out = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in filled_names else f for f in df.schema])
+    plain = [at(c).alias(f"c{i}") for i, c in enumerate(names)]        # names with dots cannot be handed over
+    return df.select(*plain, F.array(*[number(df, c) for c in used]).alias("x")).mapInArrow(complete, out)
 
 
 # ---- carrying out advice ------------------------------------------------------------

@@ -7,10 +7,12 @@ long (column, value) count; ranked rows are cut before the shuffle.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import (DATE_TYPES, at, double_sql, is_float, is_integral, missing, number, number_sql, numeric_columns,
                                  text_columns, valid)
+from ..plans.gram import correlations, pair_sums
 from ..plans.quantiles import quantiles
 
 
@@ -397,22 +399,38 @@ def _pair_corr(df: DataFrame, a: str, b: str) -> Column:
     # not F.corr: under ANSI rules it fails on a constant column, where r is missing
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     r = F.nullif(r, F.lit(float("nan")))
-    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+    # merged means of a constant may differ in the last bit, so constancy is told by the ends
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies & r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+
+
+def _pairs_at_once(df: DataFrame, pairs: list[tuple[int, str, str]]) -> DataFrame:
+    """(pair, left, right, r) by one aggregate."""
+    wide = df.agg(*[_pair_corr(df, a, b).alias(f"r{i}") for i, a, b in pairs])
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{i}").alias("r")) for i, a, b in pairs])
+    return wide.select(F.explode(cells).alias("c")).select("c.*")
 
 
 def corr_pairs(df: DataFrame, columns: list[str] | None = None, per_pass: int = 400) -> DataFrame:
-    """(left, right, r) for every pair; wide tables take one aggregate per ``per_pass`` pairs."""
-    cols = columns if columns is not None else numeric_columns(df)
-    pairs, out = column_pairs(cols), None
-    for start in range(0, len(pairs), per_pass):
-        part = pairs[start:start + per_pass]
-        wide = df.agg(*[_pair_corr(df, a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        cells = F.array(*[F.struct(F.lit(start + i).alias("pair"), F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{i}").alias("r"))
-                          for i, (a, b) in enumerate(part)])
-        rows = wide.select(F.explode(cells).alias("c")).select("c.*")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        out = df.sparkSession.createDataFrame([], "pair int, left string, right string, r double")
+    """(pair, left, right, r) for every pair of columns.
+
+    Up to ``per_pass`` pairs are one aggregate. More are products of whole blocks of rows, one pass whatever their
+    number; pairs that these products leave in doubt (nearly constant, beyond doubles) go through aggregates again."""
+    spark, cols = df.sparkSession, columns if columns is not None else numeric_columns(df)
+    pairs = [(i, a, b) for i, (a, b) in enumerate(column_pairs(cols))]
+    schema = "pair int, left string, right string, r double"
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    if len(pairs) <= per_pass:
+        return _pairs_at_once(df, pairs)
+    r, unsure = correlations(pair_sums(df, cols))
+    upper = np.triu_indices(len(cols), 1)                       # the order of column_pairs
+    doubt, value = unsure[upper], r[upper]
+    sure = [(i, a, b, None if np.isnan(v) else float(v)) for (i, a, b), v, d in zip(pairs, value, doubt) if not d]
+    out = spark.createDataFrame(sure, schema)
+    again = [p for p, d in zip(pairs, doubt) if d]
+    for start in range(0, len(again), per_pass):
+        out = out.unionByName(_pairs_at_once(df, again[start:start + per_pass]))
     return out
 
 

@@ -173,6 +173,13 @@ def _(spark, sf):
     return rounded(p.corr_pairs(table(spark, sf, "part")))
 
 
+@query("corr_embedding", "SELECT ((a * (127 - a)) // 2 + b - a - 1)::INT AS pair, 'e' || a AS \"left\", 'e' || b AS \"right\", round(corr(embedding[a + 1]::DOUBLE, embedding[b + 1]::DOUBLE), 6) + 0.0 AS r"
+       " FROM embeddings, (SELECT unnest(range(64)) AS a), (SELECT unnest(range(64)) AS b) WHERE a < b GROUP BY a, b")
+def _(spark, sf):
+    names = [f"e{i}" for i in range(64)]
+    return rounded(p.corr_pairs(table(spark, sf, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)]), names))
+
+
 @query("corr_pair", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
 def _(spark, sf):
     return rounded(p.corr_pair(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice"))
