@@ -3,8 +3,8 @@
 A sequence (bin) may hold no two documents of one duplicate cluster and, by default, no two of one source. Documents
 longer than a sequence are cut; their full pieces are sequences of their own, and only the rest is packed.
 
-Documents are dealt by a hash of their id into packing groups of a bounded size; each group is packed on its own by
-best-fit decreasing. Open bins are kept in the order of their remaining room; every bin carries a bitmap of its sources
+Documents are dealt by a hash of their row into packing groups of a bounded size, equal rows by the number of the copy
+as well; each group is packed on its own by best-fit decreasing. Open bins are kept in the order of their remaining room; every bin carries a bitmap of its sources
 and one of its clusters. From the tightest bin that is large enough the search walks to the next roomier one until the
 bitmaps allow it; only when none does, a new bin is opened.
 """
@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import written
 from .scratch import map_groups
 
 CAPACITY = 8192                    # characters and end marks in a sequence
 GROUP = 2048                       # documents packed together, on average
+COPIES = 1024                      # equal rows numbered by one task in a go
 
 PACKED = "bin string, doc_id long, piece long, start long, length long, size long, place long, source string, cluster long, room long"
 
@@ -60,24 +62,44 @@ def best_fit(size: np.ndarray, sources: list, clusters: list, capacity: int, apa
     return bins, place
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, apart: bool = True) -> DataFrame:
+def _numbered(items: DataFrame, clusters: DataFrame | None) -> DataFrame:
+    """Every row again, with its cluster and a number for each of its copies. Equal rows are counted, not sorted; many
+    copies of one row are numbered by several tasks."""
+    counted = written(items.groupBy(*items.columns).agg(F.count("*").alias("copies")))
+    if clusters is not None:
+        given = clusters.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("cluster").cast("long").alias("cluster"))
+        joined = counted.where("doc_id IS NOT NULL").join(given, "doc_id", "left")
+        counted = joined.unionByName(counted.where("doc_id IS NULL"), allowMissingColumns=True)
+    else:
+        counted = counted.withColumn("cluster", F.lit(None).cast("long"))
+    counted = counted.withColumn("cluster", F.coalesce("cluster", "digest"))
+    few = counted.where(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    many = counted.where(F.col("copies") > COPIES).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    spread = many.repartition("digest", "chunk").withColumn("first", F.col("chunk") * COPIES)
+    number = F.sequence("first", F.least("copies", F.col("first") + COPIES) - 1)
+    return few.unionByName(spread.withColumn("copy", F.explode(number)).drop("chunk", "first")).drop("copies")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, apart: bool = True, clusters: DataFrame | None = None) -> DataFrame:
     """One row per piece of a document: its bin, the characters ``[start, start + length)`` it holds, its place there.
 
     ``size`` is ``length`` plus one end mark for a document's last piece; sizes in a bin add up to ``capacity`` at most
-    and ``room`` is what the bin has left. ``cluster`` is a digest of the text. Texts that are null or empty have one
-    piece of size 1. A null source is in conflict with nothing. Repeated rows are packed each (in different bins, as
-    they are copies); a null id is packed too. No rows give no rows; further columns are ignored.
+    and ``room`` is what the bin has left. ``clusters`` is a table (doc_id, cluster) with one row for an id, the number
+    of its duplicate cluster; without it, or for ids that are not in it, the cluster is a digest of the text. Texts that are null or empty have one
+    piece of size 1. A null source is in conflict with nothing. Repeated rows are packed each, in different bins as
+    they are copies, and are spread over the packing groups; a null id is packed too. No rows give no rows; further
+    columns are ignored.
     """
     long = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), long.alias("n"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    items = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), long.alias("n"), digest.alias("digest")), clusters)
     groups = max(1, -(-docs.count() // group))
-    # a digest of the whole row, so that neither null ids nor a repeated id make a large group unless the rows are equal
-    items = items.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "cluster", "n", "source"), F.lit(groups)))
+    items = items.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "digest", "n", "source", "copy"), F.lit(groups)))
     full = F.floor(F.col("n") / F.lit(capacity))   # pieces that fill a bin alone; the end mark always follows
     rest = items.withColumn("full", full)
     whole = (rest.where("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
-             .select(F.concat_ws(":", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("cluster").cast("string"), "piece").alias("bin"), "doc_id", "piece",
+             .select(F.concat_ws(":", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("source", F.lit("")), F.col("digest").cast("string"), F.col("copy").cast("string"), F.col("piece").cast("string")).alias("bin"), "doc_id", "piece",
                      (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), F.lit(capacity).cast("long").alias("size"), F.lit(0).cast("long").alias("place"), "source", "cluster", F.lit(0).cast("long").alias("room")))
     last = rest.select("dealt", "doc_id", "source", "cluster", F.col("full").alias("piece"), (F.col("n") - F.col("full") * capacity).alias("length"))
 

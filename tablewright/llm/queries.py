@@ -48,7 +48,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    linked = ngram_join.near_duplicates(docs).where("doc_id IS NOT NULL")
+    clusters = linked.groupBy("doc_id").agg(F.min("component_id").alias("cluster"))    # one cluster where an id stands in several rows
+    return packing.pack(docs, clusters=clusters)
 
 
 @query("op10_kd_tree_sharding")

@@ -16,6 +16,7 @@ import mmap
 import re
 import tempfile
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -49,13 +50,49 @@ _WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){12,}|(?:\0[\t\n\r\x20-\x7e]){12,}|
 _PACKED = re.compile(rb"(?P<gzip>\x1f\x8b\x08)|(?P<zlib>\x78[\x01\x5e\x9c\xda])|(?P<bz2>BZh[1-9](?:1AY&SY|\x17rE8P\x90))|(?P<xz>\xfd7zXZ\0)|(?P<zstd>\x28\xb5\x2f\xfd)")
 _MAGIC = (b"\x1f\x8b\x08", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\0", b"\x28\xb5\x2f\xfd")
 _PADDING = re.compile(rb"\0+")
+_BREAKS = dict.fromkeys(b"\t\n\r")
+
+
+class Runs:
+    """Where the bytes of a rewritten layer came from, run by run: byte ``i`` of a run came from ``[begin + i, begin + i + width)``.
+
+    Text between two escapes is one run and every escape one more, so room is needed for escapes and not for characters.
+    """
+
+    __slots__ = ("start", "begin", "width", "size")
+
+    def __init__(self):
+        self.start, self.begin, self.width, self.size = array("q"), array("q"), array("q"), 0
+
+    def add(self, n: int, begin: int, width: int) -> None:
+        if n <= 0:
+            return
+        goes_on = self.size and width == self.width[-1] == 1 and self.begin[-1] + self.size - self.start[-1] == begin
+        if not goes_on:
+            self.start.append(self.size)
+            self.begin.append(begin)
+            self.width.append(width)
+        self.size += n
+
+    def origin(self, i: int) -> tuple[int, int]:
+        r = bisect_right(self.start, i) - 1
+        at = self.begin[r] + i - self.start[r]
+        return at, at + self.width[r]
+
+    def part(self, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """The runs in ``[a, b)`` as ``add`` takes them."""
+        r = bisect_right(self.start, a) - 1
+        while a < b:
+            last = min(b, self.start[r + 1] if r + 1 < len(self.start) else self.size)
+            yield last - a, self.begin[r] + a - self.start[r], self.width[r]
+            a, r = last, r + 1
 
 
 class Layer:
-    """Bytes unwrapped from a text; byte ``i`` came from ``[begin[i], end[i])`` of it.
+    """Bytes unwrapped from a text.
 
-    All patterns are ASCII, so other characters of the text stand as ``?``. ``begin`` and ``end`` are None for the text
-    itself, and numbers where all bytes came from the same stretch.
+    All patterns are ASCII, so other characters of the text stand as ``?``. ``begin`` is None for the text itself, the
+    ``Runs`` its bytes came from, or a number where all bytes came from the same stretch, ``[begin, end)``.
     """
 
     __slots__ = ("data", "begin", "end")
@@ -70,7 +107,7 @@ class Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.begin is None:
             return a, b
-        return (self.begin[a], self.end[b - 1]) if self.mapped else (self.begin, self.end)
+        return (self.begin.origin(a)[0], self.begin.origin(b - 1)[1]) if self.mapped else (self.begin, self.end)
 
     def finds(self) -> set[tuple[int, str, int]]:
         found = set()
@@ -121,29 +158,27 @@ class _Spool:
 
 def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every escape decoded in place to one byte; None if there is none."""
-    data, at, out, begin, end = layer.data, 0, _Spool(), [], []
+    data, at, out, runs = layer.data, 0, _Spool(), Runs()
 
     def keep(a: int, b: int) -> None:
         out.copy(data, a, b)
         if layer.begin is None:
-            begin.extend(range(a, b))
-            end.extend(range(a + 1, b + 1))
+            runs.add(b - a, a, 1)
         elif layer.mapped:
-            begin.extend(layer.begin[a:b])
-            end.extend(layer.end[a:b])
+            for run in layer.begin.part(a, b):
+                runs.add(*run)
 
     for m in pattern.finditer(data):
         keep(at, m.start())
         out.write(decode(m))
         if layer.mapped:
             first, last = layer.span(m.start(), m.end())
-            begin.append(first)
-            end.append(last)
+            runs.add(1, first, last - first)
         at = m.end()
     if not at:
         return None
     keep(at, len(data))
-    return Layer(out.done(), begin, end) if layer.mapped else Layer(out.done(), layer.begin, layer.end)
+    return Layer(out.done(), runs) if layer.mapped else Layer(out.done(), layer.begin, layer.end)
 
 
 def _url(m: re.Match) -> bytes:
@@ -232,8 +267,9 @@ def _is_text(data: bytes) -> bool:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return False
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text[:4096])
-    return bool(text) and odd * 10 <= min(len(text), 4096)
+    plain = text.translate(_BREAKS)
+    odd = 0 if plain.isprintable() else sum(not c.isprintable() for c in plain)
+    return bool(text) and odd * 10 <= len(text)
 
 
 def _good(data: bytes) -> int:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import html_crf, kd_shards, ngram_join, queries, rollup
+from tablewright.llm import html_crf, kd_shards, ngram_join, packing, queries, rollup, secret_scan
 
 
 def brute_links(rows, threshold=0.8, n=5):
@@ -92,3 +92,54 @@ def test_sources_with_a_long_common_prefix_are_told_apart(spark, monkeypatch, fe
     # ids and lengths are all the same, and all but one text have one language: sources are what parts the rest
     by_shard = got.join(docs.select(F.crc32(F.encode("text", "UTF-8")).cast("long").alias("text_crc32"), "source"), "text_crc32").groupBy("shard").agg(F.count_distinct("source").alias("n")).collect()
     assert len(by_shard) == 4 and min(r.n for r in by_shard) < 7
+
+
+# ---- packing -------------------------------------------------------------------------------------------------------
+
+def test_equal_rows_are_spread_over_packing_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 64)
+    docs = spark.createDataFrame([(None, "s", "same text")] * 2000 + [(i, f"s{i % 7}", "word " * (i % 9)) for i in range(200)] + [(7, "long", "y" * 250)] * 3,
+                                 "doc_id long, source string, text string")
+    rows = packing.pack(docs, capacity=100, group=100).collect()
+    assert len(rows) == 2000 + 200 + 3 * 3
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.bin].append(r)
+    assert all(sum(r.size for r in inside) + inside[0].room == 100 for inside in bins.values())
+    assert all(len({r.cluster for r in inside}) == len(inside) for inside in bins.values())
+    groups = collections.Counter(r.bin.split(":")[0] for r in rows if r.doc_id is None)
+    assert len(groups) > 15 and max(groups.values()) < 200
+
+
+def test_given_clusters_are_kept_apart(spark):
+    docs = spark.createDataFrame([(i, f"s{i}", f"text {i}") for i in range(5)] + [(None, "s9", "text 9")], "doc_id long, source string, text string")
+    rows = packing.pack(docs, capacity=100, clusters=docs.where("doc_id < 5").selectExpr("doc_id", "doc_id % 2 AS cluster")).collect()
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.bin].append(r.cluster)
+    assert len(rows) == 6 and len(bins) == 3 and all(len(set(c)) == len(c) for c in bins.values())
+
+
+# ---- positions in rewritten layers ---------------------------------------------------------------------------------
+
+def test_runs_map_as_single_positions_do():
+    draw = random.Random(3)
+    for _ in range(200):
+        runs, each = secret_scan.Runs(), []
+        at = 0
+        for _ in range(draw.randint(1, 12)):
+            n, width = draw.choice([(draw.randint(0, 5), 1), (1, 3), (1, 6)])
+            runs.add(n, at, width)
+            each += [(at + i, at + i + width) for i in range(n)]
+            at += n * width + draw.choice([0, 0, 4])
+        assert runs.size == len(each) and [runs.origin(i) for i in range(len(each))] == each
+        a = draw.randint(0, len(each))
+        b = draw.randint(a, len(each))
+        assert [(p + i, p + i + w) for n, p, w in (runs.part(a, b) if a < b else ()) for i in range(n)] == each[a:b]
+
+
+def test_one_escape_in_a_long_text_takes_three_runs():
+    layer = secret_scan._rewritten(secret_scan.Layer(b"plain words " * 100_000 + b"%41" + b" more words" * 100_000), secret_scan._URL, secret_scan._url)
+    assert len(layer.begin.start) == 3 and layer.span(1_200_000, 1_200_001) == (1_200_000, 1_200_003) and layer.span(5, 1_200_002) == (5, 1_200_004)
+    text = "x " * 50_000 + "%74oken=%61bcdef%312" + " y" * 50_000
+    assert secret_scan.scan(text)[1] == [(100_000, "assign", 100_020)]
