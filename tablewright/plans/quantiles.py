@@ -13,14 +13,19 @@ from __future__ import annotations
 
 from math import ceil, floor, sqrt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import at, double_sql, number
+from ..session import written
 
 SMALL = 50_000         # values a single aggregate buffer may hold
 ACCURACY = 10_000      # sketch accuracy of the narrowing passes
 SAMPLES = (100_000, 1_000_000)   # sampled values per pass: a tenth of the rest between these bounds
 COLUMNS_PER_PASS = 60  # expressions per job stay bounded for wide tables
+PARTS = 256            # parts of a range counted in one pass of the grouped search
+WIDE = 1_000.0         # ranges whose ends differ by a greater factor are parted by logarithm
+FEW = 50_000           # groups or ranges that may be broadcast: three numbers and a group each
+SALTS = 32             # pieces of a group where there are more ranges than that
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], small: int = SMALL,
@@ -165,20 +170,80 @@ def _ends(df, span):
 
 def grouped_quantiles(df: DataFrame, group: str, column: str, probs: list[float],
                       small: int = SMALL) -> DataFrame:
-    """``group, n, q`` (array of quantiles). Groups above ``small`` rows are narrowed one batch
-    of groups at a time; all others share one aggregate."""
+    """``group, n, q`` (array of exact quantiles) of every group that has values; rows without group or value take no part.
+
+    Groups of up to ``small`` values share one aggregate. All greater ones are searched together: their wanted ranks are a
+    table of open ranges, and each pass counts the values of all ranges in ``PARTS`` parts and keeps the part that holds the
+    rank. Plan and driver see neither groups nor values, however many groups are great."""
     v = number(df, column)
     slim = df.select(at(group).alias("g"), v.alias("v")).where(F.col("v").isNotNull() & F.col("g").isNotNull())
-    hot = [r["g"] for r in slim.groupBy("g").count().where(F.col("count") > small).select("g").toLocalIterator()]
-    rest = slim.where(~F.col("g").isin(hot)) if hot else slim
+    sizes = written(slim.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
     levels = F.array(*[F.lit(float(p)) for p in probs])
+    great = sizes.where(F.col("n") > small)
+    few, some = _few(great), not great.isEmpty()
+    rest = slim.join(few(great.select("g")), "g", "left_anti") if some else slim
     out = rest.groupBy("g").agg(F.count("v").alias("n"), F.percentile("v", levels).alias("q"))
-    if hot:
-        exprs = {str(i): F.when(F.col("g") == F.lit(g), F.col("v")) for i, g in enumerate(hot)}
-        solved = expression_quantiles(slim.where(F.col("g").isin(hot)), exprs, probs, small)
-        sizes = slim.where(F.col("g").isin(hot)).groupBy("g").agg(F.count("v").alias("n"))
-        pick = F.lit(None).cast("array<double>")
-        for i, g in enumerate(hot):
-            pick = F.when(F.col("g") == F.lit(g), F.array(*[F.lit(x) for x in solved[str(i)]])).otherwise(pick)
-        out = out.unionByName(sizes.select("g", "n", pick.alias("q")))
+    if some:
+        ends = F.flatten(F.transform(levels, lambda p: F.array(F.floor(_place(p)), F.ceil(_place(p)))))
+        ranks = great.select("g", F.explode(F.array_distinct(ends)).alias("r"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+        held = _ranked(slim, ranks, small).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("r", "value"))).alias("held"))   # two entries a quantile
+        low, high = lambda p: F.col("held")[F.floor(_place(p))], lambda p: F.col("held")[F.ceil(_place(p))]
+        weight = lambda p: _place(p) - F.floor(_place(p))
+        mixed = F.transform(levels, lambda p: F.when((weight(p) == 0) | (low(p) == high(p)), low(p)).otherwise(low(p) + (high(p) - low(p)) * weight(p)))
+        out = out.unionByName(great.join(held, "g").select("g", "n", mixed.alias("q")))
     return out.withColumnRenamed("g", group)
+
+
+def _place(p: Column) -> Column:
+    return (F.col("n") - 1) * p
+
+
+def _few(table: DataFrame):
+    """``broadcast`` where the table was counted to be small, else nothing."""
+    return F.broadcast if table.limit(FEW + 1).count() <= FEW else lambda t: t
+
+
+def _part(lo: Column, hi: Column) -> Column:
+    """Number of the part of ``[lo, hi]`` that holds ``v``; never falls as ``v`` grows, and differs between the two ends.
+
+    Ranges over zero or with infinite ends are parted by sign first, wide ones by logarithm, others evenly."""
+    v, size = F.col("v"), lambda x: F.ln(F.abs(x))
+    endless = [F.lit(float("-inf")), F.lit(float("inf"))]
+    sign = F.when(v == endless[0], -2).when(v == endless[1], 2).otherwise(F.signum(v))
+    wide = F.greatest(F.abs(lo), F.abs(hi)) / F.least(F.abs(lo), F.abs(hi)) > WIDE
+    even = (v - lo) / (hi - lo)
+    return (F.when(((lo <= 0) & (hi >= 0)) | (lo == endless[0]) | (hi == endless[1]), sign)
+            .otherwise(F.floor(PARTS * F.when(wide, (size(v) - size(lo)) / (size(hi) - size(lo))).otherwise(even)))).cast("int")
+
+
+def _met(slim: DataFrame, spans: DataFrame) -> DataFrame:
+    """The values inside each range of their group. Many ranges are dealt over salts, as their groups are the great ones."""
+    if spans.limit(FEW + 1).count() <= FEW:
+        met = slim.join(F.broadcast(spans), "g")
+    else:
+        salted = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = slim.withColumn("salt", (F.rand(11) * SALTS).cast("int")).join(salted, ["g", "salt"]).drop("salt")
+    return met.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+
+
+def _ranked(slim: DataFrame, ranks: DataFrame, small: int) -> DataFrame:
+    """(g, r, value): the value at each 0-based rank of its group; ``ranks`` has (g, r, lo, hi, below, inside)."""
+    span = ["g", "lo", "hi"]
+    state = written(ranks)
+    while True:
+        wide = (F.col("lo") < F.col("hi")) & (F.col("inside") > small)
+        todo = state.where(wide)
+        if todo.isEmpty():
+            break
+        parts = (_met(slim, todo.select(*span).distinct()).groupBy(*span, _part(F.col("lo"), F.col("hi")).alias("part"))
+                 .agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("least"), F.max("v").alias("most")))
+        before = Window.partitionBy(*span).orderBy("part")         # at most PARTS + 1 rows a range
+        parts = parts.withColumn("before", F.sum("m").over(before) - F.col("m"))
+        inside = (F.col("r") - F.col("below") >= F.col("before")) & (F.col("r") - F.col("below") < F.col("before") + F.col("m"))
+        found = todo.join(parts, span).where(inside).select("g", "r", F.col("least").alias("lo"), F.col("most").alias("hi"),
+                                                            (F.col("below") + F.col("before")).alias("below"), F.col("m").alias("inside"))
+        state = written(state.where(~wide).unionByName(found))
+    short = state.where(F.col("lo") < F.col("hi"))
+    values = _met(slim, short.select(*span).distinct()).groupBy(*span).agg(F.sort_array(F.collect_list("v")).alias("vs"))     # at most `small` values
+    picked = short.join(values, span).select("g", "r", F.get("vs", (F.col("r") - F.col("below")).cast("int")).alias("value"))
+    return state.where(F.col("lo") == F.col("hi")).select("g", "r", F.col("lo").alias("value")).unionByName(picked)

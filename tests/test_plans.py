@@ -41,6 +41,33 @@ def test_grouped_quantiles_with_hot_group(skewed):
         assert np.allclose(got[g], np.quantile(part["v"], [0.25, 0.5]))
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_many_great_groups_are_searched_together(spark, monkeypatch, few):
+    """Ties, both signs, infinite ends, zeros of both signs and sixty orders of magnitude; ranges broadcast or salted."""
+    monkeypatch.setattr(q, "FEW", few)
+    monkeypatch.setattr(q, "SALTS", 4)
+    rng = random.Random(5)
+    shapes = [lambda: rng.gauss(0, 1), lambda: 10.0 ** rng.uniform(-30, 30), lambda: -(10.0 ** rng.uniform(-300, 300)), lambda: float(rng.randint(-2, 2)),
+              lambda: rng.choice([0.0, -0.0, 5e-324, 1e300]), lambda: rng.choice([float("inf"), float("-inf"), rng.random()]), lambda: 7.0]
+    rows = [(f"g{j}", shapes[j % len(shapes)]()) for j in range(40) for _ in range(60 if j % 3 else 5)] + [(None, 1.0), ("g0", None), ("none", None), ("g0", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: (r["n"], r["q"]) for r in q.grouped_quantiles(df, "g", "v", probs, small=10).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "v"]).dropna()
+    assert set(got) == set(pdf["g"])
+    for g, part in pdf.groupby("g"):
+        v = np.sort(part["v"].to_numpy())
+        places = [(len(v) - 1) * p for p in probs]
+        want = [v[int(h)] if h == int(h) or v[int(h)] == v[int(h) + 1] else v[int(h)] + (v[int(h) + 1] - v[int(h)]) * (h - int(h)) for h in places]
+        assert got[g][0] == len(v)
+        np.testing.assert_allclose(got[g][1], want, rtol=1e-12)
+
+
+def test_grouped_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0), ("a", None)], "g string, v double")
+    assert q.grouped_quantiles(df, "g", "v", [0.5], small=1).count() == 0
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 @pytest.mark.parametrize("m", [0, 1, 1234, 3000, 5000])
 def test_hash_cut_takes_the_first_rows_of_the_digest_order(skewed, parts, m):
