@@ -8,6 +8,7 @@ from ..functions.columns import at, missing, number
 from ..functions.draws import uniform
 from ..plans.positions import hash_cut
 from ..plans.quantiles import quantiles
+from ..session import written
 from .augment import features, repeat_rows
 from .infer import target_is_class_like
 from .neighbours import knn_join, vectors
@@ -58,7 +59,8 @@ def oversample_random(df: DataFrame, target: str, keys: list[str], wanted: dict
 def smote_rows(df: DataFrame, target: str, key: str, wanted: dict | DataFrame | None = None, k: int | None = None, seed: int = 42) -> DataFrame:
     """New rows only: each lies between a row and one of its ``k`` nearest rows of the same class.
 
-    Non-numeric columns and the key come from the seed row. Neighbours are sought class by class, one job each."""
+    Non-numeric columns and the key come from the seed row. Neighbours of all growing classes are sought by the same
+    jobs, each class being a group of the neighbour join."""
     goals = class_goals(df, target, wanted)
     least = goals.agg(F.min("n")).first()[0]
     cols = [c for c in features(df, [key]) if c != target]
@@ -66,14 +68,13 @@ def smote_rows(df: DataFrame, target: str, key: str, wanted: dict | DataFrame |
         return df.limit(0)
     k = k or max(1, min(3, least - 1))
     rows, most = _copies(df, target, [key], goals, seed)
-    found = None
-    for c in [r["_g"] for r in goals.where(F.col("wanted") > F.col("n")).select("_g").toLocalIterator()]:
-        part = vectors(df.where(at(target) == F.lit(c)).na.fill(0.0, cols), key, cols)
-        near = knn_join(part, part, k, exclude_self=True)
-        lists = near.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"]).alias("near"))
-        found = lists if found is None else found.unionByName(lists)
-    if found is None:
+    if not most:
         return df.limit(0)
+    growing = goals.where(F.col("wanted") > F.col("n")).select("_g")
+    members = df.join(growing, at(target) == F.col("_g"), "left_semi").na.fill(0.0, cols)
+    part = written(vectors(members.withColumn("_g", F.md5(at(target).cast("string"))), key, cols, group="_g"))
+    near = knn_join(part, part, k, exclude_self=True)
+    found = near.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"]).alias("near"))
     seeds = repeat_rows(rows, F.col("_copies"), most, "_copy").join(found.withColumnRenamed("id", "_id"), at(key) == F.col("_id"), "left")
     draw = [at(key), F.col("_copy")]
     pick = F.floor(uniform(draw, seed, "neighbour") * F.size("near")).cast("int")

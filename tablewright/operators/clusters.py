@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import at, number, numeric_columns
 from ..plans.positions import ordered_positions
 from ..session import written
-from .neighbours import _candidates, _distances, _merged, _prepare, _query_groups, eps_counts, knn_join, members_of, nothing
+from .neighbours import _blocks, _distances, _merged, _together, candidates, eps_counts, grow, knn_join, members_of, nothing
 from .prep import impute_median, scale_standard
 from .profile import basics, centred, literal_rows
 from .select import inf_to_null
@@ -85,9 +85,8 @@ def dbscan_parameters(prepared: DataFrame, key: str) -> tuple[float, int]:
 
 def _core_links(core: DataFrame, eps: float) -> DataFrame:
     """Edges that join the same rows as all pairs within ``eps`` do: each task sends a spanning forest of its block only."""
-    pivots, cells, chunks, placed = _prepare(core)
-    grouped, sizes = _query_groups(_candidates(_merged(core).select("vid", "x"), pivots, cells, chunks, None, eps))
-    spread = placed.join(sizes, ["cell", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tree = grow(core)
+    dealt, spread = _blocks(candidates(_merged(core), tree, radius=eps).select("vid", "x", "cell"), tree.leaves.select("cell", "vid", "x"))
 
     def forest(key, left, right):
         if left.empty or right.empty:
@@ -111,8 +110,7 @@ def _core_links(core: DataFrame, eps: float) -> DataFrame:
                         queue.append(m)
         return pd.DataFrame({"a": np.array([e[0] for e in out], dtype=object), "b": np.array([e[1] for e in out], dtype=object)})
 
-    return (grouped.groupBy("cell", "chunk", "part").cogroup(spread.select("cell", "chunk", "part", "vid", "x").groupBy("cell", "chunk", "part"))
-            .applyInPandas(forest, "a string, b string").where("a <> b"))
+    return _together(dealt, spread, forest, "a string, b string").where("a <> b")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -156,9 +154,8 @@ def cluster_dbscan(pts: DataFrame, eps: float, min_points: int) -> DataFrame:
 
 def _border(rest: DataFrame, core: DataFrame, by_vector: DataFrame, eps: float) -> DataFrame:
     """(id, label) of non-core rows near a core row: the least label; one row per query leaves a task."""
-    pivots, cells, chunks, placed = _prepare(core)
-    grouped, sizes = _query_groups(_candidates(_merged(rest).select("vid", "x"), pivots, cells, chunks, None, eps))
-    spread = placed.join(by_vector, "vid").join(sizes, ["cell", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tree = grow(core)
+    dealt, spread = _blocks(candidates(_merged(rest), tree, radius=eps).select("vid", "x", "cell"), tree.leaves.join(by_vector, "vid").select("cell", "vid", "x", "label"))
     kind = by_vector.schema["label"].dataType.simpleString()
 
     def least(key, left, right):
@@ -169,8 +166,7 @@ def _border(rest: DataFrame, core: DataFrame, by_vector: DataFrame, eps: float)
         rows = np.nonzero(near.any(axis=1))[0]
         return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "label": [lab[near[i]].min() for i in rows]})
 
-    labels = (grouped.groupBy("cell", "chunk", "part").cogroup(spread.select("cell", "chunk", "part", "vid", "x", "label").groupBy("cell", "chunk", "part"))
-              .applyInPandas(least, f"vid string, label {kind}").groupBy("vid").agg(F.min("label").alias("label")))
+    labels = _together(dealt, spread, least, f"vid string, label {kind}").groupBy("vid").agg(F.min("label").alias("label"))
     return members_of(rest).join(labels, "vid").select("id", "label")
 
 

@@ -1,13 +1,19 @@
 """Exact nearest-neighbour and radius joins over numeric vectors.
 
-No pair is shuffled. Equal vectors are merged first. Rows are assigned to the nearest of a
-few hundred pivots; a query visits only cells that the triangle inequality cannot rule
-out. Cells are cut into chunks of bounded size, so a crowded cell is many small tasks, and
-each task returns at most ``k`` rows (or one count) per query.
+No pair is shuffled. Equal vectors are merged first. The vectors grow a metric tree: a cell of
+more than ``CHUNK`` vectors is parted among pivots of its own, level by level, until every leaf
+is small, so the number of leaves grows with the table and neither leaves nor pivots pass
+through the driver. A query first falls to its own leaf, whose k-th distance bounds it, and
+then descends again into all cells that the triangle inequality cannot rule out under that
+bound. Each task compares at most ``CHUNK`` queries with one leaf and returns at most ``k`` rows
+(or one count) per query. Points may carry a group ``g`` (text without ``/``): every group has
+a tree of its own, all grown and searched by the same jobs, and only meets itself.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,8 +22,11 @@ from ..functions.columns import at
 from ..functions.draws import digest
 from ..session import written
 
-PIVOTS = 64
-CHUNK = 4_000   # vectors per side of one task's distance block
+PIVOTS = 64     # children of a cell
+CHUNK = 4_000   # vectors of a leaf, and queries that meet it in one task
+FEW = 200_000   # cells whose names and sizes may be broadcast
+ROOT = "r"
+BLOCK = ["cell", "part"]
 
 
 def nothing(**kinds) -> pd.DataFrame:
@@ -25,29 +34,29 @@ def nothing(**kinds) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([], dtype=k) for c, k in kinds.items()})
 
 
-def vectors(df: DataFrame, key: str, columns: list[str] | None = None, array: str | None = None) -> DataFrame:
-    """(id, x): the key and the coordinates as ``array<double>``."""
+def vectors(df: DataFrame, key: str, columns: list[str] | None = None, array: str | None = None, group: str | None = None) -> DataFrame:
+    """(id, x[, g]): the key, the coordinates as ``array<double>`` and the group within which neighbours are sought."""
     x = at(array).cast("array<double>") if array else F.array(*[at(c).cast("double") for c in columns])
-    return df.select(at(key).alias("id"), x.alias("x"))
+    return df.select(at(key).alias("id"), x.alias("x"), *([at(group).alias("g")] if group else []))
 
 
-def vector_id() -> Column:
-    """Digest that names a vector; -0.0 is 0.0, as in grouping."""
-    return F.md5(F.concat_ws(",", F.transform("x", lambda v: (v + F.lit(0.0)).cast("string"))))
+def _root(points: DataFrame) -> Column:
+    return at("g") if "g" in points.columns else F.lit(ROOT)
 
 
-def members_of(points: DataFrame) -> DataFrame:
-    return points.withColumn("vid", vector_id())
+def vector_id(root: Column) -> Column:
+    """Digest that names a vector of a group; -0.0 is 0.0, as in grouping."""
+    return F.md5(F.concat_ws(",", root, F.transform("x", lambda v: (v + F.lit(0.0)).cast("string"))))
 
 
-def _merged(points: DataFrame) -> DataFrame:
-    """One row per distinct vector: its digest, how many rows share it and their least id."""
-    return points.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).withColumn("vid", vector_id())
+def members_of(points: DataFrame) -> DataFrame:
+    return points.withColumn("vid", vector_id(_root(points)))
 
 
-def _pivots(points: DataFrame, n: int) -> np.ndarray:
-    rows = points.orderBy(digest(["vid"], 42, "pivot")).limit(n).select("x").collect()
-    return np.array([r["x"] for r in rows], dtype=float)
+def _merged(points: DataFrame) -> DataFrame:
+    """One row per distinct vector, in the root cell of its group: its digest, how many rows share it and their least id."""
+    return (points.groupBy(_root(points).alias("cell"), "x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+            .withColumn("vid", vector_id(F.col("cell"))))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,93 +69,164 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _assigned(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot ``cell`` and the distance to it, ``reach``."""
-    kept = [f for f in points.schema]
-    def assign(batches):
-        for b in batches:
-            d = _distances(np.array(b["x"].tolist(), dtype=float).reshape(len(b), -1), pivots) if len(b) else np.empty((0, len(pivots)))
-            yield b.assign(cell=d.argmin(axis=1).astype("int64") if len(b) else [], reach=d.min(axis=1) if len(b) else [])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", cell long, reach double"
-    return points.mapInPandas(assign, schema)
-
-
-def _candidates(queries: DataFrame, pivots: np.ndarray, cells: dict[int, tuple], chunks: dict[int, int], k: int | None, radius: float | None) -> DataFrame:
-    """(vid, x, cell, chunk) for every cell a query may have a neighbour in.
-
-    With ``k``: all rows of cell j lie within ``d + R_j``, so the smallest bound that covers k rows is
-    an upper limit; cells whose nearest possible row is farther are skipped. With ``radius`` that is the limit."""
-    ids = np.array(sorted(cells))
-    size = np.array([cells[i][0] for i in ids], dtype=float)
-    far = np.array([cells[i][1] for i in ids])
-    near = np.array([cells[i][2] for i in ids])
-
-    def find(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            d = _distances(np.array(b["x"].tolist(), dtype=float), pivots)
-            own = d.min(axis=1)
-            d = d[:, ids]
-            if radius is not None:
-                limit = np.full(len(b), radius)
-            else:
-                upper = d + far
-                order = upper.argsort(axis=1)
-                filled = np.take_along_axis(np.broadcast_to(size, d.shape), order, 1).cumsum(axis=1) >= k
-                pos = np.where(filled.any(axis=1), filled.argmax(axis=1), d.shape[1] - 1)
-                limit = np.take_along_axis(np.take_along_axis(upper, order, 1), pos[:, None], 1)[:, 0]
-            # distance to cell j is at least |d - ring of radii| and at least half the gap between pivots' distances
-            low = np.maximum(np.maximum(d - far, near - d), (d - own[:, None]) / 2)
-            rows, cols = np.nonzero(low <= limit[:, None] * (1 + 1e-12) + 1e-12)
-            cell = ids[cols]
-            times = np.array([chunks[c] for c in cell])
-            pick = np.repeat(np.arange(len(cell)), times)
-            chunk = np.concatenate([np.arange(t) for t in times]) if len(times) else np.empty(0, int)
-            yield pd.DataFrame({"vid": b["vid"].to_numpy()[rows[pick]], "x": b["x"].to_numpy()[rows[pick]], "cell": cell[pick], "chunk": chunk})
-    return queries.mapInPandas(find, "vid string, x array<double>, cell long, chunk long")
-
-
-def _prepare(base: DataFrame):
-    """Merged, assigned and written base with its pivots, cells (rows, farthest, nearest) and chunk counts."""
-    merged = _merged(base)
-    pivots = _pivots(merged, PIVOTS)
-    if not len(pivots):
-        return None
-    fixed = written(_assigned(merged, pivots))
-    stats = fixed.groupBy("cell").agg(F.sum("n"), F.max("reach"), F.min("reach"), F.count(F.lit(1))).collect()   # one row per pivot
-    cells = {r[0]: (r[1], r[2], r[3]) for r in stats}
-    chunks = {r[0]: -(-r[4] // CHUNK) for r in stats}
-    counts = F.create_map(*[F.lit(v) for pair in chunks.items() for v in pair])
-    placed = fixed.withColumn("chunk", F.pmod(F.xxhash64("vid"), counts[F.col("cell")].cast("long")))
-    return pivots, cells, chunks, placed
+def _few(cells: DataFrame):
+    """``broadcast`` where the cells were counted to be few, else nothing: the join is a shuffle that adaptive execution may split."""
+    return F.broadcast if cells.limit(FEW + 1).count() <= FEW else lambda d: d
+
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=float).reshape(len(column), -1)
+
 
+def _blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add ``part`` to both sides: a cell's left rows are dealt over parts of about ``CHUNK`` rows, its right rows go to each part."""
+    left = written(left)
+    sizes = written(left.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("parts")))
+    hint = _few(sizes)
+    dealt = left.join(hint(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts"))).drop("parts")
+    spread = right.join(hint(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return dealt, spread
+
+
+def _together(dealt: DataFrame, spread: DataFrame, work, schema: str) -> DataFrame:
+    return dealt.groupBy(*BLOCK).cogroup(spread.groupBy(*BLOCK)).applyInPandas(work, schema)
+
+
+@dataclass
+class Tree:
+    """``leaves`` (cell, x, n, least, vid); ``levels``: per level the children (cell = parent, j, child, centre, rows, far, near)."""
+    leaves: DataFrame
+    levels: list[DataFrame]
+
+
+def grow(base: DataFrame) -> Tree | None:
+    """The metric tree of (id, x[, g]); nothing if there are no rows."""
+    rows = written(_merged(base))
+    if rows.isEmpty():
+        return None
+    kind = base.schema["id"].dataType.simpleString()
+    leaves, levels = None, []
+    while True:
+        great = written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CHUNK).select("cell"))
+        if great.isEmpty():
+            break
+        hint = _few(great)
+        small = rows.join(hint(great), "cell", "left_anti")
+        leaves = small if leaves is None else leaves.unionByName(small)
+        rows = rows.join(hint(great), "cell", "left_semi")
+        first = Window.partitionBy("cell").orderBy(digest(["vid"], 42, "pivot"))       # cut before the shuffle
+        pivots = written(rows.withColumn("j", F.row_number().over(first) - 1).where(F.col("j") < max(2, PIVOTS)).select("cell", "j", F.col("x").alias("centre")))
+        dealt, spread = _blocks(rows, pivots)
+        rows = written(_together(dealt, spread, _nearest_child, f"parent string, j int, cell string, reach double, x array<double>, n long, least {kind}, vid string"))
+        stats = rows.groupBy("parent", "j").agg(F.first("cell").alias("child"), F.sum("n").alias("rows"), F.max("reach").alias("far"), F.min("reach").alias("near"))
+        levels.append(written(pivots.withColumnRenamed("cell", "parent").join(stats, ["parent", "j"]).withColumnRenamed("parent", "cell")))
+        rows = rows.drop("parent", "j", "reach")
+    return Tree(rows if leaves is None else leaves.unionByName(rows), levels)
+
+
+def _nearest_child(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Vectors with the child whose pivot is nearest; equal distances are dealt by digest, so a cell always shrinks."""
+    if left.empty or right.empty:
+        return nothing(parent=object, j="int32", cell=object, reach=float, x=object, n="int64", least=object, vid=object)
+    right = right.sort_values("j")
+    d = _distances(_vectors(left["x"]), _vectors(right["centre"]))
+    least = d.min(axis=1)
+    tied = d <= least[:, None]
+    tied[~tied.any(axis=1)] = True          # distances that are no numbers
+    nth = np.array([int(v[:8], 16) for v in left["vid"]]) % tied.sum(axis=1)
+    j = (tied.cumsum(axis=1) == nth[:, None] + 1).argmax(axis=1)
+    j = right["j"].to_numpy()[j].astype("int32")
+    return pd.DataFrame({"parent": left["cell"].to_numpy(), "j": j, "cell": [f"{c}/{i}" for c, i in zip(left["cell"], j)], "reach": least,
+                         "x": left["x"].to_numpy(), "n": left["n"].to_numpy(), "least": left["least"].to_numpy(), "vid": left["vid"].to_numpy()})
+
+
+def _limits(d: np.ndarray, far: np.ndarray, rows: np.ndarray, need: int) -> np.ndarray:
+    """All rows of a cell lie within ``d + far``; the least such limit that covers ``need`` rows (none: infinite)."""
+    upper = d + far
+    order = upper.argsort(axis=1)
+    filled = rows[order].cumsum(axis=1) >= need
+    limit = np.take_along_axis(np.take_along_axis(upper, order, 1), filled.argmax(axis=1)[:, None], 1)[:, 0]
+    return np.where(filled.any(axis=1), limit, np.inf)
+
+
+ASKED = "vid string, x array<double>, cell string, bound double"
+
+
+def _level(asked: DataFrame, level: DataFrame, step) -> tuple[DataFrame, DataFrame]:
+    """(queries whose cell is a leaf, the others moved to children of their cells by ``step``)."""
+    parents = level.select("cell").distinct()
+    hint = _few(parents)
+    dealt, spread = _blocks(asked.join(hint(parents), "cell", "left_semi").select("vid", "x", "cell", "bound"), level)
+    return asked.join(hint(parents), "cell", "left_anti").select("vid", "x", "cell", "bound"), written(_together(dealt, spread, step, ASKED))
+
+
+def _descended(asked: DataFrame, levels: list[DataFrame], step) -> DataFrame:
+    ended = None
+    for level in levels:
+        still, asked = _level(asked, level, step)
+        ended = still if ended is None else ended.unionByName(still)
+    return asked if ended is None else ended.unionByName(asked)
+
+
+def _bounded(asked: DataFrame, tree: Tree, need: int) -> DataFrame:
+    """(vid, bound): a distance within which each query has ``need`` rows, from the way to its own leaf and that leaf's rows."""
+    def own(key, left, right):
+        if left.empty or right.empty:
+            return nothing(vid=object, x=object, cell=object, bound=float)
+        d = _distances(_vectors(left["x"]), _vectors(right["centre"]))
+        bound = np.minimum(left["bound"].to_numpy(), _limits(d, right["far"].to_numpy(), right["rows"].to_numpy(), need))
+        return pd.DataFrame({"vid": left["vid"], "x": left["x"], "cell": right["child"].to_numpy()[d.argmin(axis=1)], "bound": bound})
+
+    def tighter(key, left, right):
+        if left.empty:
+            return nothing(vid=object, bound=float)
+        bound = left["bound"].to_numpy()
+        if len(right):
+            bound = np.minimum(bound, _limits(_distances(_vectors(left["x"]), _vectors(right["x"])), np.zeros(len(right)), right["n"].to_numpy(), need))
+        return pd.DataFrame({"vid": left["vid"].to_numpy(), "bound": bound})
+
+    dealt, spread = _blocks(_descended(asked, tree.levels, own), tree.leaves.select("cell", "x", "n"))
+    return _together(dealt, spread, tighter, "vid string, bound double")
+
+
+def candidates(queries: DataFrame, tree: Tree, need: int | None = None, radius: float | None = None) -> DataFrame:
+    """(vid, x, cell, bound): every leaf in which a query may have one of its ``need`` nearest rows, or a row within ``radius``.
+
+    ``queries`` are merged vectors in their root cells."""
+    asked = written(queries.select("vid", "x", "cell", F.lit(np.inf if radius is None else radius).alias("bound")))
+    if not tree.levels:
+        return asked
+    if radius is None:
+        asked = asked.drop("bound").join(_bounded(asked, tree, need), "vid").select("vid", "x", "cell", "bound")
+
+    def reached(key, left, right):
+        if left.empty or right.empty:
+            return nothing(vid=object, x=object, cell=object, bound=float)
+        d = _distances(_vectors(left["x"]), _vectors(right["centre"]))
+        far, near, limit = right["far"].to_numpy(), right["near"].to_numpy(), left["bound"].to_numpy()[:, None]
+        # distance to a cell is at least |d - ring of radii| and at least half the gap between pivots' distances
+        low = np.maximum(np.maximum(d - far, near - d), (d - d.min(axis=1)[:, None]) / 2)
+        rows, cols = np.nonzero(low <= limit * (1 + 1e-12) + 1e-12)
+        return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "x": left["x"].to_numpy()[rows], "cell": right["child"].to_numpy()[cols], "bound": left["bound"].to_numpy()[rows]})
 
-def _query_groups(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add ``part`` so that no task meets too many queries; also the parts per (cell, chunk)."""
-    fixed = written(candidates)
-    sizes = fixed.groupBy("cell", "chunk").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("parts"))
-    return fixed.join(sizes, ["cell", "chunk"]).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts"))).drop("parts"), sizes
+    return _descended(asked, tree.levels, reached)
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """(id, neighbour, distance, rank): the ``k`` nearest base rows of every query row.
+    """(id, neighbour, distance, rank): the ``k`` nearest base rows of every query row, of its own group where both sides have ``g``.
 
     Both inputs have (id, x). Ties go to the smaller neighbour id. ``exclude_self`` leaves out the row of the same id."""
     need = k + 1 if exclude_self else k
-    prepared = _prepare(base)
-    if prepared is None:
+    tree = grow(base)
+    if tree is None:
         kind = base.schema["id"].dataType.simpleString()
         return queries.sparkSession.createDataFrame([], f"id {queries.schema['id'].dataType.simpleString()}, neighbour {kind}, distance double, rank int")
-    pivots, cells, chunks, placed = prepared
-    asked = _merged(queries)
-    grouped, sizes = _query_groups(_candidates(asked.select("vid", "x"), pivots, cells, chunks, need, None))
-    spread = placed.join(sizes, ["cell", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt, spread = _blocks(candidates(_merged(queries), tree, need).select("vid", "x", "cell"), tree.leaves.select("cell", "vid", "x", "least"))
 
     def nearest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return nothing(vid=object, near=object, distance=float)
-        d = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float))
+        d = _distances(_vectors(left["x"]), _vectors(right["x"]))
         # `need` rows of a block are enough; among equal distances those with the least row id
         m = min(need, d.shape[1])
         by_id = right["least"].argsort(kind="stable").to_numpy()
@@ -156,8 +236,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = F
         rows, cols = np.nonzero(near | (tied & (tied.cumsum(axis=1) <= m - near.sum(axis=1, keepdims=True))))
         return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "near": right["vid"].to_numpy()[cols], "distance": d[rows, cols]})
 
-    found = (grouped.groupBy("cell", "chunk", "part").cogroup(spread.select("cell", "chunk", "part", "vid", "x", "least").groupBy("cell", "chunk", "part"))
-             .applyInPandas(nearest, "vid string, near string, distance double"))
+    found = _together(dealt, spread, nearest, "vid string, near string, distance double")
     # rows behind a vector: its first `need` ids are enough
     first = Window.partitionBy("vid").orderBy("id")
     few = members_of(base).withColumn("r", F.row_number().over(first)).where(F.col("r") <= need).select(F.col("vid").alias("near"), F.col("id").alias("neighbour"))
@@ -172,45 +251,37 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = F
 
 def eps_counts(points: DataFrame, eps: float) -> DataFrame:
     """(id, neighbours): rows within ``eps`` of each row, itself included; only counts leave a task. No rows give no rows."""
-    prepared = _prepare(points)
-    if prepared is None:
+    tree = grow(points)
+    if tree is None:
         return points.select("id", F.lit(0).cast("long").alias("neighbours"))
-    pivots, cells, chunks, placed = prepared
-    asked = _merged(points)
-    grouped, sizes = _query_groups(_candidates(asked.select("vid", "x"), pivots, cells, chunks, None, eps))
-    spread = placed.join(sizes, ["cell", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt, spread = _blocks(candidates(_merged(points), tree, radius=eps).select("vid", "x", "cell"), tree.leaves.select("cell", "vid", "x", "n"))
 
     def count(key, left, right):
         if left.empty or right.empty:
             return nothing(vid=object, n="int64")
-        d = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float))
+        d = _distances(_vectors(left["x"]), _vectors(right["x"]))
         return pd.DataFrame({"vid": left["vid"].to_numpy(), "n": ((d <= eps) * right["n"].to_numpy()[None, :]).sum(axis=1).astype("int64")})
 
-    counts = (grouped.groupBy("cell", "chunk", "part").cogroup(spread.select("cell", "chunk", "part", "vid", "x", "n").groupBy("cell", "chunk", "part"))
-              .applyInPandas(count, "vid string, n long").groupBy("vid").agg(F.sum("n").alias("neighbours")))
+    counts = _together(dealt, spread, count, "vid string, n long").groupBy("vid").agg(F.sum("n").alias("neighbours"))
     return members_of(points).join(counts, "vid").select("id", "neighbours")
 
 
 def eps_join(points: DataFrame, eps: float) -> DataFrame:
     """(left, right, distance) with left < right: every pair of rows within ``eps``. The result itself holds all such
     pairs; use ``eps_counts`` where only their number is wanted. No rows give no rows."""
-    prepared = _prepare(points)
-    if prepared is None:
+    tree = grow(points)
+    if tree is None:
         return points.select(F.col("id").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("distance"))
-    pivots, cells, chunks, placed = prepared
-    asked = _merged(points)
-    grouped, sizes = _query_groups(_candidates(asked.select("vid", "x"), pivots, cells, chunks, None, eps))
-    spread = placed.join(sizes, ["cell", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt, spread = _blocks(candidates(_merged(points), tree, radius=eps).select("vid", "x", "cell"), tree.leaves.select("cell", "vid", "x", "n"))
 
     def close(key, left, right):
         if left.empty or right.empty:
             return nothing(vid=object, near=object, distance=float)
-        d = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float))
+        d = _distances(_vectors(left["x"]), _vectors(right["x"]))
         rows, cols = np.nonzero(d <= eps)
         return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "near": right["vid"].to_numpy()[cols], "distance": d[rows, cols]})
 
-    pairs = (grouped.groupBy("cell", "chunk", "part").cogroup(spread.select("cell", "chunk", "part", "vid", "x").groupBy("cell", "chunk", "part"))
-             .applyInPandas(close, "vid string, near string, distance double"))
+    pairs = _together(dealt, spread, close, "vid string, near string, distance double")
     named = members_of(points).select("vid", "id")
     return (pairs.join(named.withColumnRenamed("id", "left"), "vid").join(named.select(F.col("vid").alias("near"), F.col("id").alias("right")), "near")
             .where("left < right").select("left", "right", "distance"))

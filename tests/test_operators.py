@@ -87,6 +87,37 @@ def test_neighbours_match_brute_force(spark, monkeypatch, chunk, pivots):
     assert pairs == {(i, j) for i in range(60) for j in range(i + 1, 60) if d[i, j] <= 0.8}
 
 
+def test_neighbours_of_groups_match_brute_force(spark, monkeypatch):
+    """Many groups in one join: deep trees, a third of the rows in one group, vectors shared between groups, queries of no group."""
+    monkeypatch.setattr(neighbours, "CHUNK", 12)
+    monkeypatch.setattr(neighbours, "PIVOTS", 5)
+    monkeypatch.setattr(neighbours, "FEW", 3)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 2, (150, 2)) * 4) / 4
+    x[-4:] = [[1e-200, 0.0], [2e-200, 0.0], [3e-200, 0.0], [4e-200, 0.0]]       # distances that vanish
+    g = ["hot" if i % 3 == 0 else f"g{i % 8}" for i in range(150)]
+    pts = spark.createDataFrame([(i, [float(v) for v in r], c) for (i, r), c in zip(enumerate(x), g)], "id long, x array<double>, g string")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = {(i, j) for i in range(150) for j in sorted((j for j in range(150) if j != i and g[i] == g[j]), key=lambda j: (d[i, j], j))[:3]}
+    asked = pts.unionByName(spark.createDataFrame([(999, [0.0, 0.0], "none")], pts.schema))
+    assert {(r.id, r.neighbour) for r in neighbours.knn_join(asked, pts, 3, exclude_self=True).collect()} == want
+    assert {r.id: r.neighbours for r in neighbours.eps_counts(pts, 1.0).collect()} == {i: sum(d[i, j] <= 1.0 for j in range(150) if g[i] == g[j]) for i in range(150)}
+
+
+def test_distances_a_row_hardly_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK", 100)
+    monkeypatch.setattr(neighbours, "PIVOTS", 16)
+    rng = np.random.default_rng(6)
+
+    def met(n):
+        pts = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(rng.random((n, 2)))], "id long, x array<double>")
+        tree = neighbours.grow(pts)
+        sizes = tree.leaves.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+        assert sizes.agg(F.max("m")).first()[0] <= 100 and tree.leaves.count() == n
+        return neighbours.candidates(neighbours._merged(pts), tree, 5).join(sizes, "cell").agg(F.sum("m")).first()[0] / n
+    assert met(8000) < 2 * met(800)
+
+
 def brute_dbscan(x, eps, least):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
     core, label, c = d.sum(1) >= least, np.full(len(x), -1), 0
