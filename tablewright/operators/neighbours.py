@@ -22,7 +22,8 @@ from ..functions.columns import at
 from ..functions.draws import digest
 from ..session import written
 
-PIVOTS = 64     # children of a cell
+PIVOTS = 64     # most children of a cell
+FANNED = 4      # children for each ``CHUNK`` vectors of a cell
 CHUNK = 4_000   # vectors of a leaf, and queries that meet it in one task
 FEW = 200_000   # cells whose names and sizes may be broadcast
 ROOT = "r"
@@ -107,16 +108,17 @@ def grow(base: DataFrame) -> Tree | None:
     kind = base.schema["id"].dataType.simpleString()
     leaves, levels = None, []
     while True:
-        great = written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CHUNK).select("cell"))
+        great = written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CHUNK))
         if great.isEmpty():
             break
         hint = _few(great)
         small = rows.join(hint(great), "cell", "left_anti")
         leaves = small if leaves is None else leaves.unionByName(small)
-        rows = rows.join(hint(great), "cell", "left_semi")
+        rows = rows.join(hint(great), "cell")
         first = Window.partitionBy("cell").orderBy(digest(["vid"], 42, "pivot"))       # cut before the shuffle
-        pivots = written(rows.withColumn("j", F.row_number().over(first) - 1).where(F.col("j") < max(2, PIVOTS)).select("cell", "j", F.col("x").alias("centre")))
-        dealt, spread = _blocks(rows, pivots)
+        wanted = F.least(F.lit(max(2, PIVOTS)), F.ceil(FANNED * F.col("m") / CHUNK))        # a quarter of a leaf's rows each, or the most
+        pivots = written(rows.withColumn("j", F.row_number().over(first) - 1).where(F.col("j") < max(2, PIVOTS)).where(F.col("j") < wanted).select("cell", "j", F.col("x").alias("centre")))
+        dealt, spread = _blocks(rows.drop("m"), pivots)
         rows = written(_together(dealt, spread, _nearest_child, f"parent string, j int, cell string, reach double, x array<double>, n long, least {kind}, vid string"))
         stats = rows.groupBy("parent", "j").agg(F.first("cell").alias("child"), F.sum("n").alias("rows"), F.max("reach").alias("far"), F.min("reach").alias("near"))
         levels.append(written(pivots.withColumnRenamed("cell", "parent").join(stats, ["parent", "j"]).withColumnRenamed("parent", "cell")))
