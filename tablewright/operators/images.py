@@ -1,6 +1,7 @@
 """Image operators over image columns (origin, height, width, nChannels, mode, data in BGR order).
 
-Kernels are numpy on one image at a time inside ``mapInPandas``; images never leave their task."""
+Kernels are numpy on one image at a time; images never leave their task. Changed images pass through plain Python UDFs, which
+hold some hundred rows of a task at a time whatever Arrow's batches are set to."""
 
 from __future__ import annotations
 
@@ -8,22 +9,21 @@ import zlib
 from math import cos, radians, sin
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import processed_name
 from ..session import written
-from ..sources.files import IMAGE_FIELDS
 
 # Integer weights of red, green and blue in grey, in 1/65536.
 GREY = (19595, 38470, 7471)
 NEUTRAL = {"rotation": 0, "flip": False, "brightness": 1.0, "noise_intensity": 15, "contrast": 1.0, "hue": 1.0}
 
 
-def to_array(row) -> np.ndarray:
+def pixels(data, height: int, width: int, channels: int) -> np.ndarray:
     """Height × width × channels, RGB order for colour images."""
-    a = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, row.nChannels)
-    return a[:, :, ::-1] if row.nChannels == 3 else a
+    a = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+    return a[:, :, ::-1] if channels == 3 else a
 
 
 def to_bytes(a: np.ndarray) -> bytes:
@@ -95,13 +95,15 @@ def augmented(a: np.ndarray, origin: str, options: dict) -> np.ndarray:
     return a
 
 
+def _changed(images: DataFrame, change) -> DataFrame:
+    """The images with ``change(array, origin)`` of each."""
+    run = F.udf(lambda origin, height, width, channels, data: to_bytes(change(pixels(data, height, width, channels), origin)), "binary", useArrow=False)
+    return images.select("origin", "height", "width", "nChannels", "mode", run("origin", "height", "width", "nChannels", "data").alias("data"))
+
+
 def image_augment(images: DataFrame, **options) -> DataFrame:
     """All chosen steps in one pass: rotation, flip, brightness, noise_intensity, contrast, hue."""
-    def run(batches):
-        for b in batches:
-            b["data"] = [to_bytes(augmented(to_array(r), r.origin, options)) for r in b.itertuples(index=False)]
-            yield b
-    return images.mapInPandas(run, IMAGE_FIELDS)
+    return _changed(images, lambda a, origin: augmented(a, origin, options))
 
 
 def image_rotate(images: DataFrame, angle: float) -> DataFrame:
@@ -125,11 +127,7 @@ def image_saturation(images: DataFrame, factor: float) -> DataFrame:
 
 
 def image_noise(images: DataFrame, intensity: float = 15) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            b["data"] = [to_bytes(noise(to_array(r), intensity, zlib.crc32(r.origin.encode()))) for r in b.itertuples(index=False)]
-            yield b
-    return images.mapInPandas(run, IMAGE_FIELDS)
+    return _changed(images, lambda a, origin: noise(a, intensity, zlib.crc32(origin.encode())))
 
 
 def image_histogram(images: DataFrame, bins: int = 32) -> DataFrame:
@@ -137,14 +135,16 @@ def image_histogram(images: DataFrame, bins: int = 32) -> DataFrame:
     def count(batches):
         for b in batches:
             total = {}
-            for r in b.itertuples(index=False):
-                a = to_array(r)
+            for i in range(b.num_rows):             # the pixels are read where they lie in the batch
+                a = pixels(b.column("data")[i].as_buffer(), *(b.column(c)[i].as_py() for c in ("height", "width", "nChannels")))
                 names = ("red", "green", "blue") if a.shape[2] == 3 else ("gray",)
-                for i, name in enumerate(names):
-                    h = np.histogram(a[:, :, i], bins=bins, range=(0, 255))[0]
+                for j, name in enumerate(names):
+                    h = np.histogram(a[:, :, j], bins=bins, range=(0, 255))[0]
                     total[name] = total.get(name, 0) + h
-            yield pd.DataFrame([(n, i, int(v)) for n, h in total.items() for i, v in enumerate(h)], columns=["channel", "bin", "n"])
-    return images.mapInPandas(count, "channel string, bin int, n long").groupBy("channel", "bin").agg(F.sum("n").alias("n"))
+            rows = [(n, j, int(v)) for n, h in total.items() for j, v in enumerate(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())],
+                                             names=["channel", "bin", "n"])
+    return images.select("height", "width", "nChannels", "data").mapInArrow(count, "channel string, bin int, n long").groupBy("channel", "bin").agg(F.sum("n").alias("n"))
 
 
 def image_resolutions(files: DataFrame, images: DataFrame) -> DataFrame:
