@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import at, number, numeric_columns
 from ..plans.positions import ordered_positions
 from ..session import written
-from .neighbours import _blocks, _distances, _merged, _together, candidates, eps_counts, grow, knn_join, members_of, nothing
+from .neighbours import _blocks, _merged, _together, _within, candidates, eps_counts, grow, knn_join, meetings, members_of, nothing
 from .prep import impute_median, scale_standard
 from .profile import basics, centred, literal_rows
 from .select import inf_to_null
@@ -86,12 +86,12 @@ def dbscan_parameters(prepared: DataFrame, key: str) -> tuple[float, int]:
 def _core_links(core: DataFrame, eps: float) -> DataFrame:
     """Edges that join the same rows as all pairs within ``eps`` do: each task sends a spanning forest of its block only."""
     tree = grow(core)
-    dealt, spread = _blocks(candidates(_merged(core), tree, radius=eps).select("vid", "x", "cell"), tree.leaves.select("cell", "vid", "x"))
+    dealt, spread = meetings(_merged(core), tree, ["vid", "x"], radius=eps)
 
     def forest(key, left, right):
         if left.empty or right.empty:
             return nothing(a=object, b=object)
-        near = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float)) <= eps
+        near = _within(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float), eps)
         a, b, out = left["vid"].to_numpy(), right["vid"].to_numpy(), []
         fresh_left, fresh_right = np.ones(len(a), bool), np.ones(len(b), bool)
         for root in range(len(a)):
@@ -155,13 +155,13 @@ def cluster_dbscan(pts: DataFrame, eps: float, min_points: int) -> DataFrame:
 def _border(rest: DataFrame, core: DataFrame, by_vector: DataFrame, eps: float) -> DataFrame:
     """(id, label) of non-core rows near a core row: the least label; one row per query leaves a task."""
     tree = grow(core)
-    dealt, spread = _blocks(candidates(_merged(rest), tree, radius=eps).select("vid", "x", "cell"), tree.leaves.join(by_vector, "vid").select("cell", "vid", "x", "label"))
+    dealt, spread = _blocks(candidates(_merged(rest), tree, radius=eps).select("vid", "x", "cell"), tree.leaves.join(by_vector, "vid").select("cell", "vid", "x", "label"), tree.block, stored=True)
     kind = by_vector.schema["label"].dataType.simpleString()
 
     def least(key, left, right):
         if left.empty or right.empty:
             return nothing(vid=object, label="int64")
-        near = _distances(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float)) <= eps
+        near = _within(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float), eps)
         lab = right["label"].to_numpy()
         rows = np.nonzero(near.any(axis=1))[0]
         return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "label": [lab[near[i]].min() for i in rows]})

@@ -6,7 +6,9 @@ is small, so the number of leaves grows with the table and neither leaves nor pi
 through the driver. A query first falls to its own leaf, whose k-th distance bounds it, and
 then descends again into all cells that the triangle inequality cannot rule out under that
 bound. Each task compares at most ``CHUNK`` queries with one leaf and returns at most ``k`` rows
-(or one count) per query. Points may carry a group ``g`` (text without ``/``): every group has
+(or one count) per query; vectors of many dimensions, which meet nearly all leaves, have greater
+leaves and blocks, so that fewer copies of them travel. A matrix product rules pairs out, a strip
+of distances at a time; those it leaves in doubt are measured. Points may carry a group ``g`` (text without ``/``): every group has
 a tree of its own, all grown and searched by the same jobs, and only meets itself.
 """
 
@@ -25,6 +27,10 @@ from ..session import written
 PIVOTS = 64     # most children of a cell
 FANNED = 4      # children for each ``CHUNK`` vectors of a cell
 CHUNK = 4_000   # vectors of a leaf, and queries that meet it in one task
+WIDE = 8        # dimensions beyond which cells hardly rule each other out
+GREAT = 8       # times ``CHUNK`` that a leaf of wide vectors holds; half as many queries meet it
+STRIP = 1 << 20  # distances held at once
+PAIRS = 1 << 22  # numbers held while single pairs are measured
 FEW = 200_000   # cells whose names and sizes may be broadcast
 ROOT = "r"
 BLOCK = ["cell", "part"]
@@ -70,6 +76,68 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pair_distances(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Euclidean distances of single pairs by direct differences."""
+    out, step = np.empty(len(rows)), max(1, PAIRS // max(1, a.shape[1]))
+    for i in range(0, len(rows), step):
+        d = a[rows[i:i + step]] - b[cols[i:i + step]]
+        out[i:i + step] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    return out
+
+
+def _strips(a: np.ndarray, b: np.ndarray):
+    """(rows, q, own, off) for strips of ``a``: ``q + own`` are squared distances to ``b``, none off by more than ``off``.
+
+    By one matrix product about the middle of ``b``; ``off`` also covers the rounding of ``_pair_distances``."""
+    with np.errstate(all="ignore"):
+        held = b[np.isfinite(b).all(axis=1)]
+        middle = held.mean(axis=0) if len(held) else np.zeros(b.shape[1])
+        b = b - middle
+        right = np.einsum("ij,ij->i", b, b)
+        b, top = np.vstack([b.T, right]), right.max(initial=0.0)
+        step = max(1, STRIP // max(1, b.shape[1]))
+        for i in range(0, len(a), step):
+            left = a[i:i + step] - middle
+            own = np.einsum("ij,ij->i", left, left)
+            off = 8 * (a.shape[1] + 8) * np.finfo(float).eps * (own + top)
+            yield slice(i, i + step), np.hstack([-2 * left, np.ones((len(left), 1))]) @ b, own, off
+
+
+def _near_pairs(a: np.ndarray, b: np.ndarray, bound: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of the pairs within each row's bound; at most the ``most`` nearest of a row, ties to the first column."""
+    found = []
+    for at, q, own, off in _strips(a, b):
+        limit = bound[at]
+        with np.errstate(all="ignore"):
+            doubt = ~(q > (limit * limit * (1 + 1e-12) - own + off)[:, None])           # what is no number stays
+            if most is not None and doubt.sum() > 4 * most * len(q):
+                kth = np.partition(q, min(most, q.shape[1]) - 1, axis=1)[:, min(most, q.shape[1]) - 1]
+                doubt &= ~(q > (kth + 2 * off)[:, None])
+            rows, cols = np.nonzero(doubt)
+            d = _pair_distances(a[at], b, rows, cols)
+            held = d <= limit[rows]
+        rows, cols, d = rows[held], cols[held], d[held]
+        if most is not None:
+            order = np.lexsort((cols, d, rows))
+            rows, cols, d = rows[order], cols[order], d[order]
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, dtype=int)
+            nth = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows))))
+            rows, cols, d = rows[nth < most], cols[nth < most], d[nth < most]
+        found.append((rows + at.start, cols, d))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which pairs lie within ``eps``: as ``_distances(a, b) <= eps``, a bit for each."""
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    for at, q, own, off in _strips(a, b):
+        with np.errstate(all="ignore"):
+            out[at] = q <= (eps * eps * (1 - 1e-12) - own - off)[:, None]
+            rows, cols = np.nonzero(~(out[at] | (q > (eps * eps * (1 + 1e-12) - own + off)[:, None])))
+            out[at][rows, cols] = _pair_distances(a[at], b, rows, cols) <= eps
+    return out
+
+
 def _few(cells: DataFrame):
     """``broadcast`` where the cells were counted to be few, else nothing: the join is a shuffle that adaptive execution may split."""
     return F.broadcast if cells.limit(FEW + 1).count() <= FEW else lambda d: d
@@ -79,10 +147,12 @@ def _vectors(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float).reshape(len(column), -1)
 
 
-def _blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add ``part`` to both sides: a cell's left rows are dealt over parts of about ``CHUNK`` rows, its right rows go to each part."""
-    left = written(left)
-    sizes = written(left.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("parts")))
+def _blocks(left: DataFrame, right: DataFrame, size: int | None = None, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Add ``part`` to both sides: a cell's left rows are dealt over parts of about ``size`` rows, its right rows go to each part.
+
+    ``stored``: the left rows are read from written tables as they are."""
+    left = left if stored else written(left)
+    sizes = written(left.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size or CHUNK)).alias("parts")))
     hint = _few(sizes)
     dealt = left.join(hint(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts"))).drop("parts")
     spread = right.join(hint(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
@@ -98,6 +168,8 @@ class Tree:
     """``leaves`` (cell, x, n, least, vid); ``levels``: per level the children (cell = parent, j, child, centre, rows, far, near)."""
     leaves: DataFrame
     levels: list[DataFrame]
+    block: int                  # queries that meet a leaf in one task
+    step: int                   # queries that meet a cell's children in one task
 
 
 def grow(base: DataFrame) -> Tree | None:
@@ -106,9 +178,11 @@ def grow(base: DataFrame) -> Tree | None:
     if rows.isEmpty():
         return None
     kind = base.schema["id"].dataType.simpleString()
+    wide = (rows.agg(F.max(F.size("x"))).first()[0] or 0) > WIDE
+    size, block, step, fanned = (GREAT * CHUNK, GREAT * CHUNK // 2, max(1, CHUNK // GREAT), FANNED / 2) if wide else (CHUNK, CHUNK, CHUNK, FANNED)
     leaves, levels = None, []
     while True:
-        great = written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CHUNK))
+        great = written(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > size))
         if great.isEmpty():
             break
         hint = _few(great)
@@ -116,14 +190,14 @@ def grow(base: DataFrame) -> Tree | None:
         leaves = small if leaves is None else leaves.unionByName(small)
         rows = rows.join(hint(great), "cell")
         first = Window.partitionBy("cell").orderBy(digest(["vid"], 42, "pivot"))       # cut before the shuffle
-        wanted = F.least(F.lit(max(2, PIVOTS)), F.ceil(FANNED * F.col("m") / CHUNK))        # a quarter of a leaf's rows each, or the most
+        wanted = F.least(F.lit(max(2, PIVOTS)), F.ceil(fanned * F.col("m") / size))        # a quarter of a leaf's rows each (wide: half), or the most
         pivots = written(rows.withColumn("j", F.row_number().over(first) - 1).where(F.col("j") < max(2, PIVOTS)).where(F.col("j") < wanted).select("cell", "j", F.col("x").alias("centre")))
         dealt, spread = _blocks(rows.drop("m"), pivots)
         rows = written(_together(dealt, spread, _nearest_child, f"parent string, j int, cell string, reach double, x array<double>, n long, least {kind}, vid string"))
         stats = rows.groupBy("parent", "j").agg(F.first("cell").alias("child"), F.sum("n").alias("rows"), F.max("reach").alias("far"), F.min("reach").alias("near"))
         levels.append(written(pivots.withColumnRenamed("cell", "parent").join(stats, ["parent", "j"]).withColumnRenamed("parent", "cell")))
         rows = rows.drop("parent", "j", "reach")
-    return Tree(rows if leaves is None else leaves.unionByName(rows), levels)
+    return Tree(rows if leaves is None else leaves.unionByName(rows), levels, block, step)
 
 
 def _nearest_child(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -154,18 +228,19 @@ def _limits(d: np.ndarray, far: np.ndarray, rows: np.ndarray, need: int) -> np.n
 ASKED = "vid string, x array<double>, cell string, bound double"
 
 
-def _level(asked: DataFrame, level: DataFrame, step) -> tuple[DataFrame, DataFrame]:
+def _level(asked: DataFrame, level: DataFrame, step, size: int) -> tuple[DataFrame, DataFrame]:
     """(queries whose cell is a leaf, the others moved to children of their cells by ``step``)."""
     parents = level.select("cell").distinct()
     hint = _few(parents)
-    dealt, spread = _blocks(asked.join(hint(parents), "cell", "left_semi").select("vid", "x", "cell", "bound"), level)
+    dealt, spread = _blocks(asked.join(hint(parents), "cell", "left_semi").select("vid", "x", "cell", "bound"), level, size, stored=True)
     return asked.join(hint(parents), "cell", "left_anti").select("vid", "x", "cell", "bound"), written(_together(dealt, spread, step, ASKED))
 
 
-def _descended(asked: DataFrame, levels: list[DataFrame], step) -> DataFrame:
+def _descended(asked: DataFrame, tree: Tree, step) -> DataFrame:
+    """``asked``, a written table, led down all levels: the parts of written tables that ended in a leaf."""
     ended = None
-    for level in levels:
-        still, asked = _level(asked, level, step)
+    for level in tree.levels:
+        still, asked = _level(asked, level, step, tree.step)
         ended = still if ended is None else ended.unionByName(still)
     return asked if ended is None else ended.unionByName(asked)
 
@@ -182,12 +257,19 @@ def _bounded(asked: DataFrame, tree: Tree, need: int) -> DataFrame:
     def tighter(key, left, right):
         if left.empty:
             return nothing(vid=object, bound=float)
-        bound = left["bound"].to_numpy()
+        bound = left["bound"].to_numpy().copy()
         if len(right):
-            bound = np.minimum(bound, _limits(_distances(_vectors(left["x"]), _vectors(right["x"])), np.zeros(len(right)), right["n"].to_numpy(), need))
+            n, m = right["n"].to_numpy(), min(need, len(right))
+            for at, q, own, off in _strips(_vectors(left["x"]), _vectors(right["x"])):
+                first = np.argpartition(q, m - 1, axis=1)[:, :m]            # more rows than these are never needed
+                upper = np.sqrt(np.maximum(np.take_along_axis(q, first, 1) + (own + off)[:, None], 0)) * (1 + 1e-12)
+                order = upper.argsort(axis=1)
+                filled = np.take_along_axis(n[first], order, 1).cumsum(axis=1) >= need
+                limit = np.where(filled.any(axis=1), np.take_along_axis(np.take_along_axis(upper, order, 1), filled.argmax(axis=1)[:, None], 1)[:, 0], np.inf)
+                bound[at] = np.fmin(bound[at], limit)
         return pd.DataFrame({"vid": left["vid"].to_numpy(), "bound": bound})
 
-    dealt, spread = _blocks(_descended(asked, tree.levels, own), tree.leaves.select("cell", "x", "n"))
+    dealt, spread = _blocks(_descended(asked, tree, own), tree.leaves.select("cell", "x", "n"), tree.block, stored=True)
     return _together(dealt, spread, tighter, "vid string, bound double")
 
 
@@ -199,7 +281,7 @@ def candidates(queries: DataFrame, tree: Tree, need: int | None = None, radius:
     if not tree.levels:
         return asked
     if radius is None:
-        asked = asked.drop("bound").join(_bounded(asked, tree, need), "vid").select("vid", "x", "cell", "bound")
+        asked = written(asked.drop("bound").join(_bounded(asked, tree, need), "vid").select("vid", "x", "cell", "bound"))
 
     def reached(key, left, right):
         if left.empty or right.empty:
@@ -211,7 +293,12 @@ def candidates(queries: DataFrame, tree: Tree, need: int | None = None, radius:
         rows, cols = np.nonzero(low <= limit * (1 + 1e-12) + 1e-12)
         return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "x": left["x"].to_numpy()[rows], "cell": right["child"].to_numpy()[cols], "bound": left["bound"].to_numpy()[rows]})
 
-    return _descended(asked, tree.levels, reached)
+    return _descended(asked, tree, reached)
+
+
+def meetings(queries: DataFrame, tree: Tree, right: list[str], need: int | None = None, radius: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Blocks of queries (vid, x, cell, bound) beside the ``right`` columns of the leaves in which they may have neighbours."""
+    return _blocks(candidates(queries, tree, need, radius), tree.leaves.select("cell", *right), tree.block, stored=True)
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
@@ -223,22 +310,20 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = F
     if tree is None:
         kind = base.schema["id"].dataType.simpleString()
         return queries.sparkSession.createDataFrame([], f"id {queries.schema['id'].dataType.simpleString()}, neighbour {kind}, distance double, rank int")
-    dealt, spread = _blocks(candidates(_merged(queries), tree, need).select("vid", "x", "cell"), tree.leaves.select("cell", "vid", "x", "least"))
+    dealt, spread = meetings(_merged(queries), tree, ["vid", "x", "least"], need)
+    kind = base.schema["id"].dataType.simpleString()
 
     def nearest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return nothing(vid=object, near=object, distance=float)
-        d = _distances(_vectors(left["x"]), _vectors(right["x"]))
-        # `need` rows of a block are enough; among equal distances those with the least row id
-        m = min(need, d.shape[1])
-        by_id = right["least"].argsort(kind="stable").to_numpy()
-        right, d = right.iloc[by_id], d[:, by_id]
-        cut = np.partition(d, m - 1, axis=1)[:, m - 1]
-        near, tied = d < cut[:, None], d == cut[:, None]
-        rows, cols = np.nonzero(near | (tied & (tied.cumsum(axis=1) <= m - near.sum(axis=1, keepdims=True))))
-        return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "near": right["vid"].to_numpy()[cols], "distance": d[rows, cols]})
-
-    found = _together(dealt, spread, nearest, "vid string, near string, distance double")
+            return nothing(vid=object, near=object, distance=float, least=object)
+        # `need` vectors of a block are enough; among equal distances those with the least row id
+        right = right.sort_values("least", kind="stable")
+        rows, cols, d = _near_pairs(_vectors(left["x"]), _vectors(right["x"]), left["bound"].to_numpy() * (1 + 1e-12), need)
+        return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "near": right["vid"].to_numpy()[cols], "distance": d, "least": right["least"].to_numpy()[cols]})
+
+    found = _together(dealt, spread, nearest, f"vid string, near string, distance double, least {kind}")
+    # and so are `need` vectors of all blocks, cut before their rows are looked up
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy("distance", "least"))).where(F.col("r") <= need).drop("r", "least")
     # rows behind a vector: its first `need` ids are enough
     first = Window.partitionBy("vid").orderBy("id")
     few = members_of(base).withColumn("r", F.row_number().over(first)).where(F.col("r") <= need).select(F.col("vid").alias("near"), F.col("id").alias("neighbour"))
@@ -256,13 +341,16 @@ def eps_counts(points: DataFrame, eps: float) -> DataFrame:
     tree = grow(points)
     if tree is None:
         return points.select("id", F.lit(0).cast("long").alias("neighbours"))
-    dealt, spread = _blocks(candidates(_merged(points), tree, radius=eps).select("vid", "x", "cell"), tree.leaves.select("cell", "vid", "x", "n"))
+    dealt, spread = meetings(_merged(points), tree, ["x", "n"], radius=eps)
 
     def count(key, left, right):
         if left.empty or right.empty:
             return nothing(vid=object, n="int64")
-        d = _distances(_vectors(left["x"]), _vectors(right["x"]))
-        return pd.DataFrame({"vid": left["vid"].to_numpy(), "n": ((d <= eps) * right["n"].to_numpy()[None, :]).sum(axis=1).astype("int64")})
+        n, x, other = np.zeros(len(left), dtype="int64"), _vectors(left["x"]), _vectors(right["x"])
+        step = max(1, STRIP // len(other))
+        for i in range(0, len(x), step):
+            n[i:i + step] = (_within(x[i:i + step], other, eps) * right["n"].to_numpy()[None, :]).sum(axis=1)
+        return pd.DataFrame({"vid": left["vid"].to_numpy(), "n": n})
 
     counts = _together(dealt, spread, count, "vid string, n long").groupBy("vid").agg(F.sum("n").alias("neighbours"))
     return members_of(points).join(counts, "vid").select("id", "neighbours")
@@ -274,14 +362,13 @@ def eps_join(points: DataFrame, eps: float) -> DataFrame:
     tree = grow(points)
     if tree is None:
         return points.select(F.col("id").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("distance"))
-    dealt, spread = _blocks(candidates(_merged(points), tree, radius=eps).select("vid", "x", "cell"), tree.leaves.select("cell", "vid", "x", "n"))
+    dealt, spread = meetings(_merged(points), tree, ["vid", "x"], radius=eps)
 
     def close(key, left, right):
         if left.empty or right.empty:
             return nothing(vid=object, near=object, distance=float)
-        d = _distances(_vectors(left["x"]), _vectors(right["x"]))
-        rows, cols = np.nonzero(d <= eps)
-        return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "near": right["vid"].to_numpy()[cols], "distance": d[rows, cols]})
+        rows, cols, d = _near_pairs(_vectors(left["x"]), _vectors(right["x"]), np.full(len(left), eps))
+        return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "near": right["vid"].to_numpy()[cols], "distance": d})
 
     pairs = _together(dealt, spread, close, "vid string, near string, distance double")
     named = members_of(points).select("vid", "id")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-DIRECT = 1 << 22        # numbers that tasks send straight to the driver; beyond it Spark adds them up first
+DIRECT = 1 << 16        # numbers that tasks send straight to the driver in a pass; beyond it Spark adds them up first
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -43,7 +43,8 @@ def totals(df: DataFrame, run: Callable[[pa.RecordBatch], np.ndarray], cells: in
         yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "v": pa.array(out[at], pa.float64())})
 
     found = df.mapInArrow(over, "cell long, v double")
-    if (cells + tops) * df.rdd.getNumPartitions() > DIRECT:
+    parts = df.rdd.getNumPartitions()
+    if parts > 1 and (cells + tops) * parts > DIRECT:
         merged = found.groupBy("cell").agg(F.sum("v").alias("s"), F.max("v").alias("m"))
         found = merged.select("cell", F.when(F.col("cell") < cells, F.col("s")).otherwise(F.col("m")).alias("v"))
     table = found.toArrow()                     # a row for each cell, or DIRECT numbers at most

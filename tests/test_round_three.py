@@ -31,3 +31,55 @@ def test_flipped_rows_and_histograms(spark):
         assert (a[:, ::-1] == b).all()
     found = images.image_histogram(df).groupBy("channel").agg(F.sum("n").alias("n")).collect()
     assert {(r.channel, r.n) for r in found} == {("red", 12), ("green", 12), ("blue", 12)}
+
+
+# ---- neighbours ---------------------------------------------------------------------
+
+def test_pairs_screened_by_products_are_those_of_direct_differences():
+    from tablewright.operators import neighbours
+    rng = np.random.default_rng(3)
+    near = np.round(rng.normal(size=(60, 12)), 1)
+    for a, b in [(near, near[:40]), (near + 1e9, near[:40] + 1e9), (np.repeat(near[:3], 9, 0), np.repeat(near[:2], 7, 0)), (near * 1e200, near * 1e200)]:
+        with np.errstate(over="ignore"):
+            want = neighbours._distances(a, b)
+        cut = float(np.sort(want, axis=None)[want.size // 3])           # a distance that occurs
+        assert (neighbours._within(a, b, cut) == (want <= cut)).all()
+        rows, cols, d = neighbours._near_pairs(a, b, np.full(len(a), np.inf), 4)
+        order = np.argsort(want, axis=1, kind="stable")[:, :4]
+        assert (cols.reshape(len(a), -1) == order).all() and (d.reshape(len(a), -1) == np.take_along_axis(want, order, 1)).all()
+
+
+def test_a_block_of_neighbours_holds_few_distances():
+    import tracemalloc
+    from tablewright.operators import neighbours
+    x = np.random.default_rng(1).normal(size=(4000, 64))
+    tracemalloc.start()
+    rows, _, _ = neighbours._near_pairs(x, x, np.full(4000, np.inf), 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 24_000 and peak < 100e6        # all distances at once are 128 MB, and there were several copies
+
+
+def test_wide_vectors_over_several_leaves_have_exact_neighbours(spark, monkeypatch):
+    from tablewright.operators import neighbours
+    for name, value in [("CHUNK", 8), ("GREAT", 4), ("STRIP", 50)]:
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.random.default_rng(2).normal(size=(150, 10)).round(1)
+    x[7] = x[31]
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    d = neighbours._distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), r + 1) for i in range(150) for r, j in enumerate(np.lexsort((np.arange(150), d[i]))[:3])}
+    assert {(r.id, r.neighbour, r["rank"]) for r in neighbours.knn_join(pts, pts, 3, exclude_self=True).collect()} == want
+    assert len(neighbours.grow(pts).levels) > 0
+
+
+# ---- sums that come to the driver ----------------------------------------------------
+
+def test_many_tasks_send_few_numbers_to_the_driver(spark, monkeypatch):
+    from tablewright.plans.partials import totals
+    kind = type(spark.range(1))
+    arrow, seen = kind.toArrow, []
+    monkeypatch.setattr(kind, "toArrow", lambda df: seen.append(arrow(df)) or seen[-1])
+    found = totals(spark.range(0, 64, 1, 16), lambda b: np.full(20_000, float(b.num_rows)), 20_000)
+    assert (found == 64).all() and seen[0].num_rows == 20_000
