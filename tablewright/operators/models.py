@@ -497,27 +497,29 @@ def tune_random(df: DataFrame, target: str, key: str, name: str, ranges: dict[st
 # ---- class choice for rebalancing ---------------------------------------------------
 
 def strategy_search(df: DataFrame, target: str, key: str, k: int = 5, trees: int = 100) -> DataFrame:
-    """Cross-validated accuracy of a forest on scaled data after growing classes by each of the three target sets."""
+    """Cross-validated accuracy of a forest on scaled data after growing classes by each of the three target sets; folds side by side."""
     from .balance import smote_rows, strategy_levels
     from .prep import scale_standard
     levels = strategy_levels(df, target).collect()       # three rows per class at most
     features = [c for c in numeric_columns(df) if c not in (target, key)]
     base = written(folds(impute_mean(df, features), [key], k, target))
-    rows = []
-    for strategy in ("max", "mean", "median"):
-        wanted = {r["label"]: r["wanted"] for r in levels if r["strategy"] == strategy}
-        scores = []
-        for f in range(k):
-            train, test = base.where(F.col("fold") != f).drop("fold"), base.where(F.col("fold") == f).drop("fold")
-            # wanted sizes are for the whole table; a fold sees its share
-            grown = train.unionByName(smote_rows(train, target, key, {c: int(w * (k - 1) / k) for c, w in wanted.items()}, 3).select(*train.columns)) if wanted else train
-            both = written(grown.withColumn("_t", F.lit(0)).unionByName(test.withColumn("_t", F.lit(1))))
-            both = scale_standard(both, features)
-            data, classes = dataset(both.where("_t = 0").drop("_t"), target, key, features)
-            held, _ = dataset(both.where("_t = 1").drop("_t"), target, key, features)
-            model = classifiers(trees=trees)["randomforest"](data, classes)
-            scores.append(class_scores(model.predict(held))["accuracy"])
-        rows.append({"strategy": strategy, "accuracy": float(np.mean(scores))})
+    wanted = {s: {r["label"]: r["wanted"] for r in levels if r["strategy"] == s} for s in ("max", "mean", "median")}
+    same = {s: frozenset(w.items()) for s, w in wanted.items()}         # equal goals grow equal rows: one set of forests for them
+
+    def accuracy(goals: frozenset, f: int) -> float:
+        train, test = base.where(F.col("fold") != f).drop("fold"), base.where(F.col("fold") == f).drop("fold")
+        # wanted sizes are for the whole table; a fold sees its share
+        grown = train.unionByName(smote_rows(train, target, key, {c: int(w * (k - 1) / k) for c, w in goals}, 3).select(*train.columns)) if goals else train
+        both = written(grown.withColumn("_t", F.lit(0)).unionByName(test.withColumn("_t", F.lit(1))))
+        both = scale_standard(both, features)
+        data, classes = dataset(both.where("_t = 0").drop("_t"), target, key, features)
+        held, _ = dataset(both.where("_t = 1").drop("_t"), target, key, features)
+        model = classifiers(trees=trees)["randomforest"](data, classes)
+        return class_scores(model.predict(held))["accuracy"]
+
+    jobs = [(goals, f) for goals in dict.fromkeys(same.values()) for f in range(k)]
+    found = dict(zip(jobs, side_by_side([lambda job=job: accuracy(*job) for job in jobs])))
+    rows = [{"strategy": s, "accuracy": float(np.mean([found[goals, f] for f in range(k)]))} for s, goals in same.items()]
     table = literal_rows(df.sparkSession, rows, "strategy string, accuracy double")
     return table.withColumn("best", F.row_number().over(Window.orderBy(F.desc("accuracy"), "strategy")) == 1)
 

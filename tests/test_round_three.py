@@ -83,3 +83,17 @@ def test_many_tasks_send_few_numbers_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(kind, "toArrow", lambda df: seen.append(arrow(df)) or seen[-1])
     found = totals(spark.range(0, 64, 1, 16), lambda b: np.full(20_000, float(b.num_rows)), 20_000)
     assert (found == 64).all() and seen[0].num_rows == 20_000
+
+
+# ---- class choice -------------------------------------------------------------------
+
+def test_equal_goals_share_their_forests(spark, monkeypatch):
+    from tablewright.operators import models
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, int(i % 4 == 0), float(rng.normal() + (i % 4 == 0))) for i in range(60)], "id long, y int, x double")
+    made, known = [], models.classifiers
+    monkeypatch.setattr(models, "classifiers", lambda **p: made.append(p) or known(**p))
+    rows = {r.strategy: r for r in models.strategy_search(df, "y", "id", k=2, trees=2).collect()}
+    assert len(made) == 4       # two classes: mean and median want the same sizes
+    assert set(rows) == {"max", "mean", "median"} and rows["mean"].accuracy == rows["median"].accuracy
+    assert sum(r.best for r in rows.values()) == 1 and all(0.5 <= r.accuracy <= 1 for r in rows.values())
