@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import at, number, numeric_columns
 from ..plans.positions import ordered_positions
 from ..session import written
+from .grid import border, core_ids, core_labels, grid_of
 from .neighbours import _blocks, _merged, _together, _within, candidates, eps_counts, grow, knn_join, meetings, members_of, nothing
 from .prep import impute_median, scale_standard
 from .profile import basics, centred, literal_rows
@@ -132,24 +133,34 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def cluster_dbscan(pts: DataFrame, eps: float, min_points: int) -> DataFrame:
     """(id, cluster): -1 is noise; clusters are numbered by their least core id. A border row joins the
-    first-numbered cluster with a core row within ``eps``."""
+    first-numbered cluster with a core row within ``eps``. Few dimensions go over a grid, others over the metric tree."""
     pts = written(pts)
-    core_ids = eps_counts(pts, eps).where(F.col("neighbours") >= min_points).select("id")
-    core = written(pts.join(core_ids, "id", "left_semi"))
+    grid = grid_of(pts, eps, min_points)
+    ids = core_ids(pts, grid, min_points) if grid else eps_counts(pts, eps).where(F.col("neighbours") >= min_points).select("id")
+    core = written(pts.join(ids, "id", "left_semi"))
     rest = pts.join(core.select("id"), "id", "left_anti")
-    named = written(members_of(core).groupBy("vid").agg(F.min("id").alias("node")))     # equal vectors are one node
-    if named.isEmpty():
+    if core.isEmpty():
         return pts.select("id", F.lit(-1).cast("long").alias("cluster"))
+    if grid:
+        labelled = core_labels(core, grid, components)
+        core_rows = written(written(grid.rows(core)).join(labelled.select(*grid.x, "label"), grid.x).select("id", "label"))
+        near = written(border(rest, labelled, grid))
+    else:
+        by_vector = _vector_labels(core, eps)
+        labelled, core_rows = by_vector, members_of(core).join(by_vector, "vid").select("id", "label")
+        near = _border(rest, core, by_vector, eps)
+    ranked, _ = ordered_positions(labelled.select("label").distinct(), ["label"])
+    found = core_rows.unionByName(near).join(ranked, "label").select("id", F.col("_pos").alias("cluster"))
+    return pts.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
+
+
+def _vector_labels(core: DataFrame, eps: float) -> DataFrame:
+    """(vid, label) of the vectors of core rows: the least id of all rows that links join."""
+    named = written(members_of(core).groupBy("vid").agg(F.min("id").alias("node")))     # equal vectors are one node
     links = _core_links(core, eps)
     edges = (links.join(named.select(F.col("vid").alias("a"), F.col("node").alias("na")), "a")
              .join(named.select(F.col("vid").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    labels = components(named.select("node"), edges)
-    by_vector = written(named.join(labels, "node").select("vid", "label"))
-    ranked, _ = ordered_positions(labels.select("label").distinct(), ["label"])
-    core_rows = members_of(core).join(by_vector, "vid").select("id", "label")
-    border = _border(rest, core, by_vector, eps)
-    found = core_rows.unionByName(border).join(ranked, "label").select("id", F.col("_pos").alias("cluster"))
-    return pts.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
+    return written(named.join(components(named.select("node"), edges), "node").select("vid", "label"))
 
 
 def _border(rest: DataFrame, core: DataFrame, by_vector: DataFrame, eps: float) -> DataFrame:
