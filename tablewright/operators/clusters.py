@@ -13,7 +13,8 @@ from ..functions.columns import at, number, numeric_columns
 from ..plans.positions import ordered_positions
 from ..session import written
 from .grid import border, core_ids, core_labels, grid_of
-from .neighbours import _blocks, _merged, _together, _within, candidates, eps_counts, grow, knn_join, meetings, members_of, nothing
+from .neighbours import STRIP, _blocks, _merged, _together, _within, candidates, eps_counts, grow, knn_join, meetings, members_of, nothing
+from .neighbours import _vectors as coordinates
 from .prep import impute_median, scale_standard
 from .profile import basics, centred, literal_rows
 from .select import inf_to_null
@@ -85,30 +86,27 @@ def dbscan_parameters(prepared: DataFrame, key: str) -> tuple[float, int]:
 
 
 def _core_links(core: DataFrame, eps: float) -> DataFrame:
-    """Edges that join the same rows as all pairs within ``eps`` do: each task sends a spanning forest of its block only."""
+    """Edges that join the same rows as all pairs within ``eps`` do: each task sends a spanning forest of its block only,
+    found a strip of distances at a time."""
     tree = grow(core)
     dealt, spread = meetings(_merged(core), tree, ["vid", "x"], radius=eps)
 
     def forest(key, left, right):
         if left.empty or right.empty:
             return nothing(a=object, b=object)
-        near = _within(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float), eps)
-        a, b, out = left["vid"].to_numpy(), right["vid"].to_numpy(), []
-        fresh_left, fresh_right = np.ones(len(a), bool), np.ones(len(b), bool)
-        for root in range(len(a)):
-            if not fresh_left[root]:
-                continue
-            fresh_left[root] = False
-            queue = [root]
-            while queue:
-                i = queue.pop()
-                for j in np.nonzero(near[i] & fresh_right)[0]:
-                    fresh_right[j] = False
-                    out.append((a[i], b[j]))
-                    for m in np.nonzero(near[:, j] & fresh_left)[0]:
-                        fresh_left[m] = False
-                        out.append((a[m], b[j]))
-                        queue.append(m)
+        x, other, a, b, out = coordinates(left["x"]), coordinates(right["x"]), left["vid"].to_numpy(), right["vid"].to_numpy(), []
+        part, step = np.arange(len(b)), max(1, STRIP // len(b))         # which right vectors are joined so far
+        for i in range(0, len(x), step):
+            for root, near in zip(a[i:i + step], _within(x[i:i + step], other, eps)):
+                cols = np.flatnonzero(near)
+                hit = np.full(len(b), -1)
+                hit[part[cols]] = cols
+                met = np.flatnonzero(hit >= 0)
+                out += [(root, v) for v in b[hit[met]]]
+                if len(met) > 1:
+                    to = np.arange(len(b))
+                    to[met] = met[0]
+                    part = to[part]
         return pd.DataFrame({"a": np.array([e[0] for e in out], dtype=object), "b": np.array([e[1] for e in out], dtype=object)})
 
     return _together(dealt, spread, forest, "a string, b string").where("a <> b")
@@ -172,10 +170,15 @@ def _border(rest: DataFrame, core: DataFrame, by_vector: DataFrame, eps: float)
     def least(key, left, right):
         if left.empty or right.empty:
             return nothing(vid=object, label="int64")
-        near = _within(np.array(left["x"].tolist(), dtype=float), np.array(right["x"].tolist(), dtype=float), eps)
-        lab = right["label"].to_numpy()
-        rows = np.nonzero(near.any(axis=1))[0]
-        return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "label": [lab[near[i]].min() for i in rows]})
+        right = right.sort_values("label", kind="stable")
+        x, other, vid, lab, rows, cols = coordinates(left["x"]), coordinates(right["x"]), left["vid"].to_numpy(), right["label"].to_numpy(), [], []
+        step = max(1, STRIP // len(lab))
+        for i in range(0, len(x), step):
+            near = _within(x[i:i + step], other, eps)
+            held = np.flatnonzero(near.any(axis=1))
+            rows.append(held + i)
+            cols.append(near[held].argmax(axis=1))              # the first is the least label
+        return pd.DataFrame({"vid": vid[np.concatenate(rows)], "label": lab[np.concatenate(cols)]})
 
     labels = _together(dealt, spread, least, f"vid string, label {kind}").groupBy("vid").agg(F.min("label").alias("label"))
     return members_of(rest).join(labels, "vid").select("id", "label")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from tablewright.operators import clusters, grid
 
@@ -48,3 +49,29 @@ def test_a_crowded_spot_makes_no_pairs(spark):
     df = spark.range(3000).selectExpr("id", "array(id / 10000.0D, 0.0D) AS x")
     ids = grid.core_ids(df, grid.grid_of(df, 2.0, 4), 4)
     assert ids.count() == 3000 and grid.grid_of(df, 0.0, 4) is None
+
+
+def test_many_dimensions_hold_a_strip_of_a_block(spark, monkeypatch):
+    """Forest and border of the metric tree, with blocks measured two vectors at a time."""
+    seen = []
+    within = clusters._within
+    rows = [(i, v.tolist()) for i, v in enumerate(np.round(np.random.default_rng(5).normal(size=(60, 9)), 1) * 0.5)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    assert grid.grid_of(df, 1.5, 4) is None
+    taken = {}
+    monkeypatch.setattr(clusters, "STRIP", 120)
+    monkeypatch.setattr(clusters, "_within", lambda a, b, eps: seen.append(len(a)) or within(a, b, eps))
+    monkeypatch.setattr(clusters, "meetings", lambda *a, **k: (None, None))
+    monkeypatch.setattr(clusters, "_together", lambda dealt, spread, work, schema: taken.update(work=work) or df.selectExpr("'a' AS a", "'b' AS b"))
+    monkeypatch.setattr(clusters, "grow", lambda df: None)
+    clusters._core_links(df, 1.5)
+    block = pd.DataFrame({"vid": [str(i) for i, _ in rows], "x": [v for _, v in rows]})
+    found = taken["work"](None, block, block)
+    assert max(seen) == 2
+    joined = {v: v for v in block["vid"]}
+    for a, b in zip(found["a"], found["b"]):
+        old, new = joined[a], joined[b]
+        joined = {k: new if v == old else v for k, v in joined.items()}
+    want = brute(rows, 1.5, 1)
+    pairs = lambda of: {(i, j) for i in of for j in of if of[i] == of[j]}
+    assert pairs({int(k): v for k, v in joined.items()}) == pairs(want)
