@@ -31,6 +31,7 @@ WIDE = 8        # dimensions beyond which cells hardly rule each other out
 GREAT = 8       # times ``CHUNK`` that a leaf of wide vectors holds; half as many queries meet it
 STRIP = 1 << 20  # distances held at once
 PAIRS = 1 << 22  # numbers held while single pairs are measured
+FOUND = 1 << 21  # pairs that a task may return at once
 FEW = 200_000   # cells whose names and sizes may be broadcast
 ROOT = "r"
 BLOCK = ["cell", "part"]
@@ -172,13 +173,13 @@ class Tree:
     step: int                   # queries that meet a cell's children in one task
 
 
-def grow(base: DataFrame) -> Tree | None:
-    """The metric tree of (id, x[, g]); nothing if there are no rows."""
+def grow(base: DataFrame, great: bool = True) -> Tree | None:
+    """The metric tree of (id, x[, g]); nothing if there are no rows. ``great``: leaves of wide vectors may be great."""
     rows = written(_merged(base))
     if rows.isEmpty():
         return None
     kind = base.schema["id"].dataType.simpleString()
-    wide = (rows.agg(F.max(F.size("x"))).first()[0] or 0) > WIDE
+    wide = great and (rows.agg(F.max(F.size("x"))).first()[0] or 0) > WIDE
     size, block, step, fanned = (GREAT * CHUNK, GREAT * CHUNK // 2, max(1, CHUNK // GREAT), FANNED / 2) if wide else (CHUNK, CHUNK, CHUNK, FANNED)
     leaves, levels = None, []
     while True:
@@ -296,9 +297,9 @@ def candidates(queries: DataFrame, tree: Tree, need: int | None = None, radius:
     return _descended(asked, tree, reached)
 
 
-def meetings(queries: DataFrame, tree: Tree, right: list[str], need: int | None = None, radius: float | None = None) -> tuple[DataFrame, DataFrame]:
+def meetings(queries: DataFrame, tree: Tree, right: list[str], need: int | None = None, radius: float | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Blocks of queries (vid, x, cell, bound) beside the ``right`` columns of the leaves in which they may have neighbours."""
-    return _blocks(candidates(queries, tree, need, radius), tree.leaves.select("cell", *right), tree.block, stored=True)
+    return _blocks(candidates(queries, tree, need, radius), tree.leaves.select("cell", *right), block or tree.block, stored=True)
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
@@ -356,13 +357,16 @@ def eps_counts(points: DataFrame, eps: float) -> DataFrame:
     return members_of(points).join(counts, "vid").select("id", "neighbours")
 
 
-def eps_join(points: DataFrame, eps: float) -> DataFrame:
+def eps_join(points: DataFrame, eps: float, copies: bool = True) -> DataFrame:
     """(left, right, distance) with left < right: every pair of rows within ``eps``. The result itself holds all such
-    pairs; use ``eps_counts`` where only their number is wanted. No rows give no rows."""
-    tree = grow(points)
+    pairs; use ``eps_counts`` where only their number is wanted. No rows give no rows.
+
+    Without ``copies``, rows of equal vectors are one class named by its least id: every pair of classes within ``eps``
+    (should two classes have one name, also left = right), and a row (name, id, 0) for every member of a greater id."""
+    tree = grow(points, great=False)
     if tree is None:
         return points.select(F.col("id").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("distance"))
-    dealt, spread = meetings(_merged(points), tree, ["vid", "x"], radius=eps)
+    dealt, spread = meetings(_merged(points), tree, ["vid", "x"], radius=eps, block=max(1, FOUND // CHUNK))
 
     def close(key, left, right):
         if left.empty or right.empty:
@@ -371,9 +375,18 @@ def eps_join(points: DataFrame, eps: float) -> DataFrame:
         return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "near": right["vid"].to_numpy()[cols], "distance": d})
 
     pairs = _together(dealt, spread, close, "vid string, near string, distance double")
-    named = members_of(points).select("vid", "id")
-    return (pairs.join(named.withColumnRenamed("id", "left"), "vid").join(named.select(F.col("vid").alias("near"), F.col("id").alias("right")), "near")
-            .where("left < right").select("left", "right", "distance"))
+    if copies:
+        named = members_of(points).select("vid", "id")
+        return (pairs.join(named.withColumnRenamed("id", "left"), "vid").join(named.select(F.col("vid").alias("near"), F.col("id").alias("right")), "near")
+                .where("left < right").select("left", "right", "distance"))
+    # a vector that holds no number or an infinite one is near nothing, its copies neither
+    whole = F.forall("x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    named = written(tree.leaves.where(whole).select("vid", "n", F.col("least").alias("left")))
+    links = (pairs.where("vid <> near").join(named.drop("n"), "vid").join(named.select(F.col("vid").alias("near"), F.col("left").alias("right")), "near")
+             .where("left < right or (left = right and vid < near)").select("left", "right", "distance"))
+    members = (members_of(points).join(named.where("n > 1").select("vid", "left"), "vid").where((F.col("left") < F.col("id")) & (F.lit(eps) >= 0))
+               .select("left", F.col("id").alias("right"), F.lit(0.0).alias("distance")))
+    return links.unionByName(members)
 
 
 def impute_knn(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFrame:
