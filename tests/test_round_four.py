@@ -60,3 +60,23 @@ def test_radius_join_blocks_hold_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_together", counted)
     pts = spark.range(200).select("id", F.array((F.col("id") / 1000.0), F.lit(0.0)).alias("x"))
     assert neighbours.eps_join(pts, 5.0).count() == 200 * 199 / 2 and most.value == 0
+
+
+# ---- screening of pairs -------------------------------------------------------------
+
+def test_pairs_are_screened_in_single_precision_without_loss():
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(300, 64)), rng.normal(size=(500, 64))
+    b[:200] = a[:200] + rng.normal(size=(200, 64)) * np.repeat([1e-12, 1e-9, 1e-6, 1e-3], 50)[:, None]        # ties nearly
+    with np.errstate(all="ignore"):
+        for scale, shift, kind in [(1, 0, np.float32), (1, 1e4, np.float32), (1e-8, 0, np.float32), (1e-25, 0, np.float64), (1e25, 0, np.float64), (1e160, 0, np.float64)]:
+            x, y = a * scale + shift, b * scale + shift
+            assert all(q.dtype == kind for _, q, _, _ in neighbours._strips(x, y))
+            d = neighbours._distances(x, y)
+            for eps in (d[0, 0], np.median(d), d.max(), 0.0):
+                assert (neighbours._within(x, y, eps) == (d <= eps)).all()
+                rows, cols, near = neighbours._near_pairs(x, y, np.full(len(x), eps))
+                assert {*zip(rows, cols)} == {*zip(*np.nonzero(d <= eps))} and (near == d[rows, cols]).all()
+            rows, cols, near = neighbours._near_pairs(x, y, np.full(len(x), np.inf), 11)
+            first = np.argsort(d, axis=1, kind="stable")[:, :11]
+            assert (near.reshape(300, 11) == np.take_along_axis(d, first, 1)).all()
