@@ -214,22 +214,34 @@ def _(spark, sf):
     return images.image_histogram(text_images(spark, sf))
 
 
+IMAGE_FOLDERS = 64
+
+
 def write_bitmaps(spark, sf) -> str:
-    """One uncompressed bitmap file per document, written by the tasks to the shared folder: the text's bytes as grey rows of 16 pixels."""
+    """One uncompressed bitmap file per document, written by the tasks to the shared folder: the text's bytes as grey rows of 16 pixels.
+
+    Files are dealt by name over sub-folders, which Spark lists side by side."""
     import struct
+    from zlib import crc32
     path = scratch_dir(spark)
     uri = re.sub("^file:/+", "file:///", path)
 
     def write(batches):
         from pyarrow.fs import FileSystem
         store, base = FileSystem.from_uri(uri)      # local, HDFS or object store, as the shared folder is
+        made = set()
         store.create_dir(base, recursive=True)
         for b in batches:
             for r in b.itertuples(index=False):
                 rows = [r.data[i:i + 48] for i in range(0, len(r.data), 48)]
                 body = b"".join(reversed(rows))
                 head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(body), 0, 0, 54, 40, 16, len(rows), 1, 24, 0, len(body), 2835, 2835, 0, 0)
-                with store.open_output_stream(f"{base}/{r.origin.split('/')[-1].replace('.txt', '.bmp')}") as f:
+                name = r.origin.split("/")[-1].replace(".txt", ".bmp")
+                folder = f"{base}/{crc32(name.encode()) % IMAGE_FOLDERS}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/{name}") as f:
                     f.write(head + body)
             yield b[["origin"]]
     text_images(spark, sf).mapInPandas(write, "origin string").count()

@@ -40,6 +40,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def like(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session with the present settings of ``spark`` but for the given ones, which change nothing in ``spark`` itself."""
+    new = spark.newSession()
+    has = new.conf.getAll
+    for name, value in {**spark.conf.getAll, **settings}.items():
+        if has.get(name) != value:
+            new.conf.set(name, value)
+    return new
+
+
 def side_by_side(jobs: list[Callable], most: int = SIDE_BY_SIDE) -> list:
     """Results of the jobs in order; at most so many hand Spark their work at a time. The first failure is raised."""
     target = inheritable_thread_target(SparkSession.active())
