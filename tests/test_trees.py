@@ -1,6 +1,7 @@
 """Trees, boosting, random cuts and closed forms against brute force; model comparison with the library's own amount of work."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +272,30 @@ def test_tuning_of_regressors(spark):
 def test_a_failing_job_is_raised(spark):
     with pytest.raises(ZeroDivisionError):
         side_by_side([lambda: spark.range(3).count(), lambda: 1 // 0])
+
+
+def test_random_cuts_meet_rows_only_with_trees_that_use_them(monkeypatch):
+    """A pass took every row down every tree, also those that leave out its fold; a strip at a time gives the same leaves."""
+    rng = np.random.default_rng(3)
+    x, y, fold = np.round(rng.normal(size=(90, 3)), 1), rng.integers(0, 2, 90).astype(float), rng.integers(0, 3, 90).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(fold), pa.array(y), pa.array(x.tolist())], ["fold", "label", "x"])
+    monkeypatch.setattr(trees, "totals", lambda rows, run, cells, tops=0: run(batch).ravel())
+    met, leaves = [], trees.Forest.leaves
+    monkeypatch.setattr(trees.Forest, "leaves", lambda self, v, of: met.append((len(v), tuple(self.held[of]))) or leaves(self, v, of))
+    found = trees.random_cuts(None, [0, 1, 2], 3, 2, 4, 5, 2, 7)
+    sizes = {f: int((fold == f).sum()) for f in range(3)}
+    assert met and all(len(set(of)) == 2 and n == sizes[({0, 1, 2} - set(of)).pop()] for n, of in met)
+    wide = leaves(found, x, np.arange(12))
+    monkeypatch.setattr(trees, "STRIP", 24)
+    assert np.array_equal(leaves(found, x, np.arange(12)), wide)
+
+    def end(row, node):
+        while found.child[node] >= 0:
+            node = found.child[node] + (row[found.feature[node]] > found.cut[node])
+        return node
+    assert wide.tolist() == [[end(row, t) for t in range(12)] for row in x]
+
+
+def test_roots_alone_are_leaves_without_columns():
+    bare = trees.Forest(np.zeros(2), np.zeros(2, dtype=int), np.zeros(2), np.full(2, -1), np.ones((2, 1)))
+    assert bare.leaves(np.zeros((3, 0)), np.arange(2)).tolist() == [[0, 1]] * 3
