@@ -33,5 +33,5 @@ def scan_images(spark: SparkSession, root: str, drop_invalid: bool = True) -> Da
     quick = like(spark, {"spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.files.openCostInBytes": "256k"})
     df = quick.read.format("image").option("dropInvalid", drop_invalid).option("recursiveFileLookup", True).load(root).select("image.*")
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
