@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import at
+from ..functions.columns import at, rounded
 from ..functions.draws import digest
 from ..session import written
 
@@ -32,6 +32,7 @@ GREAT = 8       # times ``CHUNK`` that a leaf of wide vectors holds; half as man
 STRIP = 1 << 20  # distances held at once
 PAIRS = 1 << 22  # numbers held while single pairs are measured
 FOUND = 1 << 21  # pairs that a task may return at once
+SHARE = 1 << 10  # rows of one vector that are paired with others at once
 FEW = 200_000   # cells whose names and sizes may be broadcast
 ROOT = "r"
 BLOCK = ["cell", "part"]
@@ -367,9 +368,39 @@ def eps_counts(points: DataFrame, eps: float) -> DataFrame:
     return members_of(points).join(counts, "vid").select("id", "neighbours")
 
 
-def eps_join(points: DataFrame, eps: float, copies: bool = True) -> DataFrame:
+def _row_pairs(pairs: DataFrame, points: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(left, right, distance) with left < right of all rows behind pairs of vectors, which come in both orders.
+
+    Rows of a vector are dealt by id over shares of about ``SHARE``. Pairs of shares are dealt over the tasks, and each is
+    turned into pairs of rows, of which it gives the square, only where they leave the task."""
+    large = written(leaves.where(F.col("n") > SHARE).select("vid", F.ceil(F.col("n") / F.lit(SHARE)).alias("shares")))
+    few = _few(large)
+    ids = members_of(points).where(F.col("id").isNotNull()).groupBy("vid", "id").agg(F.count(F.lit(1)).alias("times"))
+    dealt = ids.join(few(large), "vid", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("id"), F.col("shares")), F.lit(0).cast("long")))
+    once = (ids.agg(F.max("times")).first()[0] or 1) == 1
+    held = written(dealt.groupBy("vid", "share").agg(F.collect_list("id" if once else F.struct("id", "times")).alias("ids")))
+
+    def shared(df, vid, share):
+        """One row for each share of the vector ``vid``."""
+        named = few(large.withColumnRenamed("vid", vid))
+        return df.join(named, vid, "left").withColumn(share, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+
+    side = lambda vid, share, ids: held.select(F.col("vid").alias(vid), F.col("share").alias(share), F.col("ids").alias(ids))
+    met = (shared(shared(pairs.where("vid <= near"), "vid", "share"), "near", "other").where("vid <> near or share <= other")
+           .withColumn("own", F.expr("vid = near and share = other"))
+           .join(side("vid", "share", "a"), ["vid", "share"]).join(side("near", "other", "b"), ["near", "other"])
+           .select("own", "distance", F.explode("a").alias("a"), "b").select("own", "distance", "a", F.explode("b").alias("b")))
+    if not once:        # rows of one vector that share their id
+        met = (met.select("own", "distance", "a.id", F.col("b.id").alias("b"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("a.times") * F.col("b.times"))))
+               .withColumnRenamed("id", "a"))
+    # a share beside itself gives its pairs in both orders, two shares in one
+    return met.where("a < b or (a > b and not own)").select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), "distance")
+
+
+def eps_join(points: DataFrame, eps: float, copies: bool = True, digits: int | None = None) -> DataFrame:
     """(left, right, distance) with left < right: every pair of rows within ``eps``. The result itself holds all such
-    pairs; use ``eps_counts`` where only their number is wanted. No rows give no rows.
+    pairs; use ``eps_counts`` where only their number is wanted. No rows give no rows. Distances are rounded to ``digits``
+    if given, once for each pair of vectors and not of rows.
 
     Without ``copies``, rows of equal vectors are one class named by its least id: every pair of classes within ``eps``
     (should two classes have one name, also left = right), and a row (name, id, 0) for every member of a greater id."""
@@ -385,10 +416,10 @@ def eps_join(points: DataFrame, eps: float, copies: bool = True) -> DataFrame:
         return pd.DataFrame({"vid": left["vid"].to_numpy()[rows], "near": right["vid"].to_numpy()[cols], "distance": d})
 
     pairs = _together(dealt, spread, close, "vid string, near string, distance double")
+    if digits is not None:
+        pairs = rounded(pairs, digits)
     if copies:
-        named = members_of(points).select("vid", "id")
-        return (pairs.join(named.withColumnRenamed("id", "left"), "vid").join(named.select(F.col("vid").alias("near"), F.col("id").alias("right")), "near")
-                .where("left < right").select("left", "right", "distance"))
+        return _row_pairs(pairs, points, tree.leaves)
     # a vector that holds no number or an infinite one is near nothing, its copies neither
     whole = F.forall("x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
     named = written(tree.leaves.where(whole).select("vid", "n", F.col("least").alias("left")))

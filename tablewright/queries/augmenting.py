@@ -261,16 +261,10 @@ def _(spark, sf):
 PLACE_SQL = "(SELECT p_partkey AS id, p_size / 5.0::DOUBLE AS x, p_retailprice / 40.0::DOUBLE AS y FROM part)"
 
 
-# parts at one place are a class named by its least key: pairs of classes, and every other part beside its class
-PLACES_SQL = f"(SELECT min(id) AS id, x, y FROM {PLACE_SQL} GROUP BY x, y)"
-GAP_SQL = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
-
-
-@query("eps_join", f'SELECT a.id AS "left", b.id AS "right", round({GAP_SQL}, 6) AS distance FROM {PLACES_SQL} a JOIN {PLACES_SQL} b ON a.id < b.id OR (a.id = b.id AND (a.x < b.x OR (a.x = b.x AND a.y < b.y))) WHERE {GAP_SQL} <= 0.33'
-       f' UNION ALL SELECT a.id, b.id, 0.0::DOUBLE FROM {PLACES_SQL} a JOIN {PLACE_SQL} b ON a.x = b.x AND a.y = b.y AND a.id < b.id WHERE {GAP_SQL} <= 0.33')
+@query("eps_join", f'SELECT a.id AS "left", b.id AS "right", round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM {PLACE_SQL} a JOIN {PLACE_SQL} b ON a.id < b.id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.33')
 def _(spark, sf):
     points = table(spark, sf, "part").selectExpr("p_partkey AS id", "array(p_size / 5.0D, p_retailprice / 40.0D) AS x")
-    return rounded(neighbours.eps_join(points, 0.33, copies=False))
+    return neighbours.eps_join(points, 0.33, digits=6)
 
 
 # ---- comparison ---------------------------------------------------------------------
