@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 from math import dist
 
+import pytest
+
 from tablewright.operators import neighbours
 from tablewright.queries import QUERIES
+from tablewright.sources import files
 
 
 # ---- radius join --------------------------------------------------------------------
@@ -28,3 +32,58 @@ def test_radius_join_deals_rows_of_one_place_over_shares(spark, monkeypatch):
         want = Counter((a, b, round(dist(x, y), 6)) for a, x in rows for b, y in rows if a is not None and b is not None and a < b and dist(x, y) <= 0.5)
         found = neighbours.eps_join(spark.createDataFrame(rows, "id long, x array<double>"), 0.5, digits=6)
         assert Counter((r.left, r.right, r.distance) for r in found.collect()) == want
+
+
+# ---- images in batches --------------------------------------------------------------
+
+def bitmap(height: int) -> bytes:
+    body = bytes([height]) * (48 * height)
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(body), 0, 0, 54, 40, 16, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+def image_folder(root):
+    """22 images under odd names, a file that is no image, and names that Spark's readers pass over."""
+    for i, folder in enumerate(["", "a", "a/b=1", "c d", "_e=2"]):
+        (root / folder).mkdir(parents=True, exist_ok=True)
+        for j, name in enumerate(["1.bmp", "x y.bmp", "p%20q.bmp", "[z].bmp"]):
+            (root / folder / name).write_bytes(bitmap(1 + 4 * i + j))
+    for name in ("_metadata.bmp", "_k=3.bmp", "é,;.bmp", "none.png"):
+        (root / name).write_bytes(b"no image" if name == "none.png" else bitmap(60))
+    for name in ("_left/1.bmp", ".left/1.bmp", "_left.bmp", ".left.bmp", "left.bmp._COPYING_"):
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_bytes(bitmap(99))
+    (root / "gone.bmp").symlink_to(root / "nowhere.bmp")
+
+
+@pytest.mark.parametrize("drop", [True, False])
+def test_images_are_read_in_batches(spark, tmp_path, monkeypatch, drop):
+    """The driver listed all files at once."""
+    image_folder(tmp_path)
+    monkeypatch.setattr(files, "BATCH", 5, raising=False)
+    plain = spark.read.format("image").option("dropInvalid", drop).option("recursiveFileLookup", True).load(str(tmp_path)).select("image.*")
+    found = files.scan_images(spark, str(tmp_path), drop)
+    assert found.schema == plain.schema and found.sparkSession is spark
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.count() == (22 if drop else 23)
+    batches = list(files.file_batches(spark, str(tmp_path), 5))
+    assert [len(b) for b in batches] == [5, 5, 5, 5, 4] and len({f for b in batches for f in b}) == 24
+
+
+def test_few_files_patterns_and_single_files_are_one_read(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.bmp").write_bytes(bitmap(1 + i))
+    assert list(files.file_batches(spark, str(tmp_path), 3)) == [] and len(list(files.file_batches(spark, str(tmp_path), 2))) == 2
+    for root in (f"{tmp_path}/*", f"{tmp_path}/1.bmp", f"{tmp_path}/none"):
+        assert list(files.file_batches(spark, root, 1)) == []
+    assert files.scan_images(spark, f"{tmp_path}/[12].bmp").count() == 2
+
+
+def test_images_of_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    image_folder(tmp_path / "in")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.round5.link./in", f"file://{tmp_path}/in")
+    root = "viewfs://round5/in"
+    plain = sorted(map(tuple, spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root).select("image.*").collect()))
+    assert len(plain) == 22 and list(files.file_batches(spark, root, 100)) == []
+    monkeypatch.setattr(files, "BATCH", 10, raising=False)
+    assert sorted(map(tuple, files.scan_images(spark, root).collect())) == plain
+    assert [len(b) for b in files.file_batches(spark, root, 10)] == [10, 10, 4]
