@@ -6,9 +6,10 @@ import struct
 from collections import Counter
 from math import dist
 
+import numpy as np
 import pytest
 
-from tablewright.operators import neighbours
+from tablewright.operators import neighbours, trees
 from tablewright.queries import QUERIES
 from tablewright.sources import files
 
@@ -87,3 +88,38 @@ def test_images_of_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "BATCH", 10, raising=False)
     assert sorted(map(tuple, files.scan_images(spark, root).collect())) == plain
     assert [len(b) for b in files.file_batches(spark, root, 10)] == [10, 10, 4]
+
+
+# ---- random cuts in all columns -----------------------------------------------------
+
+def test_random_cuts_in_all_columns_take_many_rows_at_once(spark, monkeypatch):
+    """Rows met their nodes a handful at a time, whatever their number; labels are whole, so that sums do not depend on the pieces."""
+    rng = np.random.default_rng(3)
+    data = [(int(i % 3), float(rng.integers(0, 50)), [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(900, 6)).round(2))]
+    rows = spark.createDataFrame(data, "fold int, label double, x array<double>").coalesce(1).localCheckpoint()
+    calls = spark.sparkContext.accumulator(0)
+
+    class Watched(trees.Forest):
+        def leaves(self, x, chosen):
+            calls.add(1)
+            return super().leaves(x, chosen)
+
+    monkeypatch.setattr(trees, "Forest", Watched)
+    grown = {}
+    for piece in (1 << 21, 1 << 9):
+        monkeypatch.setattr(trees, "PIECE", piece)
+        before = calls.value
+        found = trees.random_cuts(rows, [0, 1], 6, 0, 4, 2, 6, 7)
+        grown[piece] = {(m, path, int(found.feature[n]), float(found.cut[n]), round(float(found.value[n, 0]), 9)) for m in range(8) for path, n in nodes_of(found, m)}
+        passes = calls.value - before
+    assert grown[1 << 21] == grown[1 << 9] and len(grown[1 << 9]) > 40
+    assert passes <= 100            # 60, and 360 with a handful of rows at a time
+
+
+def nodes_of(forest, root):
+    open_ = [("", root)]
+    while open_:
+        path, n = open_.pop()
+        yield path, n
+        if forest.child[n] >= 0:
+            open_ += [(path + "l", forest.child[n]), (path + "r", forest.child[n] + 1)]
