@@ -8,8 +8,9 @@ from math import dist
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 
-from tablewright.operators import neighbours, trees
+from tablewright.operators import models, neighbours, trees
 from tablewright.queries import QUERIES
 from tablewright.sources import files
 
@@ -123,3 +124,18 @@ def nodes_of(forest, root):
         yield path, n
         if forest.child[n] >= 0:
             open_ += [(path + "l", forest.child[n]), (path + "r", forest.child[n] + 1)]
+
+
+# ---- deep trees ---------------------------------------------------------------------
+
+@pytest.mark.parametrize("name, kind", [("decision_tree", "DecisionTreeRegressor"), ("randomforest", "RandomForestRegressor")])
+def test_deep_trees_are_fitted_by_as_many_tasks_as_cores(spark, monkeypatch, name, kind):
+    """Each of a table's tasks sent statistics of all open nodes."""
+    rows = spark.range(0, 60, 1, 23).selectExpr("id", "double(id % 7) AS label", "array(double(id % 7), double(id % 3)) AS x")
+    train = rows.select("id", "label", array_to_vector("x").alias("features"))
+    parts, real = [], getattr(models.mr, kind).fit
+    monkeypatch.setattr(getattr(models.mr, kind), "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or real(self, df))
+    found = models.regressors(trees=3)[name](train, None).predict(train).collect()
+    assert parts == [spark.sparkContext.defaultParallelism] and len(found) == 60
+    if name == "decision_tree":
+        assert all(r["prediction"] == r["label"] for r in found)
