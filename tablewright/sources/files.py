@@ -90,7 +90,7 @@ def scan_images(spark: SparkSession, root: str, drop_invalid: bool = True) -> Da
     Every file is decoded once, here, into a written table. Spark's reader makes a new encoder for each file: in a session
     where encoders are not compiled this costs a fraction, and small files share a task by the hundred. It also lists all its
     files in the driver before it reads one: more than ``BATCH`` files are handed to it in batches, appended to the table."""
-    quick = like(spark, {"spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.files.openCostInBytes": "256k",
+    quick = like(spark, {"spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.files.openCostInBytes": "64k",
                          "spark.sql.hive.manageFilesourcePartitions": "false",             # keeps no lists
                          "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64"})
     reader = quick.read.format("image").option("dropInvalid", drop_invalid).option("recursiveFileLookup", True)
